@@ -1,0 +1,27 @@
+"""Join helper for keys that may be heavily repeated on one side."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def join_back(
+    left: DataFrame, right: DataFrame, key: str, salts: int = 1, salt_on: Sequence[str] = (), how: str = "left"
+) -> DataFrame:
+    """Attach `right` (unique on `key`) to every row of `left`.
+
+    Adaptive execution splits a skewed shuffle partition of the left side on its own. With `salts` > 1 the rows of each
+    key are also spread beforehand over that many partitions by a hash of `salt_on` (a row identity, so that a retried
+    task sends each row to the same place), and `right` is repeated once per salt. No side is broadcast by hint: both
+    grow with the data.
+    """
+    if salts <= 1:
+        return left.join(right, key, how)
+    if not salt_on:
+        raise ValueError("salting needs the columns that identify a row")
+    spread = left.withColumn("__salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int"))
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(copies, [key, "__salt"], how).drop("__salt")
