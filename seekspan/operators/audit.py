@@ -56,10 +56,14 @@ def parse_audit(lines: DataFrame, column: str = "line") -> DataFrame:
     )
 
 
+def is_valid(ops: Sequence[str] = fixed.AUDIT_OPS) -> Column:
+    """G4 predicate: the line was readable and its operation is known."""
+    return F.coalesce(F.col("ts").isNotNull() & F.col("op").isin(list(ops)), F.lit(False))
+
+
 def split_valid(audit: DataFrame, ops: Sequence[str] = fixed.AUDIT_OPS) -> tuple[DataFrame, DataFrame]:
     """Parsed lines with a known operation, and the rest."""
-    good = F.coalesce(F.col("ts").isNotNull() & F.col("op").isin(list(ops)), F.lit(False))
-    return audit.filter(good), audit.filter(~good)
+    return audit.filter(is_valid(ops)), audit.filter(~is_valid(ops))
 
 
 def audit_counts(audit: DataFrame) -> DataFrame:

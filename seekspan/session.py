@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from functools import lru_cache
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +54,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_packages(spark: SparkSession, *packages: ModuleType) -> None:
+    """Make packages importable on the executors, once per Spark context and package."""
+    context = spark.sparkContext
+    for package in packages:
+        archive = f"{package.__name__}.zip"
+        if any(name.endswith(f"/{archive}") for name in context.listFiles):
+            continue
+        target = os.path.join(tempfile.mkdtemp(prefix="spark-"), archive)
+        root = os.path.dirname(package.__file__)
+        with zipfile.ZipFile(target, "w") as bundle:
+            for base, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(base, name)
+                        bundle.write(path, os.path.relpath(path, os.path.dirname(root)))
+        context.addPyFile(target)

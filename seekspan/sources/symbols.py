@@ -49,7 +49,7 @@ def flatten_symbols(dumps: DataFrame, max_depth: int = 8) -> DataFrame:
             (span["end"]["line"] + 1).alias("end_line"),
         )
         out = rows if out is None else out.unionByName(rows)
-        if depth + 1 == max_depth:
+        if depth + 1 == max_depth or "children" not in level.schema["s"].dataType.names:
             break
         level = level.select(
             "repo_id",

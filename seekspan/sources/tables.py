@@ -9,14 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seekspan.functions import fixed
-from seekspan.schemas import CHUNKS, MANIFEST_FILES
+from seekspan.schemas import CHUNKS, MANIFEST_FILES, struct_of
 
 RESULT_COLUMNS = ("id", "repo_id", "file_path", "start_line", "end_line", "content", "language")
 
-_FILE_INFO = "struct<language:string,line_count:int,chunk_count:bigint,last_mod_time:string,content_hash:string>"
-MANIFEST_JSON = T.StructType.fromDDL(
-    "repo_id string, project_name string, repo_path string, last_indexed_commit string, indexed_at string,"
-    f" indexed_files map<string,{_FILE_INFO}>, active_chunk_count bigint, deleted_chunk_count bigint"
+_FILE_INFO = struct_of("language string, line_count int, chunk_count bigint, last_mod_time string, content_hash string")
+MANIFEST_JSON = T.StructType(
+    [
+        *struct_of(
+            "repo_id string, project_name string, repo_path string, last_indexed_commit string, indexed_at string"
+        ).fields,
+        T.StructField("indexed_files", T.MapType(T.StringType(), _FILE_INFO)),
+        *struct_of("active_chunk_count bigint, deleted_chunk_count bigint").fields,
+    ]
 )
 RFC3339 = "yyyy-MM-dd'T'HH:mm:ssXXX"
 
@@ -125,7 +130,7 @@ def write_audit(audit: DataFrame, path: str, mode: str = "append") -> None:
 
 def read_audit_lines(spark: SparkSession, path: str) -> DataFrame:
     """`(line, day)` of stored audit lines."""
-    schema = T.StructType.fromDDL("value string, day string")
+    schema = struct_of("value string, day string")
     return spark.read.schema(schema).text(path).select(F.col("value").alias("line"), "day")
 
 

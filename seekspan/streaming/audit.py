@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from seekspan.operators.audit import parse_audit, split_valid
+from seekspan.operators.audit import is_valid, parse_audit
 
 
 def stream_audit(lines: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -15,11 +15,10 @@ def stream_audit(lines: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     Lines that are malformed or have an unknown operation go to the partition `day=rejected`, so one pass and one sink
     are enough. The sink is exactly-once through the checkpoint.
     """
-    parsed = parse_audit(lines)
-    good, _ = split_valid(parsed.withColumn("day", F.date_format("ts", "yyyy-MM-dd")))
-    _, bad = split_valid(parsed.withColumn("day", F.lit("rejected")))
+    day = F.when(is_valid(), F.date_format("ts", "yyyy-MM-dd")).otherwise(F.lit("rejected"))
     return (
-        good.unionByName(bad)
+        parse_audit(lines)
+        .withColumn("day", day)
         .writeStream.format("parquet")
         .partitionBy("day")
         .option("path", out)
