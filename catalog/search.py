@@ -1 +1,330 @@
+"""Vector search, ranking, pages and result reports."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import corpus
+from catalog.base import block, query, sql
+from catalog.derive import DISTANCE, PREVIEW_SQL, relative_sql
+from seekspan.functions import scoring
+from seekspan.operators import reports
+from seekspan.operators.search import knn, knn_batch, knn_lsh, knn_per_collection
+from seekspan.operators.topk import global_top_k, paginate
+from seekspan.plans.request import SearchRequest
+from seekspan.plans.searching import search, search_all, search_batch, search_project, search_text
+from seekspan.session import scratch_dir
+from seekspan.sources.tables import save_results
+
+block("scored", f"SELECT *, {DISTANCE} AS distance FROM vectors", "vectors", "mean_vector")
+RANKED = "row_number() OVER (PARTITION BY repo_id ORDER BY distance, chunk_id)"
+
+
+def scores():
+    return F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity")
+
+
+SCORES_SQL = "round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS similarity"
+
+
+def hits(df, *columns):
+    return df.select("rank", "repo_id", "chunk_id", "file_path", "content", *scores(), *columns)
+
+
+def search_sql(where: str = "true", after: str = "true", k: int = 10, page: int = 1, size: int = 20) -> str:
+    """Per-collection top-k of the filtered rows, then `after`, the global cut and one page."""
+    return sql(
+        f"""SELECT rank::INT AS rank, repo_id, chunk_id, file_path, content, {SCORES_SQL}, total::INT AS total_count FROM (
+  SELECT *, count(*) OVER () AS total FROM (
+    SELECT *, row_number() OVER (ORDER BY distance, chunk_id) AS rank FROM (
+      SELECT * FROM (SELECT *, {RANKED} AS place FROM scored WHERE {where}) WHERE place <= {k})
+    WHERE {after}) WHERE rank <= {k})
+  WHERE rank > {(page - 1) * size} AND rank <= {page * size}""",
+        "scored",
+    )
+
+
+@query(
+    "e3_nearest",
+    sql(f"SELECT chunk_id, repo_id, {SCORES_SQL} FROM scored ORDER BY distance, chunk_id LIMIT 10", "scored"),
+)
+def e3(spark, d):
+    rows = knn(corpus.vectors(spark, d), corpus.mean_vector(spark, d), 10)
+    return rows.select("chunk_id", "repo_id", *scores())
+
+
+METRIC_SQL = """1 - list_inner_product(embedding::DOUBLE[], (SELECT query_vec FROM mean_vector))
+  / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])
+    * list_inner_product((SELECT query_vec FROM mean_vector), (SELECT query_vec FROM mean_vector)))"""
+
+
+@query(
+    "e3_metrics",
+    sql(
+        f"""SELECT chunk_id, round(distance, 6) AS l2, round(distance * distance, 6) AS l2sq,
+  round({METRIC_SQL}, 6) AS cosine FROM scored""",
+        "scored",
+        "mean_vector",
+    ),
+)
+def e3_metrics(spark, d):
+    v = corpus.mean_vector(spark, d)
+    return corpus.vectors(spark, d).select(
+        "chunk_id", *[F.round(scoring.vector_distance("embedding", v, m), 6).alias(m) for m in scoring.METRICS]
+    )
+
+
+@query(
+    "w3_top_k_per_collection",
+    sql(
+        f"SELECT repo_id, chunk_id, round(distance, 6) AS distance FROM (SELECT *, {RANKED} AS place FROM scored) WHERE place <= 5",
+        "scored",
+    ),
+)
+def w3(spark, d):
+    rows = knn_per_collection(corpus.vectors(spark, d), corpus.mean_vector(spark, d), 5)
+    return rows.select("repo_id", "chunk_id", F.round("distance", 6).alias("distance"))
+
+
+block(
+    "batch_scored",
+    """SELECT q.query_id, v.repo_id, v.chunk_id, v.language, v.status, v.file_path,
+  list_distance(v.embedding::DOUBLE[], q.query_vec) AS distance FROM vectors v, centroids q""",
+    "vectors",
+    "centroids",
+)
+
+
+@query(
+    "e4_nearest_batch",
+    sql(
+        """SELECT query_id, repo_id, chunk_id, round(distance, 6) AS distance FROM batch_scored
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) <= 10""",
+        "batch_scored",
+    ),
+)
+def e4(spark, d):
+    """Ten neighbours of every collection's centroid."""
+    found = knn_batch(corpus.vectors(spark, d), corpus.centroids(spark, d), 10)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    "e4_nearest_batch_blocks",
+    sql(
+        """SELECT query_id, repo_id, chunk_id, round(distance, 6) AS distance FROM batch_scored
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) <= 10""",
+        "batch_scored",
+    ),
+)
+def e4_blocks(spark, d):
+    """The same with query blocks of at most four vectors."""
+    found = knn_batch(corpus.vectors(spark, d), corpus.centroids(spark, d), 10, block=4)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    "e4_search_batch",
+    sql(
+        f"""SELECT query_id, repo_id, chunk_id, {SCORES_SQL} FROM batch_scored
+  WHERE language IN ('go', 'python') AND status = 'active' AND NOT regexp_matches(file_path, '^vendor/')
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) <= 7""",
+        "batch_scored",
+    ),
+)
+def e4_search(spark, d):
+    request = SearchRequest(top_k=7, languages="go,python", exclude_path="^vendor/")
+    found = search_batch(corpus.vectors(spark, d), corpus.centroids(spark, d), request)
+    return found.select("query_id", "repo_id", "chunk_id", *scores())
+
+
+@query("e5_nearest_approximate")
+def e5(spark, d):
+    rows = knn_lsh(corpus.vectors(spark, d), corpus.mean_vector(spark, d), 10)
+    return rows.select("chunk_id", "repo_id", *scores())
+
+
+@query("e6_search", search_sql("status = 'active'"))
+def e6(spark, d):
+    rows = search(corpus.vectors(spark, d), SearchRequest(), corpus.mean_vector(spark, d))
+    return hits(rows, "total_count")
+
+
+@query(
+    "e6_search_post_filter",
+    search_sql(
+        "status = 'active' AND language IN ('go', 'python', 'typescript')",
+        "starts_with(file_path, 'src/') AND NOT regexp_matches(file_path, '_1[0-9]*[.]')",
+        25, 1, 5,
+    ),
+)
+def e6_post(spark, d):
+    request = SearchRequest(
+        top_k=25, languages=["go", "python", "typescript"], path_prefix="src/", exclude_path="_1[0-9]*[.]", page_size=5
+    )
+    return hits(search(corpus.vectors(spark, d), request, corpus.mean_vector(spark, d)), "total_count")
+
+
+@query(
+    "e6_search_pre_filter",
+    search_sql("status = 'active' AND starts_with(file_path, 'src/') AND NOT regexp_matches(file_path, '_1[0-9]*[.]')"),
+)
+def e6_pre(spark, d):
+    request = SearchRequest(path_prefix="src/", exclude_path="_1[0-9]*[.]")
+    rows = search(corpus.vectors(spark, d), request, corpus.mean_vector(spark, d), path_filter="pre")
+    return hits(rows, "total_count")
+
+
+@query("e6_search_deleted", search_sql("status = 'deleted'", k=30, page=2, size=7))
+def e6_deleted(spark, d):
+    request = SearchRequest(top_k=30, deleted_only=True, page=2, page_size=7)
+    return hits(search(corpus.vectors(spark, d), request, corpus.mean_vector(spark, d)), "total_count")
+
+
+@query("e6_search_metadata", search_sql("language = 'go' AND contains(file_path, 'lib')"))
+def e6_metadata(spark, d):
+    """Nothing matches: go files never lie in lib."""
+    request = SearchRequest(include_deleted=True, filters={"language": "go", "file_path": "lib"})
+    return hits(search(corpus.vectors(spark, d), request, corpus.mean_vector(spark, d)), "total_count")
+
+
+@query("e6_search_names", search_sql("status = 'active' AND project_name IN ('project2', 'project5')", k=12))
+def e6_names(spark, d):
+    v = corpus.vectors(spark, d)
+    projects = v.select("repo_id", "project_name").distinct()
+    request = SearchRequest(top_k=12, projects=("project2", "project5"))
+    return hits(search(v, request, corpus.mean_vector(spark, d), projects), "total_count")
+
+
+@query("e6_search_text")
+def e6_text(spark, d):
+    """Text search: the benchmark questions' longest one against all windows, embedded by the built-in model."""
+    from seekspan.operators.embedding import embed_distinct
+
+    longest = corpus.table(spark, d, "benchmark").orderBy(F.length("text").desc(), "item_id").first()["text"]
+    chunks = embed_distinct(corpus.states(spark, d)).select(*corpus.CHUNKS.names)
+    return hits(search_text(chunks, SearchRequest(text=longest), None))
+
+
+@query("e7_search_all", search_sql("status = 'active'", k=15))
+def e7_all(spark, d):
+    return hits(search_all(corpus.vectors(spark, d), corpus.mean_vector(spark, d), 15), "total_count")
+
+
+@query("e7_search_project", search_sql("status = 'active' AND repo_id = 'label4'"))
+def e7_project(spark, d):
+    return hits(search_project(corpus.vectors(spark, d), corpus.mean_vector(spark, d), "label4"), "total_count")
+
+
+# --- ranking over other tables -----------------------------------------------------------------------------------------
+
+
+@query(
+    "t1_global_ranking",
+    "SELECT event_id, round(value, 6) AS value FROM events ORDER BY value DESC, event_id LIMIT 100",
+)
+def t1(spark, d):
+    events = corpus.table(spark, d, "events")
+    return global_top_k(events, [F.col("value").desc(), F.col("event_id")], 100).select(
+        "event_id", F.round("value", 6).alias("value")
+    )
+
+
+@query(
+    "t2_page",
+    """SELECT event_id, rank::INT AS rank, 95::INT AS total_count, 3 AS page, 10 AS page_size, 10 AS total_pages FROM (
+  SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank > 20 AND rank <= 30""",
+)
+def t2(spark, d):
+    """Third page of a result of 95 rows; ranks go on over the pages."""
+    order = [F.col("value").desc(), F.col("event_id")]
+    best = global_top_k(corpus.table(spark, d, "events"), order, 95)
+    return paginate(best, order, 3, 10).select("event_id", "rank", "total_count", "page", "page_size", "total_pages")
+
+
+# --- results -----------------------------------------------------------------------------------------------------------
+
+block(
+    "results",
+    """SELECT *, row_number() OVER (ORDER BY distance, chunk_id)::INT AS rank, 1 / (1 + distance) AS similarity,
+  TIMESTAMP '2024-01-31' AS indexed_at FROM scored QUALIFY rank <= 50""",
+    "scored",
+)
+
+
+def results(spark, d):
+    request = SearchRequest(top_k=50, page_size=50, include_deleted=True)
+    return search(corpus.vectors(spark, d), request, corpus.mean_vector(spark, d))
+
+
+@query(
+    "p16_format_results",
+    sql(
+        f"""SELECT rank, '[' || rank || '] ' || file_path || ':1-1 (similarity: '
+    || trunc(similarity::FLOAT * 100::FLOAT)::INT || '%)' AS title,
+  '    [' || substr(repo_id, 1, 8) || '] ' || project_name || ' | ' || language
+    || CASE WHEN status = 'deleted' THEN ' [DELETED ' || coalesce(strftime(deleted_at, '%Y-%m-%d'), '') || ']' ELSE '' END
+    AS origin,
+  '    ' || content AS preview, '    indexed: ' || {relative_sql('indexed_at', f"TIMESTAMP '{corpus.NOW}'")} AS indexed
+  FROM results""",
+        "results",
+    ),
+)
+def p16(spark, d):
+    return reports.format_results(results(spark, d), corpus.stamp(corpus.NOW))
+
+
+@query(
+    "s5_saved_results",
+    sql(
+        "SELECT chunk_id AS id, repo_id, file_path, 1::BIGINT AS start_line, 1::BIGINT AS end_line, content, language FROM results",
+        "results",
+    ),
+)
+def s5(spark, d):
+    """Saved as JSON and read back."""
+    path = scratch_dir(spark, "results")
+    save_results(results(spark, d), path)
+    schema = "id string, repo_id string, file_path string, start_line bigint, end_line bigint, content string, language string"
+    return spark.read.schema(schema).json(path)
+
+
+@query(
+    "j9_known_projects",
+    sql(
+        """SELECT DISTINCT repo_id FROM (SELECT substr(sha256(source), 1, 12) AS repo_id FROM documents
+  UNION SELECT substr(sha256('none' || source), 1, 12) FROM documents) JOIN projects USING (repo_id)""",
+        "projects",
+    ),
+)
+def j9(spark, d):
+    source = corpus.table(spark, d, "documents").select("source").distinct()
+    rid = lambda c: F.substring(F.sha2(c, 256), 1, 12).alias("repo_id")
+    asked = source.select(rid(F.col("source"))).union(source.select(rid(F.concat(F.lit("none"), F.col("source")))))
+    return reports.known_projects(asked, corpus.projects(spark, d))
+
+
+@query(
+    "j10_locate_results",
+    sql(
+        """SELECT w.chunk_id, p.repo_path || '/' || w.file_path AS location FROM states w JOIN projects p USING (repo_id)""",
+        "states",
+        "projects",
+    ),
+)
+def j10(spark, d):
+    return reports.locate(corpus.states(spark, d), corpus.projects(spark, d)).select("chunk_id", "location")
+
+
+@query(
+    "j11_pick_result",
+    sql(
+        """SELECT 'rank' AS how, rank, chunk_id FROM results WHERE rank = 7
+  UNION ALL SELECT 'id', rank, chunk_id FROM (SELECT * FROM results WHERE starts_with(chunk_id, 'v00') ORDER BY rank LIMIT 1)""",
+        "results",
+    ),
+)
+def j11(spark, d):
+    r = results(spark, d)
+    by_rank = reports.pick_result(r, "7").select(F.lit("rank").alias("how"), "rank", "chunk_id")
+    return by_rank.union(reports.pick_result(r, "v00").select(F.lit("id").alias("how"), "rank", "chunk_id"))

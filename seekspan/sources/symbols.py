@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,53 +21,61 @@ def dump_schema(max_depth: int) -> T.StructType:
 
 
 def flatten_symbols(dumps: DataFrame, max_depth: int = 8) -> DataFrame:
-    """Nested symbols as rows with 1-based lines, one explode per level; the flat form with `location` is accepted."""
+    """Nested symbols as rows with 1-based lines; the flat form with `location` is accepted.
+
+    Each level of a file becomes an array column derived from the level above, and one explode turns all levels into
+    rows, so the dumps are read once whatever the depth.
+    """
     kinds = {i + 1: name for i, name in enumerate(fixed.SYMBOL_KINDS)}
-    span = F.coalesce("s.range", "s.location.range")
-    level = dumps.select("repo_id", "file_path", F.posexplode("symbols").alias("pos", "s")).select(
-        "repo_id",
-        "file_path",
-        F.col("pos").cast("string").alias("symbol_id"),
-        F.lit(None).cast("string").alias("parent_id"),
-        F.array().cast("array<string>").alias("ancestor_ids"),
-        F.lit(None).cast("string").alias("parent_name"),
-        "s",
-    )
-    out = None
-    for depth in range(max_depth):
-        rows = level.select(
-            "repo_id",
-            "file_path",
-            "symbol_id",
-            "parent_id",
-            "ancestor_ids",
+
+    def row(s: Column, symbol_id: Column, parent_id: Column, ancestors: Column, parent_name: Column, depth: int) -> Column:
+        span = F.coalesce(s["range"], s["location"]["range"])
+        return F.struct(
+            symbol_id.alias("symbol_id"),
+            parent_id.alias("parent_id"),
+            ancestors.alias("ancestor_ids"),
             F.lit(depth).alias("depth"),
-            F.col("s.name").alias("name"),
-            F.coalesce(paths.lookup(F.col("s.kind"), kinds), F.lit(paths.UNKNOWN)).alias("kind"),
-            "parent_name",
+            s["name"].alias("name"),
+            F.coalesce(paths.lookup(s["kind"], kinds), F.lit(paths.UNKNOWN)).alias("kind"),
+            parent_name.alias("parent_name"),
             (span["start"]["line"] + 1).alias("start_line"),
             (span["end"]["line"] + 1).alias("end_line"),
         )
-        out = rows if out is None else out.unionByName(rows)
-        if depth + 1 == max_depth or "children" not in level.schema["s"].dataType.names:
-            break
-        level = level.select(
-            "repo_id",
-            "file_path",
-            F.col("symbol_id").alias("parent_id"),
-            F.array_append("ancestor_ids", F.col("symbol_id")).alias("ancestor_ids"),
-            F.col("s.name").alias("parent_name"),
-            F.posexplode("s.children").alias("pos", "s"),
-        ).select(
-            "repo_id",
-            "file_path",
-            F.concat_ws(".", "parent_id", F.col("pos").cast("string")).alias("symbol_id"),
-            "parent_id",
-            "ancestor_ids",
-            "parent_name",
-            "s",
+
+    none, root = F.lit(None).cast("string"), F.array().cast("array<string>")
+    df = dumps.filter(F.size("symbols") > 0).select("repo_id", "file_path", F.col("symbols").alias("__n0")).withColumn(
+        "__r0", F.transform("__n0", lambda s, i: row(s, i.cast("string"), none, root, none, 0))
+    )
+    depth = 0
+    while depth + 1 < max_depth and "children" in df.schema[f"__n{depth}"].dataType.elementType.names:
+        nodes, rows = F.col(f"__n{depth}"), F.col(f"__r{depth}")
+        down = depth + 1
+
+        def expand(s: Column, r: Column) -> Column:
+            return F.transform(
+                s["children"],
+                lambda c, i: F.struct(
+                    c.alias("n"),
+                    row(
+                        c,
+                        F.concat_ws(".", r["symbol_id"], i.cast("string")),
+                        r["symbol_id"],
+                        F.array_append(r["ancestor_ids"], r["symbol_id"]),
+                        r["name"],
+                        down,
+                    ).alias("r"),
+                ),
+            )
+
+        df = (
+            df.withColumn("__next", F.flatten(F.filter(F.zip_with(nodes, rows, expand), lambda a: a.isNotNull())))
+            .withColumn(f"__n{down}", F.transform("__next", lambda p: p["n"]))
+            .withColumn(f"__r{down}", F.transform("__next", lambda p: p["r"]))
+            .drop("__next", f"__n{depth}")
         )
-    return out
+        depth = down
+    every = F.concat(*[F.col(f"__r{i}") for i in range(depth + 1)])
+    return df.select("repo_id", "file_path", F.explode(every).alias("s")).select("repo_id", "file_path", "s.*")
 
 
 def read_symbols(spark: SparkSession, path: str, max_depth: int = 8) -> DataFrame:

@@ -103,7 +103,7 @@ def export_manifest_json(projects: DataFrame, files: DataFrame, path: str) -> No
     )
     projects.join(maps, "repo_id", "left").withColumn(
         "indexed_at", F.date_format("indexed_at", RFC3339)
-    ).write.mode("overwrite").json(path)
+    ).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def save_results(results: DataFrame, path: str) -> None:
