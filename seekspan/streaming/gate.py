@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,9 +61,15 @@ def stream_gate(
         F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
         success.alias("success"),
     )
-    return rows.groupBy("ip").transformWithStateInPandas(
-        statefulProcessor=GateProcessor(limit, window_seconds),
-        outputStructType=T.StructType.fromDDL(OUTPUT),
-        outputMode="Append",
-        timeMode="None",
-    )
+    # Spark starts the processor once on the driver, in a worker that does not see shipped packages: send it by value
+    package = sys.modules[__name__.split(".")[0]]
+    cloudpickle.register_pickle_by_value(package)
+    try:
+        return rows.groupBy("ip").transformWithStateInPandas(
+            statefulProcessor=GateProcessor(limit, window_seconds),
+            outputStructType=T.StructType.fromDDL(OUTPUT),
+            outputMode="Append",
+            timeMode="None",
+        )
+    finally:
+        cloudpickle.unregister_pickle_by_value(package)
