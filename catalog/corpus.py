@@ -14,6 +14,7 @@ from seekspan.functions import fixed, paths, text
 from seekspan.operators.chunking import window_chunks
 from seekspan.plans.indexing import with_identifiers
 from seekspan.schemas import CHUNKS, conform
+from seekspan.session import spread
 from seekspan.sources.files import scan_documents
 
 DIRS = ["src", "internal", "vendor", "node_modules", "tests", "build", ".github", "lib"]
@@ -24,7 +25,8 @@ MODEL = "fixture"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, df.columns[0])
 
 
 def stamp(literal: str):

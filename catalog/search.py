@@ -9,12 +9,13 @@ from catalog.base import block, query, sql
 from catalog.derive import DISTANCE, PREVIEW_SQL, relative_sql
 from seekspan.functions import scoring
 from seekspan.operators import reports
+from seekspan.operators.embedding import embed_distinct
 from seekspan.operators.search import knn, knn_batch, knn_lsh, knn_per_collection
 from seekspan.operators.topk import global_top_k, paginate
 from seekspan.plans.request import SearchRequest
 from seekspan.plans.searching import search, search_all, search_batch, search_project, search_text
 from seekspan.session import scratch_dir
-from seekspan.sources.tables import save_results
+from seekspan.sources.tables import read_chunks, save_results, write_chunks
 
 block("scored", f"SELECT *, {DISTANCE} AS distance FROM vectors", "vectors", "mean_vector")
 RANKED = "row_number() OVER (PARTITION BY repo_id ORDER BY distance, chunk_id)"
@@ -198,12 +199,11 @@ def e6_names(spark, d):
 
 @query("e6_search_text")
 def e6_text(spark, d):
-    """Text search: the benchmark questions' longest one against all windows, embedded by the built-in model."""
-    from seekspan.operators.embedding import embed_distinct
-
+    """Text search: the longest benchmark item against a stored table of all windows, embedded by the built-in model."""
     longest = corpus.table(spark, d, "benchmark").orderBy(F.length("text").desc(), "item_id").first()["text"]
-    chunks = embed_distinct(corpus.states(spark, d)).select(*corpus.CHUNKS.names)
-    return hits(search_text(chunks, SearchRequest(text=longest), None))
+    path = scratch_dir(spark, "chunks")
+    write_chunks(embed_distinct(corpus.states(spark, d)), path)
+    return hits(search_text(read_chunks(spark, path), SearchRequest(text=longest), None))
 
 
 @query("e7_search_all", search_sql("status = 'active'", k=15))

@@ -51,9 +51,17 @@ def metadata_json(*fields: str) -> Column:
     return F.to_json(F.struct(*fields))
 
 
-def count_tokens(text: Column | str, pattern: str = TOKEN_PATTERN, specials: int = SPECIAL_TOKENS) -> Column:
-    """E1 default counter: pattern matches plus the special tokens, evaluated inside the JVM."""
-    return (F.regexp_count(col(text), F.lit(pattern)) + specials).cast("int")
+def count_tokens(text: Column | str, pattern: str | None = None, specials: int = SPECIAL_TOKENS) -> Column:
+    """E1 default counter: tokens plus the special tokens, evaluated inside the JVM.
+
+    Instead of listing all matches of `TOKEN_PATTERN`, each token is cut down to one character and blanks are dropped in
+    one replacement; what is left is counted. Another pattern is counted match by match.
+    """
+    if pattern is not None:
+        return (F.regexp_count(col(text), F.lit(pattern)) + specials).cast("int")
+    word, blank = "[A-Za-z0-9_]", r"[ \t\n\r\f]"
+    marks = F.regexp_replace(col(text), f"({word}){word}*{blank}*|{blank}+", "$1")
+    return (F.length(marks) + specials).cast("int")
 
 
 def content_preview(content: Column | str, n: int = 4, width: int = 100) -> Column:

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from seekspan.functions.paths import col
 
+# how callers may give a point in time
+Moment = Column | str | datetime
+
 MINUTE = 60 * 1_000_000
 HOUR = 60 * MINUTE
 DAY = 24 * HOUR
 
 
-def relative_time(ts: Column | str, now: Column) -> Column:
+def moment(value: Moment) -> Column:
+    """A point in time given as a column, a text or a datetime."""
+    return (value if isinstance(value, Column) else F.lit(value)).cast("timestamp")
+
+
+def relative_time(ts: Column | str, now: Moment) -> Column:
     """P15: 'just now', minutes, hours, days, or the date from 30 days on."""
     t = col(ts).cast("timestamp")
-    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(t)
+    age = F.unix_micros(moment(now)) - F.unix_micros(t)
     whole = lambda unit: F.floor(age / F.lit(unit)).cast("string")
     return (
         F.when(age < MINUTE, F.lit("just now"))

@@ -48,9 +48,9 @@ def _mark(chunks: DataFrame, files: DataFrame, changed: dict[str, Column]) -> Da
     return joined.withColumns(values).select(*chunks.columns)
 
 
-def tombstone(chunks: DataFrame, files: DataFrame, now: Column, commit: str | None = None) -> DataFrame:
+def tombstone(chunks: DataFrame, files: DataFrame, now: times.Moment, commit: str | None = None) -> DataFrame:
     """L2: chunks of the listed files become deleted, stamped to the second; an absent commit leaves the old one."""
-    changed = {"status": F.lit(DELETED), "deleted_at": F.date_trunc("second", now)}
+    changed = {"status": F.lit(DELETED), "deleted_at": F.date_trunc("second", times.moment(now))}
     if commit:
         changed["deleted_in_commit"] = F.lit(commit)
     return _mark(chunks, files, changed)
@@ -63,7 +63,7 @@ def restore(chunks: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def soft_delete(chunks: DataFrame, files: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+def soft_delete(chunks: DataFrame, files: DataFrame, now: times.Moment) -> tuple[DataFrame, DataFrame]:
     """L4: tombstone without a commit, and the number of chunks hit for each listed file."""
     hits = (
         files.select(*FILE)
@@ -74,15 +74,15 @@ def soft_delete(chunks: DataFrame, files: DataFrame, now: Column) -> tuple[DataF
     return tombstone(chunks, files, now), hits
 
 
-def purgeable(cutoff: Column | None = None) -> Column:
+def purgeable(cutoff: times.Moment | None = None) -> Column:
     """Deleted, and not stamped later than the cutoff; a missing or unreadable stamp counts as old."""
     gone = F.coalesce(F.col("status") == DELETED, F.lit(False))
     if cutoff is None:
         return gone
-    return gone & ~F.coalesce(times.parse_stamp("deleted_at") > cutoff, F.lit(False))
+    return gone & ~F.coalesce(times.parse_stamp("deleted_at") > times.moment(cutoff), F.lit(False))
 
 
-def deleted_files(chunks: DataFrame, cutoff: Column | None = None) -> DataFrame:
+def deleted_files(chunks: DataFrame, cutoff: times.Moment | None = None) -> DataFrame:
     """A3: purgeable chunks per file with the earliest deletion stamp."""
     return (
         chunks.filter(purgeable(cutoff))
@@ -91,7 +91,7 @@ def deleted_files(chunks: DataFrame, cutoff: Column | None = None) -> DataFrame:
     )
 
 
-def purge(chunks: DataFrame, cutoff: Column | None = None, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+def purge(chunks: DataFrame, cutoff: times.Moment | None = None, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows that stay, and the per-file report; a dry run keeps every row."""
     kept = chunks if dry_run else chunks.filter(~purgeable(cutoff))
     return kept, deleted_files(chunks, cutoff)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seekspan.functions import fixed, paths, text, times
@@ -138,7 +138,7 @@ def symbol_outline(symbols: DataFrame) -> DataFrame:
     )
 
 
-def format_results(results: DataFrame, now: Column) -> DataFrame:
+def format_results(results: DataFrame, now: times.Moment) -> DataFrame:
     """Display lines of ranked results."""
     percent = (F.col("similarity").cast("float") * F.lit(100).cast("float")).cast("int")
     stamp = F.coalesce(F.date_format("deleted_at", "yyyy-MM-dd"), F.lit(""))

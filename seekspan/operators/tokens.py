@@ -46,7 +46,7 @@ def count_tokens_once(
     salt_on: Sequence[str] = (),
 ) -> DataFrame:
     """Count each distinct text once and join the counts back by MD5. Worth it for expensive counters."""
-    keyed = df.withColumn("__key", text.content_md5(column))
+    keyed = df.drop(out).withColumn("__key", text.content_md5(column))
     counts = count_tokens(keyed.select("__key", column).dropDuplicates(["__key"]), counter, column, out)
     return join_back(keyed, counts.select("__key", out), "__key", salts, salt_on).drop("__key")
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seekspan.functions import fixed, paths, text
+from seekspan.functions.times import Moment, moment
 from seekspan.operators import changes as ch
 from seekspan.operators import lifecycle
 from seekspan.operators.chunking import hybrid_chunks, window_chunks
@@ -34,12 +35,12 @@ def with_identifiers(chunks: DataFrame) -> DataFrame:
     )
 
 
-def with_metadata(chunks: DataFrame, model_id: str, now: Column) -> DataFrame:
+def with_metadata(chunks: DataFrame, model_id: str, now: Moment) -> DataFrame:
     """P10: lifecycle and model columns of new chunks."""
     return chunks.withColumns(
         {
             "model_id": F.lit(model_id),
-            "indexed_at": now.cast("timestamp"),
+            "indexed_at": moment(now),
             "status": F.lit(ACTIVE),
             "deleted_at": F.lit(None).cast("timestamp"),
             "deleted_in_commit": F.lit(None).cast("string"),
@@ -54,7 +55,7 @@ def dedupe_chunks(chunks: DataFrame) -> DataFrame:
 
 def build_chunks(
     files: DataFrame,
-    now: Column,
+    now: Moment,
     symbols: DataFrame | None = None,
     model_id: str = DEFAULT_MODEL,
     max_tokens: int = fixed.MAX_TOKENS,
@@ -75,7 +76,7 @@ def build_chunks(
 
 def full_index(
     files: DataFrame,
-    now: Column,
+    now: Moment,
     symbols: DataFrame | None = None,
     existing: DataFrame | None = None,
     prune: bool = False,
@@ -94,7 +95,7 @@ def full_index(
         other = existing.join(repos, "repo_id", "left_anti").select(*existing.columns)
         gone = F.col("status").isNull() | (F.col("status") != DELETED)
         stale = stale.withColumn(
-            "deleted_at", F.when(gone, F.date_trunc("second", now)).otherwise(F.col("deleted_at"))
+            "deleted_at", F.when(gone, F.date_trunc("second", moment(now))).otherwise(F.col("deleted_at"))
         ).withColumn("status", F.lit(DELETED))
         existing = other.unionByName(stale.select(*existing.columns))
     return lifecycle.upsert(existing, batch)
@@ -104,7 +105,7 @@ def incremental_index(
     changes: DataFrame,
     files: DataFrame,
     chunks: DataFrame,
-    now: Column,
+    now: Moment,
     commit: str | None = None,
     symbols: DataFrame | None = None,
     renames: str = "split",
@@ -137,7 +138,7 @@ def build_manifest(files: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def build_project(
-    repos: DataFrame, chunks: DataFrame, now: Column, commit: str | None = None
+    repos: DataFrame, chunks: DataFrame, now: Moment, commit: str | None = None
 ) -> DataFrame:
     """M2: project rows with counters taken from the chunk table. `repos` has repo_path and, optionally, project_name."""
     name = F.col("project_name") if "project_name" in repos.columns else paths.base_name("repo_path")
@@ -154,7 +155,7 @@ def build_project(
             "project_name",
             "repo_path",
             F.lit(commit).cast(T.StringType()).alias("last_indexed_commit"),
-            now.cast("timestamp").alias("indexed_at"),
+            moment(now).alias("indexed_at"),
             F.coalesce("active_chunk_count", F.lit(0)).alias("active_chunk_count"),
             F.coalesce("deleted_chunk_count", F.lit(0)).alias("deleted_chunk_count"),
         )

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seekspan.functions import fixed
+from seekspan.functions.times import Moment, moment
 from seekspan.schemas import CHUNKS, MANIFEST_FILES, struct_of
 
 RESULT_COLUMNS = ("id", "repo_id", "file_path", "start_line", "end_line", "content", "language")
@@ -134,7 +135,7 @@ def read_audit_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).text(path).select(F.col("value").alias("line"), "day")
 
 
-def retain(audit: DataFrame, now: Column, days: int = fixed.AUDIT_RETENTION_DAYS) -> DataFrame:
+def retain(audit: DataFrame, now: Moment, days: int = fixed.AUDIT_RETENTION_DAYS) -> DataFrame:
     """Lines of the last `days` days; the filter on `day` prunes partitions."""
-    first = F.date_format(F.date_sub(now.cast("date"), days), "yyyy-MM-dd")
+    first = F.date_format(F.date_sub(moment(now).cast("date"), days), "yyyy-MM-dd")
     return audit.filter(F.col("day") >= first)

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from seekspan.functions.times import Moment
 from seekspan.operators.changes import ADDED, MODIFIED
 from seekspan.plans.indexing import incremental_index
 from seekspan.schemas import CHUNKS, FILES
 from seekspan.sources.tables import read_chunks, write_chunks
 
 
-def apply_changes(batch: DataFrame, table: str, now: Column, **options) -> None:
+def apply_changes(batch: DataFrame, table: str, now: Moment, **options) -> None:
     """D5 for one micro-batch of `(files columns, change)` rows: only collections named in the batch are rewritten.
 
     Chunk ids are stable, so running a batch twice gives the same table.
@@ -30,7 +31,7 @@ def apply_changes(batch: DataFrame, table: str, now: Column, **options) -> None:
     write_chunks(incremental_index(changes, files, stored, now, **options), table)
 
 
-def stream_index(changes: DataFrame, table: str, checkpoint: str, now: Column | None = None, **options) -> StreamingQuery:
+def stream_index(changes: DataFrame, table: str, checkpoint: str, now: Moment | None = None, **options) -> StreamingQuery:
     """Keep the chunk table at `table` up to date from a stream of file changes."""
     stamp = F.current_timestamp() if now is None else now
 
