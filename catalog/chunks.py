@@ -284,9 +284,9 @@ def e1_plugin(spark, d):
 
 @query("j5_token_cache", f"SELECT doc_id, {TOKENS_SQL.format(c='text')} AS tokens FROM documents")
 def j5(spark, d):
-    """Each distinct text is counted once; copies get the count by a salted join."""
+    """Each distinct text is counted once; contents with more than two copies count as hot and are spread."""
     docs = corpus.table(spark, d, "documents")
-    counted = tokens.count_tokens_once(docs, tokens.pattern_counter, column="text", salts=4, salt_on=["doc_id"])
+    counted = tokens.count_tokens_once(docs, tokens.pattern_counter, column="text", salt_on=["doc_id"], hot_rows=2)
     return counted.select("doc_id", "tokens")
 
 
@@ -437,7 +437,7 @@ def e2_plugin(spark, d):
     ),
 )
 def e8(spark, d):
-    rows = embedding.embed_distinct(corpus.windows(spark, d), letter_profile, salts=4, salt_on=["chunk_id"])
+    rows = embedding.embed_distinct(corpus.windows(spark, d), letter_profile, salt_on=["chunk_id"], hot_rows=2)
     values = [F.col("embedding")[i].cast("double").alias(v) for i, v in enumerate("aeiou")]
     return rows.select("chunk_id", "content_hash", *values)
 
@@ -454,7 +454,7 @@ def j4(spark, d):
     vecs = corpus.table(spark, d, "embeddings").select(
         F.col("vec_id"), key("vec_id").alias("content_hash"), "embedding"
     )
-    joined = embedding.attach_embeddings(docs, vecs, salts=4, salt_on=["doc_id"])
+    joined = embedding.attach_embeddings(docs, vecs, salt_on=["doc_id"])
     return joined.select(
         "doc_id",
         F.col("doc_id").alias("vec_id"),

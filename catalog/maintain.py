@@ -101,9 +101,9 @@ def s3(spark, d):
     ),
 )
 def s3_json(spark, d):
-    """Exchange form: one JSON document per project."""
+    """Exchange form: JSON documents of about twenty files each."""
     path = scratch_dir(spark, "manifests")
-    tables.export_manifest_json(corpus.projects(spark, d), corpus.manifest(spark, d), path)
+    tables.export_manifest_json(corpus.projects(spark, d), corpus.manifest(spark, d), path, files_per_document=20)
     projects, files = tables.import_manifest_json(spark, path)
     return projects.join(files, "repo_id").select(
         "repo_id", "project_name", "repo_path", "last_indexed_commit", shown("indexed_at"), "file_path", "line_count",
@@ -119,7 +119,7 @@ def s4(spark, d):
     """Written by collection, read back for two collections and three columns."""
     path = scratch_dir(spark, "chunks")
     s = corpus.states(spark, d)
-    tables.write_chunks(s, path, files_per_repo=2)
+    tables.write_chunks(s, path)
     wanted = [r[0] for r in spark.range(1).select(paths.repo_id(F.lit("src1"))).union(
         spark.range(1).select(paths.repo_id(F.lit("src3")))).collect()]
     return tables.read_chunks(spark, path, wanted, ["repo_id", "chunk_id", "status"])

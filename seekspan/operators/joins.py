@@ -7,21 +7,41 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# A key with more rows than this is spread over several partitions.
+HOT_ROWS = 1_000_000
+# Most hot keys that are broadcast; there can be no more than rows / HOT_ROWS of them.
+MAX_HOT_KEYS = 100_000
+
 
 def join_back(
-    left: DataFrame, right: DataFrame, key: str, salts: int = 1, salt_on: Sequence[str] = (), how: str = "left"
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    salt_on: Sequence[str] = (),
+    how: str = "left",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Attach `right` (unique on `key`) to every row of `left`.
 
-    Adaptive execution splits a skewed shuffle partition of the left side on its own. With `salts` > 1 the rows of each
-    key are also spread beforehand over that many partitions by a hash of `salt_on` (a row identity, so that a retried
-    task sends each row to the same place), and `right` is repeated once per salt. No side is broadcast by hint: both
-    grow with the data.
+    With `salt_on` (columns that identify a row of `left`), keys with more than `hot_rows` rows are found first, by a
+    partial count over the key column alone. Their rows are spread over several salts and their row of `right` is
+    repeated once per salt; all other keys stay as they are. The list of hot keys is broadcast only after its size has
+    been checked. In every other case adaptive execution splits skewed partitions. Neither side is ever broadcast by
+    hint: both grow with the data.
     """
-    if salts <= 1:
-        return left.join(right, key, how)
     if not salt_on:
-        raise ValueError("salting needs the columns that identify a row")
-    spread = left.withColumn("__salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int"))
-    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [key, "__salt"], how).drop("__salt")
+        return left.join(right, key, how)
+    hot = (
+        left.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .filter(F.col("__n") > hot_rows)
+        .select(key, F.ceil(F.col("__n") / F.lit(hot_rows)).cast("int").alias("__salts"))
+    )
+    if not 0 < hot.limit(MAX_HOT_KEYS + 1).count() <= MAX_HOT_KEYS:
+        return left.join(right, key, how)
+    hot = F.broadcast(hot)
+    salts = F.coalesce("__salts", F.lit(1))
+    # the salt is a hash of the row identity, so that a retried task sends each row to the same place
+    spread = left.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*salt_on), salts).cast("int"))
+    copies = right.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return spread.drop("__salts").join(copies.drop("__salts"), [key, "__salt"], how).drop("__salt")

@@ -6,6 +6,8 @@ one falls back to a shuffled join, which adaptive execution splits where a key i
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +17,17 @@ from seekspan.operators.filters import ACTIVE, DELETED
 FILE = ["repo_id", "file_path"]
 
 
-def upsert(chunks: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows of the batch replace stored rows of the same id as a whole; everything else stays."""
-    kept = chunks.join(batch.select("repo_id", "chunk_id"), ["repo_id", "chunk_id"], "left_anti")
+def upsert(
+    chunks: DataFrame, batch: DataFrame, ids: DataFrame | None = None, within: Sequence[str] = ("repo_id",)
+) -> DataFrame:
+    """Rows of the batch replace stored rows of the same id as a whole; everything else stays.
+
+    `ids` is a cheaper source of the batch's ids, such as the stored chunks before they were embedded. Ids are compared
+    `within` a collection, or within a file: stable ids contain their path, and the join can then reuse a partitioning
+    by file.
+    """
+    key = [*within, "chunk_id"]
+    kept = chunks.join((batch if ids is None else ids).select(*key), key, "left_anti")
     return kept.select(*chunks.columns).unionByName(batch.select(*chunks.columns))
 
 

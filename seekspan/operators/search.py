@@ -38,7 +38,7 @@ def knn(chunks: DataFrame, vector: Sequence[float], k: int, metric: str = "l2")
 def knn_per_collection(chunks: DataFrame, vector: Sequence[float], k: int, metric: str = "l2") -> DataFrame:
     """W3 over E3: nearest neighbours within every collection."""
     scored = same_dim(chunks, len(vector)).withColumn("distance", scoring.vector_distance("embedding", vector, metric))
-    return top_k_per_group(scored, ["repo_id"], [F.col("distance"), F.col("chunk_id")], k, "chunk_id")
+    return top_k_per_group(scored, ["repo_id"], [F.col("distance"), F.col("chunk_id")], k)
 
 
 def _exact(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -149,8 +149,8 @@ def knn_batch(chunks: DataFrame, queries: DataFrame, k: int, metric: str = "l2",
         found = found.unionByName(more)
     order = [F.col("distance"), F.col("chunk_id")]
     # tasks already sent at most k rows per query and collection: no salted round is needed
-    per_repo = top_k_per_group(found, ["query_id", "repo_id"], order, k, "chunk_id", salts=1)
-    return top_k_per_group(per_repo, ["query_id"], order, k, "chunk_id", salts=1)
+    per_repo = top_k_per_group(found, ["query_id", "repo_id"], order, k, salts=1)
+    return top_k_per_group(per_repo, ["query_id"], order, k, salts=1)
 
 
 def knn_lsh(

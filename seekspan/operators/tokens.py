@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekspan.functions import fixed, text
-from seekspan.operators.joins import join_back
+from seekspan.operators.joins import HOT_ROWS, join_back
 
 # A counter takes texts and returns one token count per text; it runs on executors, a batch at a time.
 Counter = Callable[[Sequence[str]], Sequence[int]]
@@ -42,13 +42,13 @@ def count_tokens_once(
     counter: Counter | None = None,
     column: str = "content",
     out: str = "tokens",
-    salts: int = 1,
     salt_on: Sequence[str] = (),
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Count each distinct text once and join the counts back by MD5. Worth it for expensive counters."""
     keyed = df.drop(out).withColumn("__key", text.content_md5(column))
     counts = count_tokens(keyed.select("__key", column).dropDuplicates(["__key"]), counter, column, out)
-    return join_back(keyed, counts.select("__key", out), "__key", salts, salt_on).drop("__key")
+    return join_back(keyed, counts.select("__key", out), "__key", salt_on, hot_rows=hot_rows).drop("__key")
 
 
 def resplit(content, tokens: int, max_tokens: int, counter: Counter) -> list[dict]:

@@ -13,13 +13,14 @@ SALTS = 32
 
 
 def top_k_per_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, salt_on: str, salts: int = SALTS
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, salts: int = SALTS
 ) -> DataFrame:
     """The first k rows of every group.
 
     `row_number() <= k` is planned as a window group limit, which already cuts each map task's groups to k rows before
     the shuffle. A group that holds a large share of all rows would still send k rows per map task to one reducer, so a
-    salted round runs first: the second round sees at most k * salts rows per group.
+    salted round runs first: the second round sees at most k * salts rows per group. The salt is the number of the map
+    task, so each task still sends only k rows per group, and a retried task sends the same ones.
     """
 
     def cut(rows: DataFrame, part: list) -> DataFrame:
@@ -28,7 +29,7 @@ def top_k_per_group(
 
     keys = list(keys)
     if salts > 1:
-        salted = df.withColumn("__salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)))
+        salted = df.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
         df = cut(salted, [*keys, "__salt"]).drop("__salt")
     return cut(df, keys)
 

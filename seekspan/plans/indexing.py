@@ -11,12 +11,13 @@ from seekspan.functions.times import Moment, moment
 from seekspan.operators import changes as ch
 from seekspan.operators import lifecycle
 from seekspan.operators.chunking import hybrid_chunks, window_chunks
-from seekspan.operators.embedding import DEFAULT_MODEL, Embedder, embed_distinct
+from seekspan.operators.embedding import DEFAULT_MODEL, Embedder, embed, embed_distinct
 from seekspan.operators.filters import ACTIVE, DELETED
 from seekspan.operators.reports import chunk_counts
 from seekspan.operators.tokens import Counter, fit_tokens
 from seekspan.operators.topk import first_per_key
 from seekspan.schemas import CHUNKS, conform
+from seekspan.session import materialize
 
 FILE = ["repo_id", "file_path"]
 
@@ -74,6 +75,13 @@ def build_chunks(
     return conform(dedupe_chunks(with_metadata(with_identifiers(fitted), model_id, now)), CHUNKS)
 
 
+def embedded(built: DataFrame, embedder: Embedder | None) -> DataFrame:
+    """Vectors for new chunks: the built-in model runs in place, a plug-in model sees each distinct content once."""
+    if embedder is None:
+        return conform(embed(built.drop("embedding")), CHUNKS)
+    return conform(embed_distinct(built, embedder, salt_on=["chunk_id"]), CHUNKS)
+
+
 def full_index(
     files: DataFrame,
     now: Moment,
@@ -84,9 +92,13 @@ def full_index(
     model_id: str = DEFAULT_MODEL,
     **options,
 ) -> DataFrame:
-    """All files chunked, embedded and upserted. `prune=True` tombstones stored chunks that were not rebuilt."""
-    built = build_chunks(files, now, symbols, model_id, **options)
-    batch = conform(embed_distinct(built, embedder, salt_on=["chunk_id"]), CHUNKS)
+    """All files chunked, embedded and upserted. `prune=True` tombstones stored chunks that were not rebuilt.
+
+    The new chunks are needed several times (distinct contents, vectors, ids to replace), so they are written once to
+    the shared scratch area and read back column by column.
+    """
+    built = materialize(build_chunks(files, now, symbols, model_id, **options), "chunks")
+    batch = embedded(built, embedder)
     if existing is None:
         return batch
     if prune:
@@ -98,7 +110,7 @@ def full_index(
             "deleted_at", F.when(gone, F.date_trunc("second", moment(now))).otherwise(F.col("deleted_at"))
         ).withColumn("status", F.lit(DELETED))
         existing = other.unionByName(stale.select(*existing.columns))
-    return lifecycle.upsert(existing, batch)
+    return lifecycle.upsert(existing, batch, built, FILE)
 
 
 def incremental_index(
@@ -114,15 +126,18 @@ def incremental_index(
     **options,
 ) -> DataFrame:
     """Tombstone chunks of deleted and modified files, then index added and modified ones; a rebuilt chunk with the
-    same id comes back active."""
-    flat = ch.expand_renames(changes, renames)
+    same id comes back active.
+
+    The change list and the new chunks are used several times and are therefore written once to the shared scratch area.
+    Stored chunks are shuffled by file at most once: both the tombstones and the replaced ids are joined on the file key.
+    """
+    flat = materialize(ch.expand_renames(changes, renames), "changes")
     retired = lifecycle.tombstone(chunks, ch.files_to_retire(flat), now, commit)
     todo = files.join(ch.files_to_index(flat), FILE, "left_semi")
     if symbols is not None:
         symbols = symbols.join(ch.files_to_index(flat), FILE, "left_semi")
-    built = build_chunks(todo, now, symbols, model_id, **options)
-    batch = conform(embed_distinct(built, embedder, salt_on=["chunk_id"]), CHUNKS)
-    return lifecycle.upsert(retired, batch)
+    built = materialize(build_chunks(todo, now, symbols, model_id, **options), "chunks")
+    return lifecycle.upsert(retired, embedded(built, embedder), built, FILE)
 
 
 def build_manifest(files: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def search(
     scored = pool.select(
         "repo_id", "chunk_id", "file_path", scoring.vector_distance("embedding", vector, metric).alias("distance")
     )
-    best = top_k_per_group(scored, ["repo_id"], order, top_k, "chunk_id")
+    best = top_k_per_group(scored, ["repo_id"], order, top_k)
     if path_filter == "post":
         best = path_filters(best, request)
     ranked = paginate(global_top_k(best, order, top_k), order, page, page_size)

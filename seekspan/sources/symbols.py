@@ -43,7 +43,7 @@ def flatten_symbols(dumps: DataFrame, max_depth: int = 8) -> DataFrame:
         )
 
     none, root = F.lit(None).cast("string"), F.array().cast("array<string>")
-    df = dumps.filter(F.size("symbols") > 0).select("repo_id", "file_path", F.col("symbols").alias("__n0")).withColumn(
+    df = dumps.select("repo_id", "file_path", F.col("symbols").alias("__n0")).withColumn(
         "__r0", F.transform("__n0", lambda s, i: row(s, i.cast("string"), none, root, none, 0))
     )
     depth = 0

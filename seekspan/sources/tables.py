@@ -24,6 +24,7 @@ MANIFEST_JSON = T.StructType(
         *struct_of("active_chunk_count bigint, deleted_chunk_count bigint").fields,
     ]
 )
+FILES_PER_DOCUMENT = 100_000
 RFC3339 = "yyyy-MM-dd'T'HH:mm:ssXXX"
 
 
@@ -37,16 +38,20 @@ def read_chunks(
     return df.select(*columns) if columns else df
 
 
-def write_chunks(chunks: DataFrame, path: str, files_per_repo: int = 1) -> None:
-    """Write the chunk table partitioned by collection.
+def _rebalanced(df: DataFrame, column: str) -> DataFrame:
+    """Rows of one output partition together, in files of the advisory size.
 
-    Rows are spread by (collection, hash of the file) over `files_per_repo` writers each, so that a large collection is
-    not written by one task. Collections present in `chunks` are replaced; all others are left alone.
+    Adaptive execution splits the large groups and merges the small ones from the sizes it has measured, so a collection
+    or day with a large share of all rows is written by many tasks, and small ones do not end up in many tiny files.
     """
-    part = F.pmod(F.xxhash64("file_path"), F.lit(files_per_repo))
+    return df.hint("rebalance", F.col(column))
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """Write the chunk table partitioned by collection. Collections present in `chunks` are replaced; all others are
+    left alone."""
     (
-        chunks.select(*CHUNKS.names)
-        .repartition("repo_id", part)
+        _rebalanced(chunks.select(*CHUNKS.names), "repo_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("repo_id")
@@ -55,10 +60,14 @@ def write_chunks(chunks: DataFrame, path: str, files_per_repo: int = 1) -> None:
 
 
 def write_manifest(files: DataFrame, path: str) -> None:
-    """S3: file manifest as a table, one row per indexed file."""
-    files.select(*MANIFEST_FILES.names).repartition("repo_id", F.pmod(F.xxhash64("file_path"), F.lit(32))).write.mode(
-        "overwrite"
-    ).option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(path)
+    """S3: file manifest as a table, one row per indexed file; replaces the repositories present in `files`."""
+    (
+        _rebalanced(files.select(*MANIFEST_FILES.names), "repo_id")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("repo_id")
+        .parquet(path)
+    )
 
 
 def read_manifest(spark: SparkSession, path: str, repo_ids: Sequence[str] | None = None) -> DataFrame:
@@ -76,7 +85,7 @@ def import_manifest_json(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
         "repo_path",
         "last_indexed_commit",
         F.try_to_timestamp("indexed_at").alias("indexed_at"),
-    )
+    ).distinct()
     files = docs.select("repo_id", F.explode("indexed_files").alias("file_path", "i")).select(
         "repo_id",
         "file_path",
@@ -89,9 +98,14 @@ def import_manifest_json(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
     return projects, files
 
 
-def export_manifest_json(projects: DataFrame, files: DataFrame, path: str) -> None:
-    """S3: one JSON document per repository for exchange. The document format keeps all files of a repository in one
-    map; use the table form for repositories that are too large for that."""
+def export_manifest_json(
+    projects: DataFrame, files: DataFrame, path: str, files_per_document: int = FILES_PER_DOCUMENT
+) -> None:
+    """S3: JSON documents for exchange, one per repository, with all its files in one map.
+
+    A repository with more files than fit a document is spread over several documents by a hash of the path, so that no
+    task has to hold an unbounded map; `import_manifest_json` puts them together again.
+    """
     info = F.struct(
         "language",
         "line_count",
@@ -99,12 +113,21 @@ def export_manifest_json(projects: DataFrame, files: DataFrame, path: str) -> No
         F.date_format("mtime", RFC3339).alias("last_mod_time"),
         "content_hash",
     )
-    maps = files.groupBy("repo_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("file_path", info))).alias("indexed_files")
+    sizes = files.groupBy("repo_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(files_per_document)).alias("__parts"))
+    part = F.pmod(F.xxhash64("file_path"), F.col("__parts")).alias("__part")
+    maps = (
+        files.join(sizes, "repo_id")
+        .select("repo_id", part, "file_path", info.alias("info"))
+        .groupBy("repo_id", "__part")
+        .agg(F.map_from_entries(F.collect_list(F.struct("file_path", "info"))).alias("indexed_files"))
+    )
+    (
+        projects.join(maps.drop("__part"), "repo_id", "left")
+        .withColumn("indexed_at", F.date_format("indexed_at", RFC3339))
+        .write.mode("overwrite")
+        .option("maxRecordsPerFile", 1)
+        .json(path)
     )
-    projects.join(maps, "repo_id", "left").withColumn(
-        "indexed_at", F.date_format("indexed_at", RFC3339)
-    ).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def save_results(results: DataFrame, path: str) -> None:
@@ -115,13 +138,10 @@ def save_results(results: DataFrame, path: str) -> None:
 
 
 def write_audit(audit: DataFrame, path: str, mode: str = "append") -> None:
-    """Audit lines as gzip text, one partition per UTC day.
-
-    Rows are spread by day and line hash, so a busy day is written by several tasks.
-    """
+    """Audit lines as gzip text, one partition per UTC day."""
+    lines = audit.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("line").alias("value"))
     (
-        audit.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("line").alias("value"))
-        .repartition("day", F.pmod(F.xxhash64("value"), F.lit(8)))
+        _rebalanced(lines, "day")
         .write.mode(mode)
         .option("compression", "gzip")
         .partitionBy("day")
