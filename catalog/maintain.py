@@ -46,7 +46,7 @@ def s1(spark, d):
     """The corpus written out as one file tree per project and scanned again."""
     from pathlib import Path
 
-    from seekspan.sources.files import scan_repo
+    from seekspan.sources.files import scan_repos
 
     root = scratch_dir(spark, "trees")
 
@@ -62,10 +62,11 @@ def s1(spark, d):
 
     f = corpus.files(spark, d)
     f.select("repo_id", "file_path", "content").mapInPandas(spill, "n bigint").agg(F.sum("n")).collect()
-    trees = None
-    for row in f.select("repo_id", "project_name").distinct().collect():
-        tree = scan_repo(spark, f"{root}/{row['repo_id']}", row["repo_id"], row["project_name"])
-        trees = tree if trees is None else trees.unionByName(tree)
+    repos = [
+        (r["repo_id"], r["project_name"], f"{root}/{r['repo_id']}")
+        for r in f.select("repo_id", "project_name").distinct().collect()
+    ]
+    trees = scan_repos(spark, repos)
     return trees.select(
         "repo_id", "project_name", "file_path", "language", "size", "lines", F.sha2("content", 256).alias("content_hash")
     )

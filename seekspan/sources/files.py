@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
+from collections import deque
 from collections.abc import Iterable, Iterator, Mapping
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import pyarrow as pa
@@ -14,32 +17,68 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from seekspan.functions import fixed, paths, text
 from seekspan.schemas import FILES
 
-_TREE = "file_path string, mtime timestamp, size bigint, raw binary"
-# files per input partition, and bytes per batch handed to Spark
+_TREE = "repo_id string, project_name string, file_path string, mtime timestamp, size bigint, raw binary"
+# directories listed by the driver per repository before the rest of the walk is left to the tasks
+_DRIVER_DIRS = 64
+# files of one listed directory per input partition, and bytes per batch handed to Spark
 _FILES_PER_SPLIT = 256
 _BATCH_BYTES = 8 << 20
 
 
+@dataclass
 class _Split(InputPartition):
-    def __init__(self, names: list[str]):
-        self.names = names
+    """Part of one repository: whole directories below `dirs`, or the single files in `names`."""
+
+    repo_id: str
+    project: str
+    root: str
+    dirs: list[str]
+    names: list[str]
 
 
 class _TreeReader(DataSourceReader):
-    def __init__(self, root: str, extensions: tuple[str, ...], skipped: frozenset[str]):
-        self.root, self.extensions, self.skipped = root, extensions, skipped
+    def __init__(self, repos: list[list[str]], extensions: tuple[str, ...], skipped: frozenset[str]):
+        self.repos, self.extensions, self.skipped = repos, extensions, skipped
+
+    def _list(self, folder: str) -> tuple[list[str], list[str]]:
+        """Subdirectories and files of a directory; skipped directories are pruned, so their content is never listed."""
+        dirs, names = [], []
+        with os.scandir(folder) as entries:
+            for e in sorted(entries, key=lambda e: e.name):
+                if e.is_dir(follow_symlinks=False):
+                    if e.name not in self.skipped and not e.name.startswith("."):
+                        dirs.append(e.path)
+                elif e.name.endswith(self.extensions):
+                    names.append(e.path)
+        return dirs, names
 
     def partitions(self) -> list[_Split]:
-        names: list[str] = []
-        for base, dirs, files in os.walk(self.root):
-            # skipped directories are pruned here, so their content is never listed
-            dirs[:] = sorted(d for d in dirs if d not in self.skipped and not d.startswith("."))
-            names.extend(os.path.join(base, f) for f in sorted(files) if f.endswith(self.extensions))
-        return [_Split(names[i : i + _FILES_PER_SPLIT]) for i in range(0, len(names), _FILES_PER_SPLIT)] or [_Split([])]
+        splits = []
+        for repo_id, project, root in self.repos:
+            todo, names, seen = deque([root]), [], 0
+            while todo and seen < _DRIVER_DIRS:
+                dirs, found = self._list(todo.popleft())
+                todo.extend(dirs)
+                names.extend(found)
+                seen += 1
+            splits += [_Split(repo_id, project, root, [d], []) for d in todo]
+            for i in range(0, len(names), _FILES_PER_SPLIT):
+                splits.append(_Split(repo_id, project, root, [], names[i : i + _FILES_PER_SPLIT]))
+        return splits or [_Split("", "", "", [], [])]
+
+    def _walk(self, split: _Split) -> Iterator[str]:
+        yield from split.names
+        todo = list(split.dirs)
+        while todo:
+            dirs, names = self._list(todo.pop())
+            yield from names
+            todo.extend(dirs)
 
     def read(self, split: _Split) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
             [
+                ("repo_id", pa.string()),
+                ("project_name", pa.string()),
                 ("file_path", pa.string()),
                 ("mtime", pa.timestamp("us", tz="UTC")),
                 ("size", pa.int64()),
@@ -48,16 +87,18 @@ class _TreeReader(DataSourceReader):
         )
         rows: list[dict] = []
         held = 0
-        for name in split.names:
+        for name in self._walk(split):
             try:
                 with open(name, "rb") as f:
                     raw = f.read()
-                stamp = os.stat(name).st_mtime
+                    stamp = os.fstat(f.fileno()).st_mtime
             except OSError:
                 continue  # unreadable files are left out
             rows.append(
                 {
-                    "file_path": os.path.relpath(name, self.root).replace(os.sep, "/"),
+                    "repo_id": split.repo_id,
+                    "project_name": split.project,
+                    "file_path": os.path.relpath(name, split.root).replace(os.sep, "/"),
                     "mtime": datetime.fromtimestamp(stamp, tz=timezone.utc),
                     "size": len(raw),
                     "raw": raw,
@@ -72,7 +113,11 @@ class _TreeReader(DataSourceReader):
 
 
 class SourceTree(DataSource):
-    """File tree on a mounted file system. Unlike the built-in file sources it does not hide names starting with '_'."""
+    """File trees on a file system that is mounted on driver and executors.
+
+    Unlike the built-in file sources it does not hide names starting with '_'. The driver lists only the first
+    directories of each repository; the tasks list and read what lies below them.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -83,34 +128,34 @@ class SourceTree(DataSource):
 
     def reader(self, schema) -> _TreeReader:
         return _TreeReader(
-            self.options["path"],
+            json.loads(self.options["repos"]),
             tuple(self.options["extensions"].split(",")),
             frozenset(self.options["skipped"].split(",")),
         )
 
 
-def scan_repo(
+def scan_repos(
     spark: SparkSession,
-    root: str,
-    repo: str | None = None,
-    project: str | None = None,
+    repos: Iterable[tuple[str, str, str]],
     extensions: Iterable[str] = tuple(fixed.INDEX_LANGUAGES),
     skipped: Iterable[str] = fixed.SKIP_DIRS,
 ) -> DataFrame:
-    """`files` rows of a source tree. Content that is not valid UTF-8 is repaired."""
-    root = os.path.abspath(root)
+    """`files` rows of several source trees, given as (repo_id, project_name, root), in one scan.
+
+    Content that is not valid UTF-8 is repaired.
+    """
     spark.dataSource.register(SourceTree)
     tree = (
         spark.read.format("source_tree")
+        .option("repos", json.dumps([[rid, name, os.path.abspath(root)] for rid, name, root in repos]))
         .option("extensions", ",".join(extensions))
         .option("skipped", ",".join(skipped))
-        .load(root)
+        .load()
     )
     content = F.make_valid_utf8(F.col("raw").cast("string"))
-    rid = F.lit(repo) if repo else paths.repo_id(F.lit(root))
     return tree.select(
-        rid.alias("repo_id"),
-        F.lit(project or os.path.basename(root)).alias("project_name"),
+        "repo_id",
+        "project_name",
         "file_path",
         paths.index_language("file_path").alias("language"),
         "size",
@@ -120,6 +165,14 @@ def scan_repo(
     )
 
 
+def scan_repo(spark: SparkSession, root: str, repo: str | None = None, project: str | None = None, **options) -> DataFrame:
+    """S1 for one source tree; id and project name default to those derived from its absolute path."""
+    root = os.path.abspath(root)
+    if repo is None:
+        repo = spark.range(1).select(paths.repo_id(F.lit(root))).first()[0]
+    return scan_repos(spark, [(repo, project or os.path.basename(root), root)], **options)
+
+
 def scan_documents(df: DataFrame, mapping: Mapping[str, Column]) -> DataFrame:
     """`files` rows from a document table.
 
