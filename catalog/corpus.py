@@ -34,7 +34,7 @@ def stamp(literal: str):
 
 
 def pick(values: list[str], n) -> F.Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    return F.element_at(F.expr(f"array({quoted(values)})"), (n % len(values) + 1).cast("int"))
 
 
 def file_path(n, stem: str) -> F.Column:

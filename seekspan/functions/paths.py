@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping
-from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,7 +19,14 @@ def col(c: Column | str) -> Column:
 
 def lookup(key: Column, table: Mapping) -> Column:
     """Literal-map lookup; null when the key is absent. Folds to a constant map, so no join is planned."""
-    return F.element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())]), key)
+    return F.element_at(F.expr("map(" + ", ".join(f"{literal(k)}, {literal(v)}" for k, v in table.items()) + ")"), key)
+
+
+def literal(value: str | int) -> str:
+    """SQL literal; one parsed expression is much cheaper to build than one call per element."""
+    if isinstance(value, int):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def extension(path: Column | str) -> Column:

@@ -13,6 +13,10 @@ from seekspan.functions.paths import col
 METRICS = ("l2", "l2sq", "cosine")
 
 
+def _literal(vector: Sequence[float]) -> Column:
+    return F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in vector) + ")")
+
+
 def _fold(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -25,7 +29,7 @@ def vector_distance(embedding: Column | str, vector: Sequence[float] | Column, m
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     left = col(embedding).cast("array<double>")
-    right = vector.cast("array<double>") if isinstance(vector, Column) else F.lit([float(x) for x in vector])
+    right = vector.cast("array<double>") if isinstance(vector, Column) else _literal(vector)
     if metric == "cosine":
         dot = _fold(F.zip_with(left, right, lambda a, b: a * b))
         norm = F.sqrt(_fold(F.transform(left, lambda a: a * a))) * F.sqrt(_fold(F.transform(right, lambda b: b * b)))

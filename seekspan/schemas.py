@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -52,9 +51,10 @@ AUDIT = struct_of("ts timestamp, op string, kv map<string,string>, raw string")
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns of the schema in order; missing ones become typed nulls, extra ones are dropped."""
     have = set(df.columns)
-    return df.select(
+    # parsed as one list of SQL expressions, which is cheaper to build than a cast and an alias per column
+    return df.selectExpr(
         *[
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+            f"CAST({f'`{f.name}`' if f.name in have else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`"
             for f in schema.fields
         ]
     )

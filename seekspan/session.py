@@ -19,6 +19,8 @@ SETTINGS = {
     # lets a join on (file, chunk id) reuse a partitioning by file
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # no call-site capture for every column expression: plans with many columns are built several times faster
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.session.timeZone": "UTC",
 }
