@@ -397,12 +397,30 @@ def p17(spark, d):
 # --- embeddings --------------------------------------------------------------------------------------------------------
 
 
-@query("e2_embed_texts")
+# cells of the built-in model: words by the first four hex digits of their MD5
+WORD_CELL_SQL = "('0x' || substr(md5(word), 1, 4))::INT % 64"
+block(
+    "cell_counts",
+    f"""SELECT chunk_id, {WORD_CELL_SQL} AS cell, count(*) AS n FROM (
+    SELECT chunk_id, unnest(regexp_extract_all(lower(content), '[a-z0-9_]+')) AS word
+    FROM (SELECT DISTINCT chunk_id, content FROM windows)) GROUP BY ALL""",
+    "windows",
+)
+
+
+@query(
+    "e2_embed_texts",
+    sql(
+        """SELECT w.chunk_id, string_agg(coalesce(n, 0)::VARCHAR, ',' ORDER BY c.cell) AS counts
+  FROM (SELECT DISTINCT chunk_id FROM windows) w CROSS JOIN (SELECT unnest(range(64)) AS cell) c
+  LEFT JOIN cell_counts k ON k.chunk_id = w.chunk_id AND k.cell = c.cell GROUP BY w.chunk_id""",
+        "cell_counts",
+    ),
+)
 def e2(spark, d):
-    """Hashed vectors of every window: norm and a text form of the vector."""
-    rows = embedding.embed(corpus.windows(spark, d))
-    norm = F.sqrt(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
-    return rows.select("chunk_id", F.round(norm, 4).alias("norm"), F.to_json("embedding").alias("vector"))
+    """The built-in model before scaling: hashed word counts of every window."""
+    rows = embedding.hash_embed(corpus.windows(spark, d).dropDuplicates(["chunk_id"]), unit=False)
+    return rows.select("chunk_id", F.array_join(F.col("embedding").cast("array<int>"), ",").alias("counts"))
 
 
 def letter_profile(texts):

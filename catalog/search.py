@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from catalog import corpus
 from catalog.base import block, query, sql
+from catalog.chunks import WORD_CELL_SQL
 from catalog.derive import DISTANCE, PREVIEW_SQL, relative_sql
 from seekspan.functions import scoring
 from seekspan.operators import reports
-from seekspan.operators.embedding import embed_distinct
+from seekspan.operators.embedding import embed
 from seekspan.operators.search import knn, knn_batch, knn_lsh, knn_per_collection
 from seekspan.operators.topk import global_top_k, paginate
 from seekspan.plans.request import SearchRequest
@@ -197,13 +198,43 @@ def e6_names(spark, d):
     return hits(search(v, request, corpus.mean_vector(spark, d), projects), "total_count")
 
 
-@query("e6_search_text")
+block(
+    "text_query",
+    f"""SELECT {WORD_CELL_SQL} AS cell, count(*)::DOUBLE AS n FROM (
+    SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS word
+    FROM (SELECT text FROM benchmark ORDER BY length(text) DESC, item_id LIMIT 1)) GROUP BY ALL""",
+)
+# unit vectors in single precision, as they are stored
+block(
+    "text_scored",
+    """SELECT c.chunk_id, sqrt(sum((c.x - coalesce(q.x, 0)) ** 2) + (SELECT sum(x ** 2) FROM unit_query)
+    - coalesce(sum(q.x ** 2), 0)) AS distance
+  FROM (SELECT chunk_id, cell, (n / sqrt(sum(n * n) OVER (PARTITION BY chunk_id)))::FLOAT::DOUBLE AS x FROM cell_counts) c
+  LEFT JOIN unit_query q USING (cell) GROUP BY c.chunk_id""",
+    "cell_counts",
+    "unit_query",
+)
+block("unit_query", "SELECT cell, (n / sqrt(sum(n * n) OVER ()))::FLOAT::DOUBLE AS x FROM text_query", "text_query")
+
+
+@query(
+    "e6_search_text",
+    sql(
+        """SELECT row_number() OVER (ORDER BY distance, chunk_id)::INT AS rank, repo_id, chunk_id, file_path, content,
+  round(distance, 5) AS distance, round(1 / (1 + distance), 5) AS similarity
+  FROM text_scored JOIN (SELECT DISTINCT repo_id, chunk_id, file_path, content, status FROM states) USING (chunk_id)
+  WHERE status = 'active' ORDER BY distance, chunk_id LIMIT 10""",
+        "text_scored",
+        "states",
+    ),
+)
 def e6_text(spark, d):
     """Text search: the longest benchmark item against a stored table of all windows, embedded by the built-in model."""
     longest = corpus.table(spark, d, "benchmark").orderBy(F.length("text").desc(), "item_id").first()["text"]
     path = scratch_dir(spark, "chunks")
-    write_chunks(embed_distinct(corpus.states(spark, d)), path)
-    return hits(search_text(read_chunks(spark, path), SearchRequest(text=longest), None))
+    write_chunks(embed(corpus.states(spark, d).dropDuplicates(["chunk_id"]).drop("embedding")), path)
+    found = search_text(read_chunks(spark, path), SearchRequest(text=longest))
+    return hits(found).withColumns({c: F.round(c, 5) for c in ("distance", "similarity")})
 
 
 @query("e7_search_all", search_sql("status = 'active'", k=15))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +21,25 @@ DEFAULT_DIM = 64
 DEFAULT_MODEL = "feature-hash-64"
 
 
-def hash_embed(df: DataFrame, dim: int = DEFAULT_DIM, column: str = "content", out: str = "embedding") -> DataFrame:
-    """Unit-length hashed word counts, computed in the JVM. The same text gives the same vector everywhere."""
+def hash_embed(
+    df: DataFrame, dim: int = DEFAULT_DIM, column: str = "content", out: str = "embedding", unit: bool = True
+) -> DataFrame:
+    """Word counts hashed into `dim` cells, of unit length unless `unit` is off; evaluated in the JVM.
+
+    The cell of a word is the number in the first four hex digits of its MD5, modulo `dim`, so the same text gives the
+    same vector everywhere.
+    """
     words = F.regexp_extract_all(F.lower(F.col(column)), F.lit(r"[a-z0-9_]+"), F.lit(0))
-    hashed = HashingTF(numFeatures=dim, inputCol="__words", outputCol="__tf").transform(df.withColumn("__words", words))
-    unit = Normalizer(p=2.0, inputCol="__tf", outputCol="__unit").transform(hashed)
-    return unit.withColumn(out, vector_to_array("__unit", "float32")).drop("__words", "__tf", "__unit")
+    cells = F.transform(
+        words, lambda w: (F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % F.lit(dim)).cast("string")
+    )
+    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="__cells", outputCol="__counts")
+    counted = counter.transform(df.withColumn("__cells", cells))
+    vector = "__counts"
+    if unit:
+        counted = Normalizer(p=2.0, inputCol="__counts", outputCol="__unit").transform(counted)
+        vector = "__unit"
+    return counted.withColumn(out, vector_to_array(vector, "float32")).drop("__cells", "__counts", "__unit")
 
 
 def embed(df: DataFrame, embedder: Embedder | None = None, column: str = "content", out: str = "embedding") -> DataFrame:
