@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog import corpus
 from catalog.base import block, query, sql
 from catalog.chunks import WORD_CELL_SQL
-from catalog.derive import DISTANCE, PREVIEW_SQL, relative_sql
+from catalog.derive import DISTANCE, relative_sql
 from seekspan.functions import scoring
 from seekspan.operators import reports
 from seekspan.operators.embedding import embed
@@ -221,7 +221,7 @@ block("unit_query", "SELECT cell, (n / sqrt(sum(n * n) OVER ()))::FLOAT::DOUBLE
     "e6_search_text",
     sql(
         """SELECT row_number() OVER (ORDER BY distance, chunk_id)::INT AS rank, repo_id, chunk_id, file_path, content,
-  round(distance, 5) AS distance, round(1 / (1 + distance), 5) AS similarity
+  round(distance, 4) AS distance, round(1 / (1 + distance), 4) AS similarity
   FROM text_scored JOIN (SELECT DISTINCT repo_id, chunk_id, file_path, content, status FROM states) USING (chunk_id)
   WHERE status = 'active' ORDER BY distance, chunk_id LIMIT 10""",
         "text_scored",
@@ -234,7 +234,7 @@ def e6_text(spark, d):
     path = scratch_dir(spark, "chunks")
     write_chunks(embed(corpus.states(spark, d).dropDuplicates(["chunk_id"]).drop("embedding")), path)
     found = search_text(read_chunks(spark, path), SearchRequest(text=longest))
-    return hits(found).withColumns({c: F.round(c, 5) for c in ("distance", "similarity")})
+    return hits(found).withColumns({c: F.round(c, 4) for c in ("distance", "similarity")})
 
 
 @query("e7_search_all", search_sql("status = 'active'", k=15))

@@ -32,6 +32,7 @@ class GateProcessor(StatefulProcessor):
         self.state = handle.getValueState("recent", recent)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        # one key's rows of one micro-batch, which the rate limit of the source bounds; they have to be put in order
         batch = pd.concat(list(rows)).sort_values(["micros", "event_id"], kind="stable")
         known = list(self.state.get()[0]) if self.state.exists() else []
         gate = GateState(self.limit, self.width, known)
