@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import corpus
-from catalog.base import block, query, quoted, sql
+from catalog.base import block, query, quoted, settings, sql, state_partitions
 from catalog.maintain import shown, shown_sql
 from seekspan.functions import fixed, text
 from seekspan.operators import audit, ratelimit
@@ -177,9 +177,10 @@ def g7(spark, d):
 def drain(stream, spark, name, mode="append"):
     """Run a streaming query to its end into a Parquet table."""
     out = scratch_dir(spark, name)
-    stream.writeStream.format("parquet").outputMode(mode).option("path", out).option(
-        "checkpointLocation", scratch_dir(spark, "progress")
-    ).trigger(availableNow=True).start().awaitTermination()
+    with settings(spark, **state_partitions(spark)):
+        stream.writeStream.format("parquet").outputMode(mode).option("path", out).option(
+            "checkpointLocation", scratch_dir(spark, "progress")
+        ).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -262,11 +263,7 @@ def g6_stream(spark, d):
     """The gate as keyed state over the event stream."""
     from seekspan.streaming.gate import stream_gate
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    rocks = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    with settings(spark, spark__sql__streaming__stateStore__providerClass=rocks):
         rows = drain(stream_gate(live_attempts(spark, d), GATE, WEEK), spark, "gate")
-    finally:
-        spark.conf.set(key, before)
     return rows.select("ip", "event_id", "admitted")

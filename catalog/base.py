@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +61,25 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings (with '__' for '.') for the time a streaming query runs."""
+    values = {name.replace("__", "."): value for name, value in values.items()}
+    before = {name: spark.conf.get(name) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def state_partitions(spark: SparkSession) -> dict[str, str]:
+    """The number of state partitions is fixed when a stream starts; these short streams need no more than the cores."""
+    return {"spark__sql__shuffle__partitions": str(spark.sparkContext.defaultParallelism)}
+
+
 def case(expr: str, table: dict, default: str) -> str:
     """CASE expression over a fixed lookup table."""
     arms = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items())

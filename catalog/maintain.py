@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import corpus
-from catalog.base import block, query, sql
+from catalog.base import block, query, settings, sql, state_partitions
 from catalog.chunks import letter_profile, symbols
 from catalog.derive import KEY
 from seekspan.functions import paths
@@ -655,7 +655,8 @@ def r4(spark, d):
     rows.coalesce(1).write.mode("append").parquet(inbox)
     rows.coalesce(1).write.mode("append").parquet(inbox)
     stream = live.stream_dedupe(live.file_stream(spark, inbox, rows, "*.parquet", files_per_trigger=1))
-    stream.writeStream.format("parquet").option("path", out).option(
-        "checkpointLocation", scratch_dir(spark, "progress")
-    ).trigger(availableNow=True).start().awaitTermination()
+    with settings(spark, **state_partitions(spark)):
+        stream.writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", scratch_dir(spark, "progress")
+        ).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(out).select("chunk_id", "content_hash")
