@@ -221,7 +221,7 @@ block("unit_query", "SELECT cell, (n / sqrt(sum(n * n) OVER ()))::FLOAT::DOUBLE
     "e6_search_text",
     sql(
         """SELECT row_number() OVER (ORDER BY distance, chunk_id)::INT AS rank, repo_id, chunk_id, file_path, content,
-  round(distance, 4) AS distance, round(1 / (1 + distance), 4) AS similarity
+  round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS similarity
   FROM text_scored JOIN (SELECT DISTINCT repo_id, chunk_id, file_path, content, status FROM states) USING (chunk_id)
   WHERE status = 'active' ORDER BY distance, chunk_id LIMIT 10""",
         "text_scored",
@@ -233,8 +233,7 @@ def e6_text(spark, d):
     longest = corpus.table(spark, d, "benchmark").orderBy(F.length("text").desc(), "item_id").first()["text"]
     path = scratch_dir(spark, "chunks")
     write_chunks(embed(corpus.states(spark, d).dropDuplicates(["chunk_id"]).drop("embedding")), path)
-    found = search_text(read_chunks(spark, path), SearchRequest(text=longest))
-    return hits(found).withColumns({c: F.round(c, 4) for c in ("distance", "similarity")})
+    return hits(search_text(read_chunks(spark, path), SearchRequest(text=longest)))
 
 
 @query("e7_search_all", search_sql("status = 'active'", k=15))
