@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import seekspan
-from seekspan.llm import bpe, exact_dedup, line_dedup, packing
+from seekspan.llm import bpe, exact_dedup, imatch, language, line_dedup, packing, privacy
 from seekspan.llm.common import documents
 from seekspan.session import ship_packages
 
@@ -76,3 +76,46 @@ def op8_line_dedup(spark, sf_dir):
 def op9_exact_dedup(spark, sf_dir):
     """Groups of equal texts, found through a new digest index loaded in two batches."""
     return exact_dedup.dedupe(documents(spark, sf_dir))
+
+
+def joined_spans(spans) -> F.Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def number_of(kind: str) -> F.Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
+@query("op6_pii")
+def op6_pii(spark, sf_dir):
+    """Personal data and disclosing terms in every document."""
+    found = privacy.find(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"] != privacy.TERM)
+    counts = {f"n_{kind}": number_of(kind) for kind in privacy.KINDS}
+    return found.select(
+        "doc_id",
+        *[c.alias(n) for n, c in counts.items()],
+        F.sha2(joined_spans(base), 256).alias("base_sha256"),
+        joined_spans(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op7_language")
+def op7_language(spark, sf_dir):
+    """Language of every document, learned from four fifths of them."""
+    docs = documents(spark, sf_dir)
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = language.fit(docs.select("doc_id", "text", "lang"), fold != 0)
+    return language.identify(docs, model).select(
+        "doc_id",
+        (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"),
+        "lang_pred",
+        "score",
+        F.size("spans").alias("n_spans"),
+    )
+
+
+@query("op10_imatch")
+def op10_imatch(spark, sf_dir):
+    """I-Match fingerprints of all texts and of their edited forms."""
+    return imatch.edit_test(documents(spark, sf_dir))
