@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import seekspan
-from seekspan.llm import bpe, exact_dedup, imatch, language, line_dedup, packing, privacy
+from seekspan.llm import bpe, exact_dedup, imatch, language, line_dedup, near_dedup, packing, privacy
 from seekspan.llm.common import documents
 from seekspan.session import ship_packages
 
@@ -119,3 +119,9 @@ def op7_language(spark, sf_dir):
 def op10_imatch(spark, sf_dir):
     """I-Match fingerprints of all texts and of their edited forms."""
     return imatch.edit_test(documents(spark, sf_dir))
+
+
+@query("op2_near_dedup")
+def op2_near_dedup(spark, sf_dir):
+    """Groups of near-duplicate documents."""
+    return near_dedup.groups(documents(spark, sf_dir))
