@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import seekspan
-from seekspan.llm import bpe, exact_dedup, imatch, language, line_dedup, near_dedup, packing, privacy
+from seekspan.llm import bpe, exact_dedup, imatch, katz, language, line_dedup, near_dedup, packing, privacy
 from seekspan.llm.common import documents
 from seekspan.session import ship_packages
 
@@ -125,3 +125,12 @@ def op10_imatch(spark, sf_dir):
 def op2_near_dedup(spark, sf_dir):
     """Groups of near-duplicate documents."""
     return near_dedup.groups(documents(spark, sf_dir))
+
+
+@query("op1_katz")
+def op1_katz(spark, sf_dir):
+    """Katz backoff scores of all documents, learned from those of four folds."""
+    docs = documents(spark, sf_dir)
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    out = katz.train_and_score(docs, fold != 1)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
