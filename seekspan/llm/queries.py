@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import seekspan
-from seekspan.llm import bpe, exact_dedup, imatch, katz, language, line_dedup, near_dedup, packing, privacy
+from seekspan.llm import bpe, exact_dedup, imatch, katz, language, line_dedup, near_dedup, packing, privacy, secrets
 from seekspan.llm.common import documents
 from seekspan.session import ship_packages
 
@@ -134,3 +134,16 @@ def op1_katz(spark, sf_dir):
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     out = katz.train_and_score(docs, fold != 1)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op3_secrets")
+def op3_secrets(spark, sf_dir):
+    """Secrets of known forms and random strings in every document."""
+    found = secrets.find(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"] != secrets.RANDOM)
+    return found.select(
+        "doc_id",
+        *[number_of(kind).alias(f"n_{kind}") for kind in secrets.KINDS],
+        F.sha2(joined_spans(base), 256).alias("base_sha256"),
+        joined_spans(F.col("spans")).alias("spans"),
+    )
