@@ -2,9 +2,73 @@
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+import seekspan
+from seekspan.llm import language, line_dedup, near_dedup, packing, privacy
+from seekspan.llm.common import documents, stored
+from seekspan.llm.queries import VOCABULARY
+from seekspan.session import ship_packages
+
+# a document goes if less than this share of its letters is in its main language
+MIN_LANGUAGE_SHARE = 0.5
+
+
+def with_text(rows: DataFrame, row: str, columns: list[str], text: Column) -> DataFrame:
+    """The columns of the input rows, with a new text and its length."""
+    changed = {"text": text, "n_chars": F.length(text).cast("long")}
+    return rows.select(*[changed.get(c, F.col(f"{row}.`{c}`")).alias(c) for c in columns])
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts that are null, have no letters, or are of no prevailing language; the labelled rows are learned from."""
+    ship_packages(spark, seekspan)
+    model = language.fit(docs, F.lit(True))
+    labelled = language.identify(docs, model, whole=True)
+    return labelled.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE)).select("_row.*")
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts boilerplate lines of each source out of the texts."""
+    out = line_dedup.drop_boilerplate(docs)
+    changed = {"n_chars": F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))}
+    return out.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group."""
+    ship_packages(spark, seekspan)
+    kept = near_dedup.groups(docs).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data and disclosing terms by their kind."""
+    ship_packages(spark, seekspan)
+    return with_text(privacy.find(docs, whole=True), "_row", docs.columns, F.col("masked"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 1024 tokens; one row per piece."""
+    ship_packages(spark, seekspan)
+    return packing.pack_documents(docs, VOCABULARY)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("lines", drop_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", mask_personal_data),
+    ("packing", pack),
+]
+# groups of similar texts and token ids are beyond SQL; the stages are tested against brute force
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; the rows of the last one."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

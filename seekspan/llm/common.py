@@ -21,11 +21,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns that most operators read; a null text becomes an empty one."""
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    )
+def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """The two columns that most operators read; a null text becomes an empty one. With `whole`, the input row comes along
+    as one struct column `_row`, whatever its columns are called."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if whole else []
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *row)
+
+
+def row_type(docs: DataFrame) -> str:
+    return docs.schema.simpleString()
 
 
 def write_scratch(df: DataFrame, name: str, *partition_by: str) -> str:

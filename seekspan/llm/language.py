@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seekspan.llm.common import id_and_text, text_slices, words
+from seekspan.llm.common import id_and_text, row_type, text_slices, words
 
 UNKNOWN = "und"
 # at most so many labelled rows of each language are learned from
@@ -193,8 +193,8 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, ends: np.ndarray, penalty: f
     return labels
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, spans) of every row.
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score, spans) of every row; with `whole` also the input row as a struct `_row`.
 
     `spans` are the runs of words of one language: (lang, first, last) by word number, blank-separated words being counted
     from 0; words without letters belong to no span of their own. `lang_pred` is the language with the most letters (the
@@ -203,7 +203,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     for all languages alike. Repeated rows are labelled one by one.
     """
     span = pa.struct({"lang": pa.string(), "first": pa.int32(), "last": pa.int32()})
-    schema = pa.schema({"doc_id": pa.int64(), "lang_pred": pa.string(), "score": pa.float64(), "spans": pa.list_(span)})
+    names_out = ["doc_id", "lang_pred", "score", "spans"] + ["_row"] * whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in text_slices(batch, SLICE_BYTES)):
@@ -226,16 +226,14 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 spans: list[list] = [[] for _ in range(n)]
                 for a, b in zip(cut, stop):
                     spans[rows[a]].append((model.languages[labels[a]], int(numbers[a]), int(numbers[b - 1])))
-                top, whole = totals.argmax(1), totals.sum(1)
+                top, spelt = totals.argmax(1), totals.sum(1)
                 found = [
-                    (model.languages[top[i]], float(totals[i, top[i]] / whole[i]), spans[i]) if whole[i] else (UNKNOWN, 0.0, [])
+                    (model.languages[top[i]], float(totals[i, top[i]] / spelt[i]), spans[i]) if spelt[i] else (UNKNOWN, 0.0, [])
                     for i in range(n)
                 ]
             names, shares, runs = zip(*found) if found else ([], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(runs, pa.list_(span))], schema=schema
-            )
+            columns = [part.column("doc_id"), pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(runs, pa.list_(span))]
+            yield pa.RecordBatch.from_arrays(columns + [part.column("_row")] * whole, names=names_out)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, lang_pred string, score double, spans array<struct<lang: string, first: int, last: int>>"
-    )
+    out = "doc_id long, lang_pred string, score double, spans array<struct<lang: string, first: int, last: int>>"
+    return id_and_text(docs, id_col, text_col, whole).mapInArrow(run, out + f", _row {row_type(docs)}" * whole)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seekspan.llm.common import id_and_text, stored, text_slices, words
+from seekspan.llm.common import id_and_text, row_type, stored, text_slices, words
 
 KINDS = ["email", "ip", "card", "phone"]
 TERM = "term"
@@ -189,15 +189,16 @@ def mask(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, spans, masked) of every row: all spans, values by kind and start and then the disclosing terms by
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """(doc_id, spans, masked) of every row, and with `whole` the input row as a struct `_row`: all spans, values by kind and start and then the disclosing terms by
     start, as (kind, start, end) in code points, and the text with all of them masked.
 
     A null text counts as empty and has no spans. Rows that repeat a doc_id share its disclosing terms. Texts without a
     digit or an at sign go through unchanged and unshuffled.
     """
-    rows = id_and_text(docs, id_col, text_col)
-    telling = stored(disclosures(rows), "disclosures")
+    rows = id_and_text(docs, id_col, text_col, whole)
+    telling = stored(disclosures(rows.select("doc_id", "text")), "disclosures")
+    row = ["_row"] * whole
     span = pa.struct({"kind": pa.string(), "start": pa.int32(), "end": pa.int32()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,13 +208,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 base = base_spans(text)
                 spans.append(base + term_spans(text, terms or [], base))
                 masked.append(mask(text, spans[-1]) if spans[-1] else text)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), pa.array(spans, pa.list_(span)), pa.array(masked, pa.string())],
-                names=["doc_id", "text", "spans", "masked"],
-            )
+            columns = [batch.column("doc_id"), pa.array(spans, pa.list_(span)), pa.array(masked, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [batch.column(c) for c in row], names=["doc_id", "spans", "masked", *row])
 
-    schema = "doc_id long, text string, spans array<struct<kind: string, start: int, end: int>>, masked string"
-    searched = holders(rows).join(telling, "doc_id", "left").select("doc_id", "text", "terms").mapInArrow(run, schema)
+    schema = "doc_id long, spans array<struct<kind: string, start: int, end: int>>, masked string" + f", _row {row_type(docs)}" * whole
+    searched = holders(rows).join(telling, "doc_id", "left").select("doc_id", "text", "terms", *row).mapInArrow(run, schema)
     empty = F.from_json(F.lit("[]"), "array<struct<kind: string, start: int, end: int>>")
-    others = rows.filter(~F.col("text").rlike("[0-9@]")).select("doc_id", "text", empty.alias("spans"), F.col("text").alias("masked"))
+    others = rows.filter(~F.col("text").rlike("[0-9@]")).select("doc_id", empty.alias("spans"), F.col("text").alias("masked"), *row)
     return searched.unionByName(others)
