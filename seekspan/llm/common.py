@@ -77,7 +77,10 @@ def text_slices(batch: pa.RecordBatch, limit: int = BATCH_BYTES) -> Iterator[pa.
     while at < batch.num_rows:
         base = ends[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
-        yield batch.slice(at, stop - at)
+        part = batch.slice(at, stop - at)
+        # a copy of the texts: some string kernels of Arrow mistake the offsets of sliced arrays
+        text = pa.concat_arrays([part.column("text").cast(pa.large_string()), pa.array([], pa.large_string())])
+        yield part.set_column(part.schema.get_field_index("text"), "text", text)
         at = stop
 
 
