@@ -233,7 +233,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 ]
             names, shares, runs = zip(*found) if found else ([], [], [])
             columns = [part.column("doc_id"), pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(runs, pa.list_(span))]
-            yield pa.RecordBatch.from_arrays(columns + [part.column("_row")] * whole, names=names_out)
+            yield pa.RecordBatch.from_arrays(columns + [part.column(c) for c in names_out[4:]], names=names_out)
 
     out = "doc_id long, lang_pred string, score double, spans array<struct<lang: string, first: int, last: int>>"
     return id_and_text(docs, id_col, text_col, whole).mapInArrow(run, out + f", _row {row_type(docs)}" * whole)

@@ -39,22 +39,21 @@ def drop_boilerplate(
     as pages of their own. Texts that lose no line are returned unchanged; a text of boilerplate only becomes empty.
     Columns of the input keep their values, except that clashing names `n_lines` and `n_dropped` are replaced.
     """
-    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    null_host = F.col(host_col).isNull()
-    pages = docs.select(F.struct(null_host, host).alias("host"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    found = stored(boilerplate(pages, ratio, min_pages), "boilerplate").select(
-        F.col("host.col1").alias("_null_host"), F.col("host.col2").alias("_host"), F.col("keys").alias("_keys")
-    )
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    host = F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host")
+    rows = docs.select(row, F.col(host_col).isNull().alias("_null_host"), host, F.col(text_col).alias("_text"))
+    pages = rows.select(F.struct("_null_host", "_host").alias("host"), F.col("_text").alias("text")).filter(F.col("text").isNotNull())
+    found = stored(boilerplate(pages, ratio, min_pages), "boilerplate").select("host._null_host", "host._host", F.col("keys").alias("_keys"))
     # a left join, which adaptive execution splits for a host with a large share of the pages
-    joined = docs.withColumns({"_null_host": null_host, "_host": host}).join(found, ["_null_host", "_host"], "left")
-    lines = F.split(F.col(text_col), "\n")
+    joined = rows.join(found, ["_null_host", "_host"], "left")
+    lines = F.split("_text", "\n")
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_keys"), line_key(x)), F.lit(False)))
     flagged = joined.withColumns({"_lines": F.size(lines), "_kept": F.when(F.col("_keys").isNotNull(), kept)})
-    dropped = F.when(F.col(text_col).isNull(), 0).otherwise(F.coalesce(F.col("_lines") - F.size("_kept"), F.lit(0)))
-    text = F.when(dropped > 0, F.concat_ws("\n", "_kept")).otherwise(F.col(text_col))
-    return flagged.withColumns({
-        text_col: text,
-        "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.col("_lines")).cast("long"),
-        "n_dropped": dropped.cast("long"),
-    }).select(*names, "n_lines", "n_dropped")
+    dropped = F.when(F.col("_text").isNull(), 0).otherwise(F.coalesce(F.col("_lines") - F.size("_kept"), F.lit(0)))
+    text = F.when(dropped > 0, F.concat_ws("\n", "_kept")).otherwise(F.col("_text"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return flagged.select(
+        *[(text if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in names],
+        F.when(F.col("_text").isNull(), 0).otherwise(F.col("_lines")).cast("long").alias("n_lines"),
+        dropped.cast("long").alias("n_dropped"),
+    )

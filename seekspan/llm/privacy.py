@@ -28,7 +28,7 @@ CONTEXT = 10
 MIN_CONTEXTS = 3
 # share of a term's documents that hold the entity, and the gain of information in bits
 MIN_POSTERIOR = 0.5
-MIN_BITS = 6.0
+MIN_BITS = 5.0
 MIN_TERM_LETTERS = 4
 
 _local = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -180,13 +180,17 @@ def term_spans(text: str, terms: list[str], base: list[Span]) -> list[Span]:
 
 
 def mask(text: str, spans: list[Span]) -> str:
-    """`text` with every value or term replaced by its kind; overlapping spans become one, named after the first."""
-    out, at = [], 0
-    for span in sorted(spans, key=lambda s: (s.start, -s.end)):
-        if span.start >= at:
-            out += [text[at : span.start], f"<{span.kind.upper()}>"]
-        at = max(at, span.end)
-    return "".join([*out, text[at:]])
+    """`text` with every value or term replaced by its kind; overlapping spans become one, named after the first. Values
+    that only come to light when their surroundings are masked are masked as well."""
+    while spans:
+        out, at = [], 0
+        for span in sorted(spans, key=lambda s: (s.start, -s.end)):
+            if span.start >= at:
+                out += [text[at : span.start], f"<{span.kind.upper()}>"]
+            at = max(at, span.end)
+        text = "".join([*out, text[at:]])
+        spans = base_spans(text)
+    return text
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
@@ -207,7 +211,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole:
             for text, terms in zip(batch.column("text").to_pylist(), batch.column("terms").to_pylist()):
                 base = base_spans(text)
                 spans.append(base + term_spans(text, terms or [], base))
-                masked.append(mask(text, spans[-1]) if spans[-1] else text)
+                masked.append(mask(text, spans[-1]))
             columns = [batch.column("doc_id"), pa.array(spans, pa.list_(span)), pa.array(masked, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [batch.column(c) for c in row], names=["doc_id", "spans", "masked", *row])
 

@@ -1,0 +1,79 @@
+"""Plain-Python restatements of the operators' rules, used only to check them."""
+
+import re
+from collections import defaultdict
+
+BLANK = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
+
+
+def shingles(text):
+    w = words(text)
+    return set(zip(*[w[i:] for i in range(5)])) if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def near_groups(rows):
+    """doc_id -> smallest reachable doc_id, by comparing all pairs."""
+    sets = {k: shingles(t) for k, t in rows}
+    parent = {k: k for k in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {k: root(k) for k in keys}, {k: len(s) for k, s in sets.items()}
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        x = int(d) * (1 + i % 2)
+        total += x - 9 * (x > 9)
+    return total % 10 == 0
+
+
+def pii(text):
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m[0].split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+    ]
+    return [(kind, *m.span()) for kind, pattern, good in rules for m in re.finditer(pattern, text or "") if good(m)]
+
+
+def secrets(text):
+    rules = [
+        ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) >= 8),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
+        ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 32),
+    ]
+    found = [(m.start(), i, m.end(), kind) for i, (kind, p, good) in enumerate(rules) for m in re.finditer(p, text or "") if good(m)]
+    return [(kind, a, b) for a, _, b, kind in sorted(found)]
+
+
+def boilerplate(rows, ratio, least):
+    """Texts of (host, text) rows without the lines that too many pages of the host contain."""
+    pages, contain = defaultdict(int), defaultdict(int)
+    for host, text in rows:
+        if text is not None:
+            pages[host] += 1
+            for line in {x.strip("\x20\t\n\x0b\x0c\r") for x in text.split("\n")} - {""}:
+                contain[host, line] += 1
+    gone = {k for k, n in contain.items() if n >= least and n > ratio * pages[k[0]]}
+    return [t if t is None else "\n".join(x for x in t.split("\n") if (h, x.strip("\x20\t\n\x0b\x0c\r")) not in gone) for h, t in rows]
