@@ -26,7 +26,7 @@ LEVEL = 75
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 ROUNDS = 2
-BLOCK = 64
+BLOCK = 256
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 STEPS = np.arange(1, SLOTS + 1, dtype=np.uint64) * GOLD
 CHUNK = 150_000
