@@ -24,7 +24,7 @@ SWITCH_PENALTY = 12.0
 # a script counts as used by a language from this share of its letters
 SCRIPT_SHARE = 0.01
 IMPOSSIBLE = -1e4
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 # Letter ranges of scripts (first and last code point)
 SCRIPTS = {
