@@ -30,6 +30,7 @@ MIN_CONTEXTS = 3
 MIN_POSTERIOR = 0.5
 MIN_BITS = 5.0
 MIN_TERM_LETTERS = 4
+SLICE_BYTES = 4 << 20
 
 _local = re.compile(r"[A-Za-z0-9._%+-]+")
 _domain = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -103,7 +104,7 @@ def evidence(docs: DataFrame) -> DataFrame:
     """(entity, doc_id, context, terms) for every value in `docs` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in text_slices(b, SLICE_BYTES)):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 spans = base_spans(text)
@@ -122,7 +123,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """(term, docs_with_term) over all of `docs` (doc_id, text), summed up within batches before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for batch in batches for p in text_slices(batch)):
+        for part in (p for batch in batches for p in text_slices(batch, SLICE_BYTES)):
             flat, rows = words(part.column("text"))
             coded = flat.dictionary_encode()
             terms: dict[str, int] = {"": 0}
@@ -206,7 +207,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole:
     span = pa.struct({"kind": pa.string(), "start": pa.int32(), "end": pa.int32()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in text_slices(b, SLICE_BYTES)):
             spans, masked = [], []
             for text, terms in zip(batch.column("text").to_pylist(), batch.column("terms").to_pylist()):
                 base = base_spans(text)
