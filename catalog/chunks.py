@@ -208,6 +208,54 @@ def c2(spark, d):
     return parts(symbol_chunks(corpus.files(spark, d), symbols(spark, d)), "split_index")
 
 
+DEEP = 12
+
+
+def deep_dumps(spark, d):
+    """A dump per file, as JSON text: a chain of DEEP functions, each inside the one before, all on the first line."""
+    point = '"range":{"start":{"line":0,"character":0},"end":{"line":0,"character":0}}'
+    heads = "".join(f'{{"name":"deep{i}","kind":12,{point},"children":[' for i in range(DEEP))
+    return corpus.files(spark, d).select("repo_id", "file_path", F.lit(f"[{heads}{']}' * DEEP}]").alias("symbols"))
+
+
+block(
+    "deep_symbols",
+    f"""SELECT repo_id, file_path, '0' || repeat('.0', n::INT) AS symbol_id, n::INT AS depth, 'deep' || n AS name,
+    CASE WHEN n > 0 THEN 'deep' || (n - 1) END AS parent_name, split_part(content, chr(10), 1) AS content
+  FROM (SELECT *, unnest(range({DEEP})) AS n FROM files)""",
+    "files",
+)
+
+
+@query(
+    "s7_deep_symbols",
+    sql(
+        "SELECT repo_id, file_path, symbol_id, depth, name, parent_name, 1 AS start_line, 1 AS end_line FROM deep_symbols",
+        "deep_symbols",
+    ),
+)
+def s7_deep(spark, d):
+    """S7 with more levels than a fixed schema would have."""
+    return flatten_symbols(deep_dumps(spark, d)).select(
+        "repo_id", "file_path", "symbol_id", "depth", "name", "parent_name", "start_line", "end_line"
+    )
+
+
+@query(
+    "c2_deep_symbols",
+    sql(
+        f"""SELECT repo_id, file_path, 1 AS start_line, 1 AS end_line, name || CASE WHEN big THEN ' (part 1)' ELSE '' END AS symbol_name,
+  'function' AS symbol_kind, parent_name, floor((length(content) + CASE WHEN big THEN 1 ELSE 0 END) / 4)::INT AS chunk_tokens,
+  md5(content) AS md5 FROM (SELECT *, floor(length(content) / 4)::INT > {2 * fixed.TARGET_TOKENS} AS big FROM deep_symbols)
+  WHERE NOT big OR depth = 0""",
+        "deep_symbols",
+    ),
+)
+def c2_deep(spark, d):
+    """Chunks of deeply nested symbols; a split one takes its descendants with it."""
+    return parts(symbol_chunks(corpus.files(spark, d), flatten_symbols(deep_dumps(spark, d))))
+
+
 @query(
     "c3_nested_symbols",
     sql(
@@ -287,7 +335,7 @@ def e1_plugin(spark, d):
 def j5(spark, d):
     """Each distinct text is counted once; contents with more than two copies count as hot and are spread."""
     docs = corpus.table(spark, d, "documents")
-    counted = tokens.count_tokens_once(docs, tokens.pattern_counter, column="text", salt_on=["doc_id"], hot_rows=2)
+    counted = tokens.count_tokens_once(docs, tokens.pattern_counter, column="text")
     return counted.select("doc_id", "tokens")
 
 
@@ -458,7 +506,7 @@ def e2_plugin(spark, d):
 def e8(spark, d):
     """Contents with more than two copies count as hot and are spread in the join back."""
     stored = materialize(corpus.windows(spark, d).select("chunk_id", "content", "content_hash"), "windows")
-    rows = embedding.embed_distinct(stored, letter_profile, salt_on=["chunk_id"], hot_rows=2)
+    rows = embedding.embed_distinct(stored, letter_profile)
     values = [F.col("embedding")[i].cast("double").alias(v) for i, v in enumerate("aeiou")]
     return rows.select("chunk_id", "content_hash", *values)
 
@@ -475,7 +523,7 @@ def j4(spark, d):
     vecs = corpus.table(spark, d, "embeddings").select(
         F.col("vec_id"), key("vec_id").alias("content_hash"), "embedding"
     )
-    joined = embedding.attach_embeddings(docs, vecs, salt_on=["doc_id"])
+    joined = embedding.attach_embeddings(docs, vecs)
     return joined.select(
         "doc_id",
         F.col("doc_id").alias("vec_id"),

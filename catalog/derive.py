@@ -155,13 +155,13 @@ def p13(spark, d):
     )
 
 
-PREVIEW_SQL = r"""CASE WHEN NOT regexp_matches({c}, '\S') THEN '(empty)' ELSE (
+PREVIEW_SQL = r"""CASE WHEN NOT regexp_matches({c}, '[^\x09-\x0D \x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]') THEN '(empty)' ELSE (
   SELECT string_agg(CASE WHEN length(l) > 100 THEN substr(l, 1, 100) || '...' ELSE l END, '{sep}' ORDER BY n)
     || CASE WHEN count(*) FILTER (WHERE true) = 4 AND max(total) > max(first) + 3 THEN '{sep}...' ELSE '' END
   FROM (SELECT l, n, first, total FROM (
     SELECT unnest(string_split({c}, chr(10))) AS l, unnest(range(1, len(string_split({c}, chr(10))) + 1)) AS n,
       len(string_split({c}, chr(10))) AS total,
-      list_position([regexp_matches(x, '\S') for x in string_split({c}, chr(10))], true) AS first)
+      list_position([regexp_matches(x, '[^\x09-\x0D \x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]') for x in string_split({c}, chr(10))], true) AS first)
     WHERE n >= first AND n < first + 4)) END"""
 
 

@@ -102,9 +102,9 @@ def s3(spark, d):
     ),
 )
 def s3_json(spark, d):
-    """Exchange form: JSON documents of about twenty files each."""
+    """Exchange form: four JSON documents for each repository."""
     path = scratch_dir(spark, "manifests")
-    tables.export_manifest_json(corpus.projects(spark, d), corpus.manifest(spark, d), path, files_per_document=20)
+    tables.export_manifest_json(corpus.projects(spark, d), corpus.manifest(spark, d), path, parts=4)
     projects, files = tables.import_manifest_json(spark, path)
     return projects.join(files, "repo_id").select(
         "repo_id", "project_name", "repo_path", "last_indexed_commit", shown("indexed_at"), "file_path", "line_count",
@@ -279,8 +279,9 @@ def stored(spark, d):
 @query(
     "d4_full_index_prune",
     sql(
-        f"""SELECT DISTINCT chunk_id, repo_id, 'active' AS status, NULL::VARCHAR AS deleted_at FROM windows
-  UNION ALL SELECT chunk_id, repo_id, 'deleted', '{corpus.NOW}' FROM stored
+        f"""SELECT DISTINCT chunk_id, repo_id, 'active' AS status, NULL::VARCHAR AS deleted_at,
+    (length(content) - length(replace(content, 'e', '')))::DOUBLE AS e FROM windows
+  UNION ALL SELECT chunk_id, repo_id, 'deleted', '{corpus.NOW}', NULL FROM stored
     WHERE chunk_id NOT IN (SELECT chunk_id FROM windows)""",
         "windows",
         "stored",
@@ -291,17 +292,23 @@ def d4_prune(spark, d):
         corpus.files(spark, d), corpus.stamp(corpus.NOW), existing=stored(spark, d), prune=True,
         embedder=letter_profile, max_tokens=2000,
     )
-    return index.select("chunk_id", "repo_id", "status", shown("deleted_at"))
+    return index.select("chunk_id", "repo_id", "status", shown("deleted_at"), letter_e())
 
 
+# `e`, the second number of the vector, is the count of that letter: the new chunks are really embedded
 INCREMENTAL_SQL = """SELECT s.chunk_id, s.repo_id, s.file_path,
     CASE WHEN c.change IN ('deleted', 'modified') THEN 'deleted' ELSE 'active' END AS status,
-    CASE WHEN c.change IN ('deleted', 'modified') THEN 'abc1234' END AS deleted_in_commit
+    CASE WHEN c.change IN ('deleted', 'modified') THEN 'abc1234' END AS deleted_in_commit, NULL::DOUBLE AS e
   FROM stored s LEFT JOIN changes c USING (repo_id, file_path)
-  UNION ALL SELECT DISTINCT w.chunk_id, w.repo_id, w.file_path, 'active', NULL FROM windows w
+  UNION ALL SELECT DISTINCT w.chunk_id, w.repo_id, w.file_path, 'active', NULL,
+    (length(w.content) - length(replace(w.content, 'e', '')))::DOUBLE FROM windows w
     JOIN changes c USING (repo_id, file_path) WHERE c.change IN ('added', 'modified')"""
 
 
+def letter_e():
+    return F.col("embedding")[1].cast("double").alias("e")
+
+
 @query("d5_incremental_index", sql(INCREMENTAL_SQL, "stored", "changes", "windows"))
 def d5(spark, d):
     f = corpus.files(spark, d)
@@ -309,7 +316,7 @@ def d5(spark, d):
     index = incremental_index(
         found, f, stored(spark, d), corpus.stamp(corpus.NOW), "abc1234", embedder=letter_profile, max_tokens=2000
     )
-    return index.select(*STATE)
+    return index.select(*STATE, letter_e())
 
 
 @query(
@@ -642,19 +649,19 @@ def r1(spark, d):
         stream, table, scratch_dir(spark, "progress"), corpus.stamp(corpus.NOW), commit="abc1234", embedder=letter_profile,
         max_tokens=2000,
     ).awaitTermination()
-    return tables.read_chunks(spark, table).select(*STATE)
+    return tables.read_chunks(spark, table).select(*STATE, letter_e())
 
 
 @query("r4_stream_dedupe", sql("SELECT DISTINCT chunk_id, content_hash FROM windows", "windows"))
 def r4(spark, d):
-    """All windows arrive twice, in two files; each id leaves once."""
+    """All windows arrive twice, in many files; each id leaves once."""
     inbox, out = scratch_dir(spark, "inbox"), scratch_dir(spark, "out")
     rows = build_chunks(corpus.files(spark, d), corpus.stamp(corpus.NOW), max_tokens=2000).select(
         "chunk_id", "content_hash", "indexed_at"
     )
-    rows.coalesce(1).write.mode("append").parquet(inbox)
-    rows.coalesce(1).write.mode("append").parquet(inbox)
-    stream = live.stream_dedupe(live.file_stream(spark, inbox, rows, "*.parquet", files_per_trigger=1))
+    rows.write.mode("append").parquet(inbox)
+    rows.write.mode("append").parquet(inbox)
+    stream = live.stream_dedupe(live.file_stream(spark, inbox, rows, "*.parquet", files_per_trigger=4))
     with settings(spark, **state_partitions(spark)):
         stream.writeStream.format("parquet").option("path", out).option(
             "checkpointLocation", scratch_dir(spark, "progress")

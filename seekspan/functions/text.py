@@ -64,10 +64,14 @@ def count_tokens(text: Column | str, pattern: str | None = None, specials: int =
     return (F.length(marks) + specials).cast("int")
 
 
+# anything but blanks of Unicode
+SHOWN = r"[^\p{IsWhite_Space}]"
+
+
 def content_preview(content: Column | str, n: int = 4, width: int = 100) -> Column:
     """First n lines after leading blank ones, '...' when there are more, long lines cut; ['(empty)'] if blank."""
     lines = F.split(col(content), "\n")
-    first = F.array_position(F.transform(lines, lambda s: s.rlike(r"\S")), True).cast("int")
+    first = F.array_position(F.transform(lines, lambda s: s.rlike(SHOWN)), True).cast("int")
     body = F.slice(lines, first, F.size(lines))
     cut = F.transform(
         F.slice(body, 1, n),
@@ -75,7 +79,7 @@ def content_preview(content: Column | str, n: int = 4, width: int = 100) -> Colu
     )
     more = F.when(F.size(body) > n, F.array_append(cut, F.lit("..."))).otherwise(cut)
     # slice() rejects position 0, so blank content is settled before the body is looked at
-    blank = ~F.coalesce(col(content), F.lit("")).rlike(r"\S")
+    blank = ~F.coalesce(col(content), F.lit("")).rlike(SHOWN)
     return F.when(blank, F.array(F.lit("(empty)"))).otherwise(more)
 
 

@@ -37,6 +37,23 @@ def _byte_windows(content: Column, window: int, step: int) -> Column:
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substr(raw, i * step + 1, F.lit(window)))
 
 
+def running_total(counts: Column, size: int = 256) -> Column:
+    """1 plus the sum of all numbers before each one.
+
+    Arrays are folded in blocks, since each step of a fold copies the array it has made so far: blocks of `size` numbers,
+    and the sums of the blocks, are short even for a file of very many windows."""
+    blocks = F.when(F.size(counts) > 0, F.sequence(F.lit(0), F.floor((F.size(counts) - 1) / size).cast("int")))
+    parts = F.transform(blocks, lambda b: F.slice(counts, b * size + 1, F.lit(size)))
+
+    def before(numbers: Column, first: Column) -> Column:
+        zero = F.struct(first.alias("sum"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, x: F.struct((acc["sum"] + x).cast("int").alias("sum"), F.array_append(acc["out"], acc["sum"]).alias("out"))
+        return F.aggregate(numbers, zero, step, lambda acc: acc["out"])
+
+    sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda s, x: (s + x).cast("int")))
+    return F.coalesce(F.flatten(F.zip_with(parts, before(sums, F.lit(1)), before)), F.array().cast("array<int>"))
+
+
 def window_chunks(
     files: DataFrame,
     target: int = fixed.TARGET_TOKENS,
@@ -48,7 +65,7 @@ def window_chunks(
     """C1 + W1: sliding windows with line numbers.
 
     A chunk starts at the line the previous one ended on, counting the overlap twice (`true_lines=True` gives the real
-    start line instead). The running line number is folded inside the row, so no per-file window, sort or shuffle is
+    start line instead). The running line number is summed up inside the row, so no per-file window, sort or shuffle is
     needed. `unit='byte'` cuts UTF-8 bytes, keeps them in `raw` for hashing, and repairs cut code points in `content`.
     """
     window, step = _sizes(target, overlap, cpt)
@@ -63,20 +80,17 @@ def window_chunks(
         """Newlines of the part that the next window does not repeat."""
         return newlines(F.substr(piece, F.lit(1), F.lit(step)))
 
-    def push(acc: Column, piece: Column) -> Column:
-        start = acc["line"]
-        end = (start + newlines(piece)).cast("int")
-        item = F.struct(
+    starts = running_total(F.transform(cuts, head_lines if true_lines else newlines))
+
+    def item(piece: Column, start: Column) -> Column:
+        return F.struct(
             start.alias("start_line"),
-            end.alias("end_line"),
+            (start + newlines(piece)).cast("int").alias("end_line"),
             (F.make_valid_utf8(piece.cast("string")) if byte else piece).alias("content"),
             (piece if byte else F.lit(None).cast("binary")).alias("raw"),
         )
-        following = (start + head_lines(piece)).cast("int") if true_lines else end
-        return F.struct(following.alias("line"), F.array_append(acc["out"], item).alias("out"))
 
-    zero = F.struct(F.lit(1).alias("line"), F.array().cast(f"array<{_PIECE}>").alias("out"))
-    pieces = F.aggregate(cuts, zero, push, lambda acc: acc["out"])
+    pieces = F.zip_with(cuts, starts, item)
     rest = [c for c in files.columns if c != "content"]
     out = (
         files.filter(F.length("content") > 0)

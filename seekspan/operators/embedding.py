@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekspan.functions import text
-from seekspan.operators.joins import HOT_ROWS, join_back
 
 # An embedder takes texts and returns one vector per text; it runs on executors, a batch at a time.
 Embedder = Callable[[Sequence[str]], np.ndarray]
@@ -56,31 +55,23 @@ def embed(df: DataFrame, embedder: Embedder | None = None, column: str = "conten
     return df.withColumn(out, run(F.col(column)))
 
 
-def embed_distinct(
-    df: DataFrame,
-    embedder: Embedder | None = None,
-    column: str = "content",
-    salt_on: Sequence[str] = (),
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def embed_distinct(df: DataFrame, embedder: Embedder | None = None, column: str = "content") -> DataFrame:
     """Embed each distinct content once and join the vectors back on the content hash.
 
-    Copies collapse on the map side of the distinct step; in the join back the rows of heavily copied contents are
-    spread (see `join_back`). The input is read once for the distinct contents and once for the join: pass a stored
+    Copies collapse on the map side of the distinct step; in the join back adaptive execution splits the rows of a heavily
+    copied content, which is why the vectors are on the right of a left join and carry no hint. The input is read once for the distinct contents and once for the join: pass a stored
     table rather than a long computation.
     """
     keyed = df if "content_hash" in df.columns else df.withColumn("content_hash", text.content_hash(column))
     once = embed(keyed.select("content_hash", column).dropDuplicates(["content_hash"]), embedder, column)
     vectors = once.select("content_hash", "embedding")
-    return join_back(keyed.drop("embedding"), vectors, "content_hash", salt_on, hot_rows=hot_rows)
+    return keyed.drop("embedding").join(vectors, "content_hash", "left")
 
 
-def attach_embeddings(
-    chunks: DataFrame, vectors: DataFrame, salt_on: Sequence[str] = (), hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def attach_embeddings(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """Chunks with precomputed vectors by content hash; chunks without a vector are left out."""
     pairs = vectors.select("content_hash", "embedding").dropDuplicates(["content_hash"])
-    return join_back(chunks.drop("embedding"), pairs, "content_hash", salt_on, "inner", hot_rows)
+    return chunks.drop("embedding").join(pairs, "content_hash")
 
 
 def embed_query(spark: SparkSession, query: str, embedder: Embedder | None = None) -> list[float]:

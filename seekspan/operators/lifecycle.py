@@ -75,10 +75,10 @@ def restore(chunks: DataFrame, files: DataFrame) -> DataFrame:
 
 def soft_delete(chunks: DataFrame, files: DataFrame, now: times.Moment) -> tuple[DataFrame, DataFrame]:
     """L4: tombstone without a commit, and the number of chunks hit for each listed file."""
+    listed = files.select(*FILE).distinct()
+    counts = chunks.select(*FILE).join(listed, FILE, "left_semi").groupBy(*FILE).agg(F.count(F.lit(1)).alias("n"))
     hits = (
-        files.select(*FILE)
-        .distinct()
-        .join(chunks.groupBy(*FILE).agg(F.count(F.lit(1)).alias("n")), FILE, "left")
+        listed.join(counts, FILE, "left")
         .select(*FILE, F.coalesce("n", F.lit(0)).alias("deleted_count"))
     )
     return tombstone(chunks, files, now), hits

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,10 +18,9 @@ from seekspan.functions import scoring
 from seekspan.operators.filters import same_dim
 from seekspan.operators.topk import global_top_k, top_k_per_group
 
-# Most query vectors held by one scan; larger query tables are handled block by block.
+# Vectors in one block of queries and of chunks.
 QUERY_BLOCK = 1024
-# Most candidate rows kept per task before they are emitted early.
-CARRY_ROWS = 1_000_000
+CHUNK_BLOCK = 8192
 # Most numbers in one exact re-computation.
 EXACT_CELLS = 1 << 22
 
@@ -74,82 +72,67 @@ def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
     return found.groupby(["q", "repo_id"], sort=False).head(k)
 
 
-def _scan_block(chunks: DataFrame, ids: list, matrix: np.ndarray, id_type: T.DataType, k: int, metric: str) -> DataFrame:
+def _packed(df: DataFrame, vector: str, size: int, prefix: str) -> DataFrame:
+    """Rows in blocks of at most `size`: their other columns as lists, their vectors of one length as one matrix."""
+    keys = [c for c in df.columns if c != vector]
+    fields = [T.StructField(f"{prefix}{c}", T.ArrayType(df.schema[c].dataType)) for c in keys]
+    fields += [T.StructField(f"{prefix}dim", T.IntegerType()), T.StructField(f"{prefix}matrix", T.BinaryType())]
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column(vector).value_lengths().to_numpy(zero_copy_only=False)
+            for dim in np.unique(lengths[~np.isnan(lengths.astype(float))]).astype(int).tolist():
+                places = np.flatnonzero(lengths == dim)
+                for at in range(0, len(places), size):
+                    part = batch.take(pa.array(places[at : at + size]))
+                    matrix = part.column(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    lists = [pa.array([part.column(c).to_pylist()], pa.list_(part.column(c).type)) for c in keys]
+                    yield pa.RecordBatch.from_arrays([*lists, pa.array([dim], pa.int32()), pa.array([matrix.tobytes()])], names=names)
+
+    return df.mapInArrow(run, T.StructType(fields))
+
+
+def knn_batch(chunks: DataFrame, queries: DataFrame, k: int, metric: str = "l2", block: int = QUERY_BLOCK) -> DataFrame:
+    """Exact nearest neighbours of many queries, per query and collection, then merged per query.
+
+    Queries and chunks are packed into blocks, and every block of queries meets every block of chunks on some executor,
+    where one matrix product ranks them; at most k rows per query, collection and pair of blocks go on. Blocks, not rows,
+    are combined, nothing goes through the driver, and the plan is the same for any number of queries. Vectors of another
+    length than a query's are no candidates for it.
+    """
     types = {f.name: f.dataType for f in chunks.schema.fields}
     schema = T.StructType(
         [
-            T.StructField("query_id", id_type),
+            T.StructField("query_id", queries.schema["query_id"].dataType),
             T.StructField("repo_id", types["repo_id"]),
             T.StructField("chunk_id", types["chunk_id"]),
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    shared = chunks.sparkSession.sparkContext.broadcast((np.array(ids, dtype=object), matrix))
+    asked = _packed(queries.select("query_id", "query_vec"), "query_vec", block, "q_")
+    stock = _packed(chunks.select("repo_id", "chunk_id", "embedding"), "embedding", CHUNK_BLOCK, "c_")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, queries = shared.value
-        columns = ["q", "repo_id", "chunk_id", "distance"]
-        carry = pd.DataFrame(columns=columns)
-
-        def emit(found: pd.DataFrame) -> pa.RecordBatch:
-            out = pd.DataFrame({"query_id": names[found["q"].to_numpy(dtype=int)]}, index=found.index)
-            return pa.RecordBatch.from_pandas(
-                out.assign(repo_id=found["repo_id"], chunk_id=found["chunk_id"], distance=found["distance"]),
-                preserve_index=False,
-            )
-
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            rows = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            rows = rows.reshape(batch.num_rows, queries.shape[1])
-            repos = batch.column("repo_id").to_pandas()
-            chunk_ids = batch.column("chunk_id").to_pandas().to_numpy()
-            found = [carry]
-            for repo, where in repos.groupby(repos, sort=False).indices.items():
-                qi, xi, dist = _candidates(queries, rows[where], k, metric)
-                part = {"q": qi, "repo_id": repo, "chunk_id": chunk_ids[where[xi]], "distance": dist}
-                found.append(_best(pd.DataFrame(part), k))
-            carry = _best(pd.concat([f for f in found if len(f)], ignore_index=True), k)
-            if len(carry) > CARRY_ROWS:
-                yield emit(carry)
-                carry = carry.iloc[:0]
-        if len(carry):
-            yield emit(carry)
-
-    return chunks.select("repo_id", "chunk_id", "embedding").mapInArrow(scan, schema)
-
-
-def knn_batch(chunks: DataFrame, queries: DataFrame, k: int, metric: str = "l2", block: int = QUERY_BLOCK) -> DataFrame:
-    """Exact nearest neighbours of many queries, per query and collection, then merged per query.
-
-    Each task multiplies its rows with a block of query vectors and keeps its k best per query and collection, so no
-    query-row pairs are ever shuffled. A block is small by construction (`block` vectors); a larger query table is cut
-    into several blocks by a hash of the query id, one scan each, whose results are united.
-    """
-    total = queries.count()
-    pieces = max(1, math.ceil(total / block))
-    if pieces > 1:
-        # half-full blocks on average leave room for uneven hashing
-        pieces *= 2
-    id_type = queries.schema["query_id"].dataType
-    parts = []
-    for i in range(pieces):
-        piece = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(pieces)) == i) if pieces > 1 else queries
-        rows = piece.select("query_id", "query_vec").collect()
-        if not rows:
-            continue
-        matrix = np.array([r["query_vec"] for r in rows], dtype=np.float64)
-        usable = same_dim(chunks, matrix.shape[1])
-        parts.append(_scan_block(usable, [r["query_id"] for r in rows], matrix, id_type, k, metric))
-    if not parts:
-        raise ValueError("no queries")
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
+            for pair in batch.to_pylist():
+                dim = pair["q_dim"]
+                if dim != pair["c_dim"]:
+                    continue
+                wanted = np.frombuffer(pair["q_matrix"], np.float64).reshape(-1, dim)
+                rows = np.frombuffer(pair["c_matrix"], np.float64).reshape(-1, dim)
+                names, ids = np.array(pair["q_query_id"], dtype=object), np.array(pair["c_chunk_id"], dtype=object)
+                repos = pd.Series(pair["c_repo_id"])
+                for repo, where in repos.groupby(repos, sort=False).indices.items():
+                    qi, xi, dist = _candidates(wanted, rows[where], k, metric)
+                    part = _best(pd.DataFrame({"q": qi, "repo_id": repo, "chunk_id": ids[where[xi]], "distance": dist}), k)
+                    out = pd.DataFrame({"query_id": names[part["q"].to_numpy(dtype=int)]}, index=part.index)
+                    out = out.assign(repo_id=part["repo_id"], chunk_id=part["chunk_id"], distance=part["distance"])
+                    yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+
+    found = stock.crossJoin(asked).mapInArrow(scan, schema)
     order = [F.col("distance"), F.col("chunk_id")]
-    # tasks already sent at most k rows per query and collection: no salted round is needed
-    per_repo = top_k_per_group(found, ["query_id", "repo_id"], order, k, salts=1)
+    per_repo = top_k_per_group(found, ["query_id", "repo_id"], order, k)
     return top_k_per_group(per_repo, ["query_id"], order, k, salts=1)
 
 

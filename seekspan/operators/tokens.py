@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekspan.functions import fixed, text
-from seekspan.operators.joins import HOT_ROWS, join_back
 
 # A counter takes texts and returns one token count per text; it runs on executors, a batch at a time.
 Counter = Callable[[Sequence[str]], Sequence[int]]
@@ -38,17 +37,14 @@ def count_tokens(df: DataFrame, counter: Counter | None = None, column: str = "c
 
 
 def count_tokens_once(
-    df: DataFrame,
-    counter: Counter | None = None,
-    column: str = "content",
-    out: str = "tokens",
-    salt_on: Sequence[str] = (),
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, counter: Counter | None = None, column: str = "content", out: str = "tokens"
 ) -> DataFrame:
-    """Count each distinct text once and join the counts back by MD5. Worth it for expensive counters."""
+    """Count each distinct text once and join the counts back by MD5. Worth it for expensive counters.
+
+    Adaptive execution splits the rows of a text with very many copies."""
     keyed = df.drop(out).withColumn("__key", text.content_md5(column))
     counts = count_tokens(keyed.select("__key", column).dropDuplicates(["__key"]), counter, column, out)
-    return join_back(keyed, counts.select("__key", out), "__key", salt_on, hot_rows=hot_rows).drop("__key")
+    return keyed.join(counts.select("__key", out), "__key", "left").drop("__key")
 
 
 def resplit(content, tokens: int, max_tokens: int, counter: Counter) -> list[dict]:

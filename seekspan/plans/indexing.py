@@ -79,7 +79,7 @@ def embedded(built: DataFrame, embedder: Embedder | None) -> DataFrame:
     """Vectors for new chunks: the built-in model runs in place, a plug-in model sees each distinct content once."""
     if embedder is None:
         return conform(embed(built.drop("embedding")), CHUNKS)
-    return conform(embed_distinct(built, embedder, salt_on=["chunk_id"]), CHUNKS)
+    return conform(embed_distinct(built, embedder), CHUNKS)
 
 
 def full_index(
@@ -88,11 +88,13 @@ def full_index(
     symbols: DataFrame | None = None,
     existing: DataFrame | None = None,
     prune: bool = False,
+    repos: DataFrame | None = None,
     embedder: Embedder | None = None,
     model_id: str = DEFAULT_MODEL,
     **options,
 ) -> DataFrame:
-    """All files chunked, embedded and upserted. `prune=True` tombstones stored chunks that were not rebuilt.
+    """All files chunked, embedded and upserted. `prune=True` tombstones stored chunks that were not rebuilt, of the
+    repositories in `files`, or of `repos` if given, which can name one whose last file is gone.
 
     The new chunks are needed several times (distinct contents, vectors, ids to replace), so they are written once to
     the shared scratch area and read back column by column.
@@ -102,14 +104,12 @@ def full_index(
     if existing is None:
         return batch
     if prune:
-        repos = files.select("repo_id").distinct()
-        stale = existing.join(repos, "repo_id", "left_semi")
-        other = existing.join(repos, "repo_id", "left_anti").select(*existing.columns)
-        gone = F.col("status").isNull() | (F.col("status") != DELETED)
-        stale = stale.withColumn(
-            "deleted_at", F.when(gone, F.date_trunc("second", moment(now))).otherwise(F.col("deleted_at"))
-        ).withColumn("status", F.lit(DELETED))
-        existing = other.unionByName(stale.select(*existing.columns))
+        listed = (files if repos is None else repos).select("repo_id").distinct().withColumn("__hit", F.lit(True))
+        hit = F.col("__hit").isNotNull()
+        alive = F.col("status").isNull() | (F.col("status") != DELETED)
+        stamp = F.when(hit & alive, F.date_trunc("second", moment(now))).otherwise(F.col("deleted_at"))
+        marked = {"deleted_at": stamp, "status": F.when(hit, DELETED).otherwise(F.col("status"))}
+        existing = existing.join(listed, "repo_id", "left").withColumns(marked).select(*existing.columns)
     return lifecycle.upsert(existing, batch, built, FILE)
 
 

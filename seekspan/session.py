@@ -52,15 +52,6 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input with fewer splits than the session has cores, such as one file with a single row group.
-
-    Large inputs have more splits than that and are returned as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared scratch area and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections import deque
@@ -169,7 +170,7 @@ def scan_repo(spark: SparkSession, root: str, repo: str | None = None, project:
     """S1 for one source tree; id and project name default to those derived from its absolute path."""
     root = os.path.abspath(root)
     if repo is None:
-        repo = spark.range(1).select(paths.repo_id(F.lit(root))).first()[0]
+        repo = hashlib.sha256(root.encode()).hexdigest()[:12]
     return scan_repos(spark, [(repo, project or os.path.basename(root), root)], **options)
 
 

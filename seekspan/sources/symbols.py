@@ -2,82 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seekspan.functions import fixed, paths
 
-_RANGE = "struct<start:struct<line:int,character:int>,end:struct<line:int,character:int>>"
-_LEAF = f"name:string,kind:int,range:{_RANGE},location:struct<uri:string,range:{_RANGE}>"
-
-
-def dump_schema(max_depth: int) -> T.StructType:
-    """One line per file: `{repo_id, file_path, symbols: [{name, kind, range, children: [...]}]}`."""
-    node = f"struct<{_LEAF}>"
-    for _ in range(max_depth - 1):
-        node = f"struct<{_LEAF},children:array<{node}>>"
-    return T.StructType.fromDDL(f"repo_id string, file_path string, symbols array<{node}>")
-
+# One line per file: `{repo_id, file_path, symbols: [{name, kind, range, children: [...]}]}`; the symbols stay JSON text,
+# so they may be nested to any depth.
+DUMPS = "repo_id string, file_path string, symbols string"
+SYMBOLS = (
+    "repo_id string, file_path string, symbol_id string, parent_id string, ancestor_ids array<string>, depth int, "
+    "name string, kind string, parent_name string, start_line int, end_line int"
+)
 
-def flatten_symbols(dumps: DataFrame, max_depth: int = 8) -> DataFrame:
-    """Nested symbols as rows with 1-based lines; the flat form with `location` is accepted.
 
-    Each level of a file becomes an array column derived from the level above, and one explode turns all levels into
-    rows, so the dumps are read once whatever the depth.
-    """
-    kinds = {i + 1: name for i, name in enumerate(fixed.SYMBOL_KINDS)}
-
-    def row(s: Column, symbol_id: Column, parent_id: Column, ancestors: Column, parent_name: Column, depth: int) -> Column:
-        span = F.coalesce(s["range"], s["location"]["range"])
-        return F.struct(
-            symbol_id.alias("symbol_id"),
-            parent_id.alias("parent_id"),
-            ancestors.alias("ancestor_ids"),
-            F.lit(depth).alias("depth"),
-            s["name"].alias("name"),
-            F.coalesce(paths.lookup(s["kind"], kinds), F.lit(paths.UNKNOWN)).alias("kind"),
-            parent_name.alias("parent_name"),
-            (span["start"]["line"] + 1).alias("start_line"),
-            (span["end"]["line"] + 1).alias("end_line"),
+def walk_symbols(nodes: list[dict]) -> Iterator[tuple]:
+    """(symbol_id, parent_id, ancestor_ids, depth, name, kind, parent_name, start_line, end_line) of a symbol forest, with
+    1-based lines; the flat form with `location` is accepted."""
+    stack = [(node, str(i), (), None) for i, node in enumerate(nodes)][::-1]
+    while stack:
+        node, symbol_id, ancestors, parent_name = stack.pop()
+        span = node.get("range") or (node.get("location") or {}).get("range") or {}
+        first, last = ((span.get(end) or {}).get("line") for end in ("start", "end"))
+        number = node.get("kind")
+        known = isinstance(number, int) and 0 < number <= len(fixed.SYMBOL_KINDS)
+        yield (
+            symbol_id,
+            ancestors[-1] if ancestors else None,
+            ancestors,
+            len(ancestors),
+            node.get("name"),
+            fixed.SYMBOL_KINDS[number - 1] if known else paths.UNKNOWN,
+            parent_name,
+            None if first is None else first + 1,
+            None if last is None else last + 1,
         )
+        below = (*ancestors, symbol_id)
+        children = node.get("children") or []
+        stack.extend((c, f"{symbol_id}.{i}", below, node.get("name")) for i, c in reversed(list(enumerate(children))))
 
-    none, root = F.lit(None).cast("string"), F.array().cast("array<string>")
-    df = dumps.select("repo_id", "file_path", F.col("symbols").alias("__n0")).withColumn(
-        "__r0", F.transform("__n0", lambda s, i: row(s, i.cast("string"), none, root, none, 0))
-    )
-    depth = 0
-    while depth + 1 < max_depth and "children" in df.schema[f"__n{depth}"].dataType.elementType.names:
-        nodes, rows = F.col(f"__n{depth}"), F.col(f"__r{depth}")
-        down = depth + 1
 
-        def expand(s: Column, r: Column) -> Column:
-            return F.transform(
-                s["children"],
-                lambda c, i: F.struct(
-                    c.alias("n"),
-                    row(
-                        c,
-                        F.concat_ws(".", r["symbol_id"], i.cast("string")),
-                        r["symbol_id"],
-                        F.array_append(r["ancestor_ids"], r["symbol_id"]),
-                        r["name"],
-                        down,
-                    ).alias("r"),
-                ),
-            )
+def flatten_symbols(dumps: DataFrame) -> DataFrame:
+    """Nested symbols, as JSON text or as arrays of structs, as one row per symbol, whatever the depth."""
+    nested = not isinstance(dumps.schema["symbols"].dataType, T.StringType)
+    dumps = dumps.select("repo_id", "file_path", (F.to_json("symbols") if nested else F.col("symbols")).alias("symbols"))
+    names = [f.split(" ")[0] for f in SYMBOLS.split(", ")]
+    types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), *[pa.string()] * 3, pa.int32(), pa.int32()]
 
-        df = (
-            df.withColumn("__next", F.flatten(F.filter(F.zip_with(nodes, rows, expand), lambda a: a.isNotNull())))
-            .withColumn(f"__n{down}", F.transform("__next", lambda p: p["n"]))
-            .withColumn(f"__r{down}", F.transform("__next", lambda p: p["r"]))
-            .drop("__next", f"__n{depth}")
-        )
-        depth = down
-    every = F.concat(*[F.col(f"__r{i}") for i in range(depth + 1)])
-    return df.select("repo_id", "file_path", F.explode(every).alias("s")).select("repo_id", "file_path", "s.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for repo, path, text in zip(*(batch.column(c).to_pylist() for c in ("repo_id", "file_path", "symbols"))):
+                rows = [(repo, path, *row) for row in walk_symbols(json.loads(text) or [])] if text else []
+                if rows:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return dumps.mapInArrow(run, SYMBOLS)
 
 
-def read_symbols(spark: SparkSession, path: str, max_depth: int = 8) -> DataFrame:
+def read_symbols(spark: SparkSession, path: str) -> DataFrame:
     """Symbol rows of a directory of dump files."""
-    return flatten_symbols(spark.read.schema(dump_schema(max_depth)).json(path), max_depth)
+    return flatten_symbols(spark.read.schema(DUMPS).json(path))

@@ -24,7 +24,7 @@ MANIFEST_JSON = T.StructType(
         *struct_of("active_chunk_count bigint, deleted_chunk_count bigint").fields,
     ]
 )
-FILES_PER_DOCUMENT = 100_000
+DOCUMENT_PARTS = 64
 RFC3339 = "yyyy-MM-dd'T'HH:mm:ssXXX"
 
 
@@ -77,7 +77,7 @@ def read_manifest(spark: SparkSession, path: str, repo_ids: Sequence[str] | None
 
 
 def import_manifest_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """S3: per-repository JSON manifests (a directory of one document per repository) as `projects`, `manifest_files`."""
+    """S3: JSON manifests (a directory of one or more documents per repository) as `projects`, `manifest_files`."""
     docs = spark.read.schema(MANIFEST_JSON).option("multiLine", True).json(path)
     projects = docs.select(
         "repo_id",
@@ -98,14 +98,9 @@ def import_manifest_json(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
     return projects, files
 
 
-def export_manifest_json(
-    projects: DataFrame, files: DataFrame, path: str, files_per_document: int = FILES_PER_DOCUMENT
-) -> None:
-    """S3: JSON documents for exchange, one per repository, with all its files in one map.
-
-    A repository with more files than fit a document is spread over several documents by a hash of the path, so that no
-    task has to hold an unbounded map; `import_manifest_json` puts them together again.
-    """
+def export_manifest_json(projects: DataFrame, files: DataFrame, path: str, parts: int = DOCUMENT_PARTS) -> None:
+    """S3: JSON documents for exchange. Each repository is `parts` documents, dealt out by a hash of the path (fewer if it
+    has no file for some of them, one if it has no files); `import_manifest_json` puts them together again."""
     info = F.struct(
         "language",
         "line_count",
@@ -113,11 +108,9 @@ def export_manifest_json(
         F.date_format("mtime", RFC3339).alias("last_mod_time"),
         "content_hash",
     )
-    sizes = files.groupBy("repo_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(files_per_document)).alias("__parts"))
-    part = F.pmod(F.xxhash64("file_path"), F.col("__parts")).alias("__part")
+    part = F.pmod(F.xxhash64("file_path"), F.lit(parts)).alias("__part")
     maps = (
-        files.join(sizes, "repo_id")
-        .select("repo_id", part, "file_path", info.alias("info"))
+        files.select("repo_id", part, "file_path", info.alias("info"))
         .groupBy("repo_id", "__part")
         .agg(F.map_from_entries(F.collect_list(F.struct("file_path", "info"))).alias("indexed_files"))
     )

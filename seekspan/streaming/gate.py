@@ -21,15 +21,15 @@ OUTPUT = "ip string, event_id bigint, ts timestamp, admitted boolean"
 
 
 class GateProcessor(StatefulProcessor):
-    """State per key: the last `limit` recorded failure times, dropped after one idle window."""
+    """State per key: the last `limit` recorded failure times, dropped when the key has been idle for `idle_seconds`."""
 
-    def __init__(self, limit: int, window_seconds: int):
-        self.limit, self.width = limit, window_seconds * MICROS
+    def __init__(self, limit: int, window_seconds: int, idle_seconds: int):
+        self.limit, self.width, self.idle = limit, window_seconds * MICROS, idle_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         recent = T.StructType([T.StructField("recent", T.ArrayType(T.LongType()))])
         # wall-clock expiry only bounds the state; correctness comes from the times themselves
-        self.state = handle.getValueState("recent", recent)
+        self.state = handle.getValueState("recent", recent, self.idle)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         # one key's rows of one micro-batch, which the rate limit of the source bounds; they have to be put in order
@@ -52,9 +52,16 @@ class GateProcessor(StatefulProcessor):
 
 
 def stream_gate(
-    attempts: DataFrame, limit: int = fixed.FAILURE_LIMIT, window_seconds: int = fixed.FAILURE_WINDOW_SECONDS
+    attempts: DataFrame,
+    limit: int = fixed.FAILURE_LIMIT,
+    window_seconds: int = fixed.FAILURE_WINDOW_SECONDS,
+    idle_seconds: int | None = None,
 ) -> DataFrame:
-    """Admission of attempts `(ip, event_id, ts[, kind])` as they arrive. Needs the RocksDB state store."""
+    """Admission of attempts `(ip, event_id, ts[, kind])` as they arrive. Needs the RocksDB state store.
+
+    The state of a key expires `idle_seconds` of wall-clock time after its last attempt, by default ten windows: a stream
+    that was paused for longer than that starts counting anew."""
+    idle_seconds = 10 * window_seconds if idle_seconds is None else idle_seconds
     success = F.col("kind") == "success" if "kind" in attempts.columns else F.lit(False)
     rows = attempts.select(
         F.col("ip").cast("string").alias("ip"),
@@ -67,10 +74,10 @@ def stream_gate(
     cloudpickle.register_pickle_by_value(package)
     try:
         return rows.groupBy("ip").transformWithStateInPandas(
-            statefulProcessor=GateProcessor(limit, window_seconds),
+            statefulProcessor=GateProcessor(limit, window_seconds, idle_seconds),
             outputStructType=T.StructType.fromDDL(OUTPUT),
             outputMode="Append",
-            timeMode="None",
+            timeMode="ProcessingTime",
         )
     finally:
         cloudpickle.unregister_pickle_by_value(package)

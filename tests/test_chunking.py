@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seekspan.operators.chunking import hybrid_chunks, pack_lines, symbol_chunks, window_chunks
 from seekspan.operators.tokens import count_tokens, fit_tokens, pattern_counter, resplit
 from seekspan.plans.indexing import build_chunks
-from seekspan.sources.symbols import dump_schema, flatten_symbols
+from seekspan.sources.symbols import DUMPS, flatten_symbols
 
 TEXTS = [
     "",
@@ -125,7 +125,7 @@ def dumps(spark, path="f0.go"):
 
     doc = {"repo_id": "r", "file_path": path, "symbols": [node(s) for s in SYMBOLS]}
     lines = spark.createDataFrame([(json.dumps(doc),)], ["v"])
-    return lines.select(F.from_json("v", dump_schema(8)).alias("d")).select("d.*")
+    return lines.select(F.from_json("v", DUMPS).alias("d")).select("d.*")
 
 
 def test_symbol_rows(spark):
