@@ -22,7 +22,8 @@ FAMILIES, LEVELS = 6, (2, 5, 7, 9)
 # texts with at most so many terms fall back on all of them if none is in the lexicon
 FEW_TERMS = 64
 
-MASKS = [0] + [((1 << level) - 1) << (10 * family) for family in range(FAMILIES) for level in LEVELS]
+# the masks of each family, the widest subset first; the others of a family are parts of it
+MASKS = [[((1 << level) - 1) << (10 * family) for level in LEVELS] for family in range(FAMILIES)]
 
 
 def terms(text: Column) -> Column:
@@ -40,14 +41,18 @@ def lexicon(texts: DataFrame) -> DataFrame:
 
 def hashes(keys: Column, fallback: Column) -> Column:
     """One hash for each lexicon subset, over the sorted keys of the terms in it; null where it holds none of them."""
-    masks = F.array(*[F.lit(m).cast("long") for m in MASKS])
+    def within(chosen: Column, mask: Column) -> Column:
+        return F.filter(chosen, lambda k: k.bitwiseAND(mask) == 0)
 
-    def one(mask: Column) -> Column:
-        chosen = F.filter(keys, lambda k: k.bitwiseAND(mask) == 0)
+    def one(chosen: Column) -> Column:
         return F.when(F.size(chosen) > 0, F.xxhash64(chosen))
 
-    rest = F.transform(masks, lambda m: F.when(m == 0, fallback))
-    return F.when(F.size(keys) > 0, F.transform(masks, one)).otherwise(rest)
+    families = F.array(*[F.array(*[F.lit(m).cast("long") for m in masks]) for masks in MASKS])
+    # the smaller subsets of a family are looked for in its widest one only
+    widest = F.transform(families, lambda masks: F.struct(masks.alias("masks"), within(keys, masks[0]).alias("chosen")))
+    found = F.transform(widest, lambda f: F.transform(f["masks"], lambda m: one(within(f["chosen"], m))))
+    none = F.array_repeat(F.lit(None).cast("long"), FAMILIES * len(LEVELS))
+    return F.when(F.size(keys) > 0, F.concat(F.array(one(keys)), F.flatten(found))).otherwise(F.concat(F.array(fallback), none))
 
 
 def likeness(a: Column, b: Column) -> Column:
