@@ -11,10 +11,10 @@ from catalog.derive import DISTANCE, relative_sql
 from seekspan.functions import scoring
 from seekspan.operators import reports
 from seekspan.operators.embedding import embed
-from seekspan.operators.search import knn, knn_batch, knn_lsh, knn_per_collection
+from seekspan.operators.search import LSH_BITS, LSH_TABLES, knn, knn_batch, knn_lsh, knn_per_collection, lsh_index
 from seekspan.operators.topk import global_top_k, paginate
 from seekspan.plans.request import SearchRequest
-from seekspan.plans.searching import search, search_all, search_batch, search_project, search_text
+from seekspan.plans.searching import search, search_all, search_batch, search_project, search_text, search_text_batch
 from seekspan.session import scratch_dir
 from seekspan.sources.tables import read_chunks, save_results, write_chunks
 
@@ -136,13 +136,68 @@ def e4_blocks(spark, d):
 )
 def e4_search(spark, d):
     request = SearchRequest(top_k=7, languages="go,python", exclude_path="^vendor/")
-    found = search_batch(corpus.vectors(spark, d), corpus.centroids(spark, d), request)
+    found = search_batch(corpus.vectors(spark, d), corpus.centroids(spark, d), request, path_filter="pre")
     return found.select("query_id", "repo_id", "chunk_id", *scores())
 
 
-@query("e5_nearest_approximate")
+@query(
+    "e4_search_batch_post",
+    sql(
+        f"""SELECT query_id, repo_id, chunk_id, row_number() OVER w AS rank, {SCORES_SQL} FROM (
+    SELECT * FROM batch_scored WHERE status = 'active'
+    QUALIFY row_number() OVER (PARTITION BY query_id, repo_id ORDER BY distance, chunk_id) <= 9)
+  WHERE starts_with(file_path, 'src/') WINDOW w AS (PARTITION BY query_id ORDER BY distance, chunk_id)
+  QUALIFY row_number() OVER w <= 9""",
+        "batch_scored",
+    ),
+)
+def e4_search_post(spark, d):
+    """Path filters after the ranking within collections, as in a single search."""
+    request = SearchRequest(top_k=9, path_prefix="src/")
+    found = search_batch(corpus.vectors(spark, d), corpus.centroids(spark, d), request)
+    return found.select("query_id", "repo_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), *scores())
+
+
+block(
+    "planes",
+    f"""SELECT t, b, i, CASE WHEN substr(md5(t || ':' || b || ':' || (i - 1)), 1, 1) < '8' THEN 1.0 ELSE -1.0 END AS sign
+  FROM range({LSH_TABLES}) AS x(t), range({LSH_BITS}) AS y(b), range(1, 65) AS z(i)""",
+)
+block(
+    "lsh_rows",
+    """SELECT chunk_id, t, sum(CASE WHEN dot > 0 THEN 1 << b ELSE 0 END) AS bucket FROM (
+    SELECT chunk_id, t, b::INT AS b, sum(x * sign) AS dot
+    FROM (SELECT chunk_id, unnest(embedding)::DOUBLE AS x, unnest(range(1, 65)) AS i FROM vectors) JOIN planes USING (i) GROUP BY ALL)
+  GROUP BY ALL""",
+    "vectors",
+    "planes",
+)
+block(
+    "lsh_query",
+    """SELECT t, sum(CASE WHEN dot > 0 THEN 1 << b ELSE 0 END) AS bucket FROM (
+    SELECT t, b::INT AS b, sum(x * sign) AS dot
+    FROM (SELECT unnest(query_vec)::DOUBLE AS x, unnest(range(1, 65)) AS i FROM mean_vector) JOIN planes USING (i) GROUP BY ALL)
+  GROUP BY ALL""",
+    "mean_vector",
+    "planes",
+)
+
+
+@query(
+    "e5_nearest_approximate",
+    sql(
+        f"""SELECT chunk_id, repo_id, {SCORES_SQL} FROM scored
+  WHERE chunk_id IN (SELECT chunk_id FROM lsh_rows JOIN lsh_query USING (t, bucket)) ORDER BY distance, chunk_id LIMIT 10""",
+        "scored",
+        "lsh_rows",
+        "lsh_query",
+    ),
+)
 def e5(spark, d):
-    rows = knn_lsh(corpus.vectors(spark, d), corpus.mean_vector(spark, d), 10)
+    """From a stored index, of which only the query's buckets are read."""
+    path = scratch_dir(spark, "lsh")
+    lsh_index(corpus.vectors(spark, d), 64).write.partitionBy("bucket").parquet(path)
+    rows = knn_lsh(spark.read.parquet(path), corpus.mean_vector(spark, d), 10)
     return rows.select("chunk_id", "repo_id", *scores())
 
 
@@ -236,6 +291,50 @@ def e6_text(spark, d):
     return hits(search_text(read_chunks(spark, path), SearchRequest(text=longest)))
 
 
+block(
+    "text_queries",
+    f"""SELECT item_id, cell, n / sqrt(sum(n * n) OVER (PARTITION BY item_id)) AS u FROM (
+    SELECT item_id, {WORD_CELL_SQL} AS cell, count(*)::DOUBLE AS n
+    FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS word FROM benchmark) GROUP BY ALL)""",
+)
+block(
+    "text_batch",
+    """SELECT q.item_id, c.chunk_id, sqrt(greatest(0, c.total + q.total - 2 * coalesce(p.dot, 0))) AS distance
+  FROM (SELECT item_id, sum(u::FLOAT::DOUBLE ** 2) AS total FROM text_queries GROUP BY ALL) q
+  CROSS JOIN (SELECT chunk_id, sum(x ** 2) AS total FROM chunk_units GROUP BY ALL) c
+  LEFT JOIN (SELECT item_id, chunk_id, sum(u::FLOAT::DOUBLE * x) AS dot FROM text_queries JOIN chunk_units USING (cell) GROUP BY ALL) p
+    USING (item_id, chunk_id)""",
+    "text_queries",
+    "chunk_units",
+)
+block(
+    "chunk_units",
+    """SELECT chunk_id, cell, (n / sqrt(sum(n * n) OVER (PARTITION BY chunk_id)))::FLOAT::DOUBLE AS x FROM cell_counts""",
+    "cell_counts",
+)
+
+
+@query(
+    "e6_search_text_batch",
+    sql(
+        """SELECT item_id AS query_id, round(min(distance), 6) AS nearest, round(max(distance), 6) AS farthest, count(*) AS found FROM (
+    SELECT item_id, distance FROM text_batch JOIN (SELECT DISTINCT chunk_id, status FROM states) USING (chunk_id)
+    WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY distance, chunk_id) <= 5) GROUP BY ALL""",
+        "text_batch",
+        "states",
+    ),
+)
+def e6_text_batch(spark, d):
+    """Text search for all benchmark items at once: the distances of each item's five best windows."""
+    path = scratch_dir(spark, "chunks")
+    write_chunks(embed(corpus.states(spark, d).dropDuplicates(["chunk_id"]).drop("embedding")), path)
+    items = corpus.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = search_text_batch(read_chunks(spark, path), items, SearchRequest(top_k=5))
+    return found.groupBy("query_id").agg(
+        F.round(F.min("distance"), 6).alias("nearest"), F.round(F.max("distance"), 6).alias("farthest"), F.count("*").alias("found")
+    )
+
+
 @query("e7_search_all", search_sql("status = 'active'", k=15))
 def e7_all(spark, d):
     return hits(search_all(corpus.vectors(spark, d), corpus.mean_vector(spark, d), 15), "total_count")

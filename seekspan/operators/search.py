@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +19,8 @@ from seekspan.operators.topk import global_top_k, top_k_per_group
 # Vectors in one block of queries and of chunks.
 QUERY_BLOCK = 1024
 CHUNK_BLOCK = 8192
+# Tables of the approximate index, and planes of each.
+LSH_TABLES, LSH_BITS = 8, 4
 # Most numbers in one exact re-computation.
 EXACT_CELLS = 1 << 22
 
@@ -93,8 +93,15 @@ def _packed(df: DataFrame, vector: str, size: int, prefix: str) -> DataFrame:
     return df.mapInArrow(run, T.StructType(fields))
 
 
-def knn_batch(chunks: DataFrame, queries: DataFrame, k: int, metric: str = "l2", block: int = QUERY_BLOCK) -> DataFrame:
-    """Exact nearest neighbours of many queries, per query and collection, then merged per query.
+def knn_batch_per_collection(
+    chunks: DataFrame,
+    queries: DataFrame,
+    k: int,
+    metric: str = "l2",
+    block: int = QUERY_BLOCK,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """E4 within every collection: (query_id, repo_id, chunk_id, carry..., distance).
 
     Queries and chunks are packed into blocks, and every block of queries meets every block of chunks on some executor,
     where one matrix product ranks them; at most k rows per query, collection and pair of blocks go on. Blocks, not rows,
@@ -107,11 +114,13 @@ def knn_batch(chunks: DataFrame, queries: DataFrame, k: int, metric: str = "l2",
             T.StructField("query_id", queries.schema["query_id"].dataType),
             T.StructField("repo_id", types["repo_id"]),
             T.StructField("chunk_id", types["chunk_id"]),
+            *[T.StructField(c, types[c]) for c in carry],
             T.StructField("distance", T.DoubleType()),
         ]
     )
+    carry = list(carry)
     asked = _packed(queries.select("query_id", "query_vec"), "query_vec", block, "q_")
-    stock = _packed(chunks.select("repo_id", "chunk_id", "embedding"), "embedding", CHUNK_BLOCK, "c_")
+    stock = _packed(chunks.select("repo_id", "chunk_id", *carry, "embedding"), "embedding", CHUNK_BLOCK, "c_")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,24 +134,63 @@ def knn_batch(chunks: DataFrame, queries: DataFrame, k: int, metric: str = "l2",
                 repos = pd.Series(pair["c_repo_id"])
                 for repo, where in repos.groupby(repos, sort=False).indices.items():
                     qi, xi, dist = _candidates(wanted, rows[where], k, metric)
-                    part = _best(pd.DataFrame({"q": qi, "repo_id": repo, "chunk_id": ids[where[xi]], "distance": dist}), k)
+                    row = where[xi]
+                    part = _best(pd.DataFrame({"q": qi, "repo_id": repo, "chunk_id": ids[row], "distance": dist, "row": row}), k)
                     out = pd.DataFrame({"query_id": names[part["q"].to_numpy(dtype=int)]}, index=part.index)
-                    out = out.assign(repo_id=part["repo_id"], chunk_id=part["chunk_id"], distance=part["distance"])
+                    out = out.assign(repo_id=part["repo_id"], chunk_id=part["chunk_id"])
+                    for c in carry:
+                        out[c] = np.array(pair[f"c_{c}"], dtype=object)[part["row"].to_numpy(dtype=int)]
+                    out = out.assign(distance=part["distance"])
                     yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
     found = stock.crossJoin(asked).mapInArrow(scan, schema)
-    order = [F.col("distance"), F.col("chunk_id")]
-    per_repo = top_k_per_group(found, ["query_id", "repo_id"], order, k)
-    return top_k_per_group(per_repo, ["query_id"], order, k, salts=1)
+    return top_k_per_group(found, ["query_id", "repo_id"], [F.col("distance"), F.col("chunk_id")], k)
 
 
-def knn_lsh(
-    chunks: DataFrame, vector: Sequence[float], k: int, tables: int = 8, bucket: float = 0.5, seed: int = 7
-) -> DataFrame:
-    """E5: approximate nearest neighbours by random projections; may return fewer or other rows than E3."""
-    vectors = same_dim(chunks, len(vector)).withColumn("__v", array_to_vector(F.col("embedding").cast("array<double>")))
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="__v", outputCol="__h", numHashTables=tables, bucketLength=bucket, seed=seed
-    )
-    near = lsh.fit(vectors).approxNearestNeighbors(vectors, Vectors.dense([float(x) for x in vector]), k, "distance")
-    return near.drop("__v", "__h").withColumn("similarity", scoring.similarity("distance"))
+def knn_batch(chunks: DataFrame, queries: DataFrame, k: int, metric: str = "l2", block: int = QUERY_BLOCK) -> DataFrame:
+    """Exact nearest neighbours of many queries, per query and collection, then merged per query."""
+    per_repo = knn_batch_per_collection(chunks, queries, k, metric, block)
+    return top_k_per_group(per_repo, ["query_id"], [F.col("distance"), F.col("chunk_id")], k, salts=1)
+
+
+def plane(table: int, bit: int, dim: int) -> list[float]:
+    """A hyperplane with components 1 and -1 from a fixed hash, so that stored buckets stay valid and SQL can repeat them."""
+    sign = lambda i: 1.0 if hashlib.md5(f"{table}:{bit}:{i}".encode()).hexdigest()[0] < "8" else -1.0
+    return [sign(i) for i in range(dim)]
+
+
+def lsh_buckets(embedding: Column, dim: int, tables: int = LSH_TABLES, bits: int = LSH_BITS) -> Column:
+    """E5: for each table, the number whose bits tell on which side of each of its planes the vector lies."""
+    vector = F.transform(embedding, lambda x: x.cast("double"))
+
+    def side(table: int, bit: int) -> Column:
+        signs = F.array(*[F.lit(x) for x in plane(table, bit, dim)])
+        dot = F.aggregate(F.zip_with(vector, signs, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        return F.when(dot > 0, 1 << bit).otherwise(0)
+
+    return F.array(*[sum((side(t, b) for b in range(1, bits)), side(t, 0)) for t in range(tables)])
+
+
+def lsh_index(chunks: DataFrame, dim: int, tables: int = LSH_TABLES, bits: int = LSH_BITS) -> DataFrame:
+    """E5: the chunks with vectors of `dim` numbers once per table and bucket, to be stored with `partitionBy("bucket")` or
+    bucketed; searching it reads the buckets of the query only."""
+    buckets = lsh_buckets(F.col("embedding"), dim, tables, bits)
+    return same_dim(chunks, dim).select("*", F.posexplode(buckets).alias("hash_table", "bucket"))
+
+
+def knn_lsh(index: DataFrame, vector: Sequence[float], k: int, tables: int = LSH_TABLES, bits: int = LSH_BITS) -> DataFrame:
+    """E5: approximate nearest neighbours from a stored `lsh_index`: exact ranking of the chunks that share a bucket with
+    the vector. May return fewer or other rows than E3."""
+    dim = len(vector)
+    asked = [
+        sum(1 << b for b in range(bits) if sum(x * y for x, y in zip(vector, plane(t, b, dim))) > 0) for t in range(tables)
+    ]
+    shared = [(F.col("hash_table") == t) & (F.col("bucket") == n) for t, n in enumerate(asked)]
+    wanted = shared[0]
+    for more in shared[1:]:
+        wanted = wanted | more
+    near = index.filter(wanted & F.col("bucket").isin(asked)).drop("hash_table", "bucket")
+    scored = near.withColumn("distance", scoring.vector_distance("embedding", vector))
+    # a chunk that shares several buckets came several times; at most `tables` times k rows are ranked twice
+    first = global_top_k(scored, [F.col("distance"), F.col("chunk_id")], k * tables).dropDuplicates(["repo_id", "chunk_id"])
+    return global_top_k(first, [F.col("distance"), F.col("chunk_id")], k).withColumn("similarity", scoring.similarity("distance"))

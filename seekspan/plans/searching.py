@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seekspan.functions import scoring
 from seekspan.operators import filters
-from seekspan.operators.embedding import Embedder, embed_query
-from seekspan.operators.search import knn_batch
+from seekspan.operators.embedding import Embedder, embed, embed_query
+from seekspan.operators.search import knn_batch_per_collection
 from seekspan.operators.topk import global_top_k, paginate, top_k_per_group
 from seekspan.plans.request import SearchRequest
 
@@ -95,9 +95,33 @@ def search_project(chunks: DataFrame, vector: Sequence[float], repo_id: str, top
 
 
 def search_batch(
-    chunks: DataFrame, queries: DataFrame, request: SearchRequest, projects: DataFrame | None = None, metric: str = "l2"
+    chunks: DataFrame,
+    queries: DataFrame,
+    request: SearchRequest,
+    projects: DataFrame | None = None,
+    path_filter: str = "post",
+    metric: str = "l2",
 ) -> DataFrame:
-    """E4 with the filters of a request: ranked ids per query. Path filters apply before the ranking."""
+    """E4 with the filters of a request: ranked ids per query. `path_filter` works as in `search`."""
     top_k, _, _ = request.window()
-    pool = path_filters(candidates(chunks, request, projects), request)
-    return knn_batch(pool, queries, top_k, metric).withColumn("similarity", scoring.similarity("distance"))
+    pool = candidates(chunks, request, projects)
+    if path_filter == "pre":
+        pool = path_filters(pool, request)
+    best = knn_batch_per_collection(pool, queries, top_k, metric, carry=["file_path"])
+    if path_filter == "post":
+        best = path_filters(best, request)
+    order = [F.col(c) for c in ORDER]
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return ranked.filter(F.col("rank") <= top_k).withColumn("similarity", scoring.similarity("distance"))
+
+
+def search_text_batch(
+    chunks: DataFrame,
+    texts: DataFrame,
+    request: SearchRequest,
+    embedder: Embedder | None = None,
+    path_filter: str = "post",
+) -> DataFrame:
+    """E6 for a table of texts (query_id, text), embedded with the model of the corpus on the executors."""
+    queries = embed(texts.select("query_id", F.col("text").alias("content")), embedder)
+    return search_batch(chunks, queries.select("query_id", F.col("embedding").alias("query_vec")), request, path_filter=path_filter)

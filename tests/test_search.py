@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seekspan.operators.search import _candidates, knn, knn_batch, knn_lsh
+from seekspan.operators.search import _candidates, knn, knn_batch, knn_lsh, lsh_index
 from seekspan.plans.request import SearchRequest
 from seekspan.plans.searching import search, search_project, search_text
 from seekspan.schemas import CHUNKS, conform
@@ -110,7 +110,7 @@ def test_candidates_keep_ties():
 def test_lsh_finds_the_nearest(table):
     rows = table.filter("repo_id <> 'hot'")
     vector = [float(x) for x in rows.filter("chunk_id = 'c0001'").first().embedding]
-    assert knn_lsh(rows, vector, 5).first().chunk_id == "c0001"
+    assert knn_lsh(lsh_index(rows, 8), vector, 5).first().chunk_id == "c0001"
 
 
 def test_text_search(spark):
