@@ -54,23 +54,10 @@ def running_total(counts: Column, size: int = 256) -> Column:
     return F.coalesce(F.flatten(F.zip_with(parts, before(sums, F.lit(1)), before)), F.array().cast("array<int>"))
 
 
-def window_chunks(
-    files: DataFrame,
-    target: int = fixed.TARGET_TOKENS,
-    overlap: int = fixed.OVERLAP_TOKENS,
-    cpt: float = fixed.CHARS_PER_TOKEN,
-    unit: str = "char",
-    true_lines: bool = False,
-) -> DataFrame:
-    """C1 + W1: sliding windows with line numbers.
-
-    A chunk starts at the line the previous one ended on, counting the overlap twice (`true_lines=True` gives the real
-    start line instead). The running line number is summed up inside the row, so no per-file window, sort or shuffle is
-    needed. `unit='byte'` cuts UTF-8 bytes, keeps them in `raw` for hashing, and repairs cut code points in `content`.
-    """
+def _window_pieces(content: Column, target: int, overlap: int, cpt: float, byte: bool, true_lines: bool = False) -> Column:
+    """The windows of a text as an array of _PIECE; null if the text is empty."""
     window, step = _sizes(target, overlap, cpt)
-    byte = unit == "byte"
-    cuts = (_byte_windows if byte else _char_windows)(F.col("content"), window, step)
+    cuts = (_byte_windows if byte else _char_windows)(content, window, step)
 
     def newlines(piece: Column) -> Column:
         as_text = piece.cast("string") if byte else piece
@@ -90,7 +77,25 @@ def window_chunks(
             (piece if byte else F.lit(None).cast("binary")).alias("raw"),
         )
 
-    pieces = F.zip_with(cuts, starts, item)
+    return F.when(F.length(content) > 0, F.zip_with(cuts, starts, item))
+
+
+def window_chunks(
+    files: DataFrame,
+    target: int = fixed.TARGET_TOKENS,
+    overlap: int = fixed.OVERLAP_TOKENS,
+    cpt: float = fixed.CHARS_PER_TOKEN,
+    unit: str = "char",
+    true_lines: bool = False,
+) -> DataFrame:
+    """C1 + W1: sliding windows with line numbers.
+
+    A chunk starts at the line the previous one ended on, counting the overlap twice (`true_lines=True` gives the real
+    start line instead). The running line number is summed up inside the row, so no per-file window, sort or shuffle is
+    needed. `unit='byte'` cuts UTF-8 bytes, keeps them in `raw` for hashing, and repairs cut code points in `content`.
+    """
+    byte = unit == "byte"
+    pieces = _window_pieces(F.col("content"), target, overlap, cpt, byte, true_lines)
     rest = [c for c in files.columns if c != "content"]
     out = (
         files.filter(F.length("content") > 0)
@@ -161,42 +166,81 @@ def symbol_chunks(
     Symbols are gathered per file before the join, so each file's text is shuffled and split into lines once, whatever
     the number of its symbols. A nested symbol is kept when its kind is significant and no ancestor was split.
     """
-    key = ["repo_id", "file_path"]
-    limit = 2 * target
-    per_file = symbols.groupBy(*key).agg(
-        F.collect_list(
-            F.struct("start_line", "depth", "symbol_id", "end_line", "name", "kind", "parent_name", "ancestor_ids")
-        ).alias("__symbols")
-    )
     rest = [c for c in files.columns if c != "content"]
-    joined = files.join(per_file, key).select(*rest, "__symbols", F.split("content", "\n").alias("__lines"))
+    joined = files.join(_symbols_per_file(symbols), ["repo_id", "file_path"])
+    return _cut_joined(joined, rest, target, cpt, overlap_lines, significant, unit).drop("raw")
+
+
+_SYMBOL = ("start_line", "depth", "symbol_id", "end_line", "name", "kind", "parent_name", "ancestor_ids")
+
+
+def _symbols_per_file(symbols: DataFrame) -> DataFrame:
+    return symbols.groupBy("repo_id", "file_path").agg(F.collect_list(F.struct(*_SYMBOL)).alias("__symbols"))
+
+
+def _cut_joined(
+    joined: DataFrame,
+    rest: list[str],
+    target: int,
+    cpt: float,
+    overlap_lines: int,
+    significant: tuple[str, ...],
+    unit: str,
+    windows: Column | None = None,
+) -> DataFrame:
+    """Chunks of files with their `__symbols`; files without symbols (null) are cut into `windows`, inside the same row."""
+    limit = 2 * target
+    # lines are only needed, and only split, where there are symbols
+    joined = joined.withColumn("__lines", F.when(F.col("__symbols").isNotNull(), F.split("content", "\n")))
 
     def body(s: Column) -> Column:
         first = F.greatest(s["start_line"], F.lit(1))
         last = F.least(s["end_line"], F.size("__lines"))
         return F.array_join(F.slice(F.col("__lines"), first, F.greatest(last - first + 1, F.lit(0))), "\n")
 
-    fields = ("start_line", "depth", "symbol_id", "end_line", "name", "kind", "parent_name", "ancestor_ids")
     cut = F.transform(
         F.array_sort("__symbols"),
-        lambda s: F.struct(*[s[f].alias(f) for f in fields], body(s).alias("content")),
+        lambda s: F.struct(*[s[f].alias(f) for f in _SYMBOL], body(s).alias("content"), F.lit(None).cast("binary").alias("raw")),
     )
+    if windows is not None:
+        empty = F.lit(None)
+        as_symbol = F.transform(
+            windows,
+            lambda w: F.struct(
+                w["start_line"].alias("start_line"),
+                empty.cast("int").alias("depth"),
+                empty.cast("string").alias("symbol_id"),
+                w["end_line"].alias("end_line"),
+                empty.cast("string").alias("name"),
+                F.lit("window").alias("kind"),
+                empty.cast("string").alias("parent_name"),
+                empty.cast("array<string>").alias("ancestor_ids"),
+                w["content"].alias("content"),
+                w["raw"].alias("raw"),
+            ),
+        )
+        cut = F.when(F.col("__symbols").isNotNull(), cut).otherwise(as_symbol)
     tokens = lambda c: text.estimate_tokens(c, cpt, unit)
     oversize = F.transform(F.filter("__cut", lambda s: tokens(s["content"]) > limit), lambda s: s["symbol_id"])
     kept = F.filter(
         "__cut",
-        lambda s: ((s["depth"] == 0) | s["kind"].isin(list(significant)))
-        & ~F.coalesce(F.arrays_overlap(s["ancestor_ids"], F.col("__oversize")), F.lit(False)),
+        lambda s: s["symbol_id"].isNull()
+        | (
+            ((s["depth"] == 0) | s["kind"].isin(list(significant)))
+            & ~F.coalesce(F.arrays_overlap(s["ancestor_ids"], F.col("__oversize")), F.lit(False))
+        ),
     )
+    size = F.octet_length("raw") if unit == "byte" else F.length("content")
+    is_symbol = F.col("symbol_id").isNotNull()
     rows = (
         joined.select(*rest, cut.alias("__cut"))
         .withColumn("__oversize", oversize)
         .select(*rest, F.posexplode(kept).alias("__pos", "s"))
         .select(*rest, "__pos", "s.*")
-        .withColumn("chunk_tokens", tokens(F.col("content")))
+        .withColumn("chunk_tokens", F.when(is_symbol, tokens(F.col("content"))).otherwise(F.floor(size / F.lit(cpt))).cast("int"))
     )
     # Only oversize texts travel to Python, and only line counts come back; the parts are cut here from the same row.
-    big = F.col("chunk_tokens") > limit
+    big = is_symbol & (F.col("chunk_tokens") > limit)
     pack = _line_packer(int(target * cpt), overlap_lines, unit == "byte")
     span = F.col("end_line") - F.col("start_line") + 1
     rows = rows.withColumn("__runs", pack(F.when(big, F.col("content")), F.when(big, span).otherwise(F.lit(0))))
@@ -235,11 +279,14 @@ def symbol_chunks(
         F.posexplode(F.when(F.col("__runs").isNull(), whole).otherwise(parts)).alias("__part", "p"),
         F.col("kind").alias("symbol_kind"),
         "parent_name",
+        "raw",
+        is_symbol.alias("__symbol"),
     )
+    # order within the file: symbol, then part; windows are numbered as such
+    number = F.when(F.col("__symbol"), F.col("__pos").cast("bigint") * F.lit(2**31) + F.col("__part")).otherwise(F.col("__pos"))
     return out.select(
         *rest,
-        # order within the file: symbol, then part
-        (F.col("__pos").cast("bigint") * F.lit(2**31) + F.col("__part")).alias("chunk_index"),
+        number.cast("bigint").alias("chunk_index"),
         "p.start_line",
         "p.end_line",
         "p.content",
@@ -249,7 +296,8 @@ def symbol_chunks(
         "parent_name",
         F.col("p.split_index").isNotNull().alias("is_split"),
         "p.split_index",
-        F.lit("symbol").alias("method"),
+        F.when(F.col("__symbol"), "symbol").otherwise("window").alias("method"),
+        "raw",
     )
 
 
@@ -269,15 +317,13 @@ def hybrid_chunks(
     files = files.withColumn("display_language", paths.detect_language("file_path"))
     if force_window:
         return window_chunks(files.withColumn("fallback_reason", F.lit("forced")), target, overlap, cpt, unit)
-    key = ["repo_id", "file_path"]
+    # one left join: each text is shuffled once at most, and symbols or windows are chosen inside the row
     parser = paths.parser_language("file_path") != ""
-    present = symbols.select(*key).distinct()
-    plain = files.filter(~parser).withColumn("fallback_reason", F.lit("no_parser")).unionByName(
-        files.filter(parser).join(present, key, "left_anti").withColumn("fallback_reason", F.lit("no_symbols"))
-    )
-    windows = window_chunks(plain, target, overlap, cpt, unit)
-    cut = symbol_chunks(
-        files.filter(parser).withColumn("fallback_reason", F.lit(None).cast("string")), symbols, target, cpt, unit=unit
+    joined = files.join(_symbols_per_file(symbols), ["repo_id", "file_path"], "left")
+    joined = joined.withColumn("__symbols", F.when(parser, F.col("__symbols"))).withColumn(
+        "fallback_reason", F.when(~parser, "no_parser").when(F.col("__symbols").isNull(), "no_symbols")
     )
-    windows = windows.withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
-    return windows.unionByName(cut, allowMissingColumns=True)
+    rest = [c for c in files.columns if c != "content"] + ["fallback_reason"]
+    windows = _window_pieces(F.col("content"), target, overlap, cpt, unit == "byte")
+    cut = _cut_joined(joined, rest, target, cpt, fixed.SPLIT_OVERLAP_LINES, fixed.SIGNIFICANT_KINDS, unit, windows)
+    return cut if unit == "byte" else cut.drop("raw")
