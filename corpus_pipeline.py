@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import seekspan
 from seekspan.llm import language, line_dedup, near_dedup, packing, privacy
-from seekspan.llm.common import documents, stored
+from seekspan.llm.common import documents, prepare, stored
 from seekspan.llm.queries import VOCABULARY
-from seekspan.session import ship_packages
 
 # a document goes if less than this share of its letters is in its main language
 MIN_LANGUAGE_SHARE = 0.5
@@ -23,7 +21,7 @@ def with_text(rows: DataFrame, row: str, columns: list[str], text: Column) -> Da
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts that are null, have no letters, or are of no prevailing language; the labelled rows are learned from."""
-    ship_packages(spark, seekspan)
+    prepare(spark)
     model = language.fit(docs, F.lit(True))
     labelled = language.identify(docs, model, whole=True)
     return labelled.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE)).select("_row.*")
@@ -38,20 +36,20 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group."""
-    ship_packages(spark, seekspan)
+    prepare(spark)
     kept = near_dedup.groups(docs).filter("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data and disclosing terms by their kind."""
-    ship_packages(spark, seekspan)
+    prepare(spark)
     return with_text(privacy.find(docs, whole=True), "_row", docs.columns, F.col("masked"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 1024 tokens; one row per piece."""
-    ship_packages(spark, seekspan)
+    prepare(spark)
     return packing.pack_documents(docs, VOCABULARY)
 
 

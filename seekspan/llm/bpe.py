@@ -28,7 +28,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 # Words of more bytes than this are merged through a heap; scanning all ranks again and again would be quadratic
 SHORT_WORD = 128
 BLOCK = 20_000
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 6 << 20
 NONE = 1 << 30
 
 # Blanks in Unicode or in Python's sense; a space next to another blank or at an end of the text is no place to cut

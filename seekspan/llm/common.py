@@ -11,10 +11,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekspan.session import scratch_dir
+import seekspan
+from seekspan.session import scratch_dir, ship_packages
 
 # Python tasks see at most so many bytes of text at once (a longer single text comes alone and whole)
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
+# and get them from the JVM in Arrow batches of about this size
+ARROW_BYTES = "8m"
+
+
+def prepare(spark: SparkSession) -> None:
+    """What the Python tasks of this package need: the package itself, and batches that leave them little to hold."""
+    ship_packages(spark, seekspan)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
