@@ -238,10 +238,9 @@ def e6_deleted(spark, d):
     return hits(search(corpus.vectors(spark, d), request, corpus.mean_vector(spark, d)), "total_count")
 
 
-@query("e6_search_metadata", search_sql("language = 'go' AND contains(file_path, 'lib')"))
+@query("e6_search_metadata", search_sql("language = 'go' AND contains(file_path, 'src')"))
 def e6_metadata(spark, d):
-    """Nothing matches: go files never lie in lib."""
-    request = SearchRequest(include_deleted=True, filters={"language": "go", "file_path": "lib"})
+    request = SearchRequest(include_deleted=True, filters={"language": "go", "file_path": "src"})
     return hits(search(corpus.vectors(spark, d), request, corpus.mean_vector(spark, d)), "total_count")
 
 

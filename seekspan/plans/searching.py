@@ -51,8 +51,8 @@ def search(
     """Filters, top-k per collection, path filters, global cut, page.
 
     With `path_filter='post'` the path filters see only the per-collection winners, so fewer than top_k results can
-    remain; `'pre'` filters first. Ranking runs on ids and distances alone; the wide columns are fetched for the rows of
-    the page by a join whose other side has at most `MAX_TOP_K` rows and can therefore be broadcast.
+    remain; `'pre'` filters first. Ranking runs on ids and distances alone, when the search is called; the wide columns are
+    then read for the rows of the page, at most `MAX_TOP_K`, from the files that can hold them.
     """
     top_k, page, page_size = request.window()
     order = [F.col(c) for c in ORDER]
@@ -67,8 +67,12 @@ def search(
         best = path_filters(best, request)
     ranked = paginate(global_top_k(best, order, top_k), order, page, page_size)
     hits = ranked.drop("file_path").withColumn("similarity", scoring.similarity("distance"))
-    wide = chunks.drop("embedding")
-    return wide.join(F.broadcast(hits), ["repo_id", "chunk_id"]).orderBy("rank")
+    # a page has at most MAX_TOP_K rows: their ids become predicates that prune collections, files and row groups
+    found = hits.collect()
+    repos, ids = ({r[c] for r in found} for c in ("repo_id", "chunk_id"))
+    wide = chunks.drop("embedding").filter(F.col("repo_id").isin(list(repos)) & F.col("chunk_id").isin(list(ids)))
+    page_rows = chunks.sparkSession.createDataFrame(found, hits.schema)
+    return wide.join(F.broadcast(page_rows), ["repo_id", "chunk_id"]).orderBy("rank")
 
 
 def search_text(
