@@ -264,6 +264,7 @@ def g6_stream(spark, d):
     from seekspan.streaming.gate import stream_gate
 
     rocks = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    with settings(spark, spark__sql__streaming__stateStore__providerClass=rocks):
+    options = {"spark__sql__streaming__stateStore__providerClass": rocks, "spark__sql__streaming__noDataMicroBatches__enabled": "false"}
+    with settings(spark, **options):
         rows = drain(stream_gate(live_attempts(spark, d), GATE, WEEK), spark, "gate")
     return rows.select("ip", "event_id", "admitted")

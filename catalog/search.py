@@ -125,6 +125,26 @@ def e4_blocks(spark, d):
     return found.withColumn("distance", F.round("distance", 6))
 
 
+@query(
+    "e4_nearest_many",
+    sql(
+        """SELECT query_id, count(*) AS found, round(min(distance), 6) AS nearest, round(max(distance), 6) AS farthest FROM (
+    SELECT q.vec_id AS query_id, v.chunk_id, list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance
+    FROM vectors v, embeddings q WHERE q.vec_id % 20 = 0
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) <= 10) GROUP BY query_id""",
+        "vectors",
+    ),
+)
+def e4_many(spark, d):
+    """Ten neighbours of every twentieth vector among all vectors."""
+    rows = corpus.table(spark, d, "embeddings").filter(F.col("vec_id") % 20 == 0)
+    queries = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query_vec"))
+    found = knn_batch(corpus.vectors(spark, d), queries, 10)
+    return found.groupBy("query_id").agg(
+        F.count("*").alias("found"), F.round(F.min("distance"), 6).alias("nearest"), F.round(F.max("distance"), 6).alias("farthest")
+    )
+
+
 @query(
     "e4_search_batch",
     sql(

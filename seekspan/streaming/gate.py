@@ -60,7 +60,9 @@ def stream_gate(
     """Admission of attempts `(ip, event_id, ts[, kind])` as they arrive. Needs the RocksDB state store.
 
     The state of a key expires `idle_seconds` of wall-clock time after its last attempt, by default ten windows: a stream
-    that was paused for longer than that starts counting anew."""
+    that was paused for longer than that starts counting anew. A run that shall end when it has read what is there
+    (`availableNow`) needs `spark.sql.streaming.noDataMicroBatches.enabled=false`, since expiry by the clock otherwise asks
+    for one more batch again and again."""
     idle_seconds = 10 * window_seconds if idle_seconds is None else idle_seconds
     success = F.col("kind") == "success" if "kind" in attempts.columns else F.lit(False)
     rows = attempts.select(
