@@ -412,3 +412,10 @@ def test_all_queries_are_registered():
 
     names = set(__spark_entry__.queries())
     assert set(QUERIES) | {"pipeline"} <= names and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+
+
+def test_katz_scores_other_texts(spark, docs):
+    """A model scores any blocks; on its own it gives what training and scoring in one go gives."""
+    tokens = katz.blocks(docs.select("doc_id", "text", fold(1).alias("train")).na.fill({"text": ""}))
+    apart = {(r["doc_id"], round(r["score"], 6)) for r in katz.score(tokens, katz.train(tokens)).collect()}
+    assert apart == {(r["doc_id"], round(r["score"], 6)) for r in katz.train_and_score(docs, fold(1)).collect()}
