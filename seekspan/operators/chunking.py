@@ -54,30 +54,45 @@ def running_total(counts: Column, size: int = 256) -> Column:
     return F.coalesce(F.flatten(F.zip_with(parts, before(sums, F.lit(1)), before)), F.array().cast("array<int>"))
 
 
-def _window_pieces(content: Column, target: int, overlap: int, cpt: float, byte: bool, true_lines: bool = False) -> Column:
-    """The windows of a text as an array of _PIECE; null if the text is empty."""
+def _with_windows(
+    files: DataFrame, wanted: Column, target: int, overlap: int, cpt: float, byte: bool, true_lines: bool = False
+) -> DataFrame:
+    """`files` with `__windows`, the windows of each text where `wanted` holds, as an array of _PIECE.
+
+    Each step is a column of its own, so that the cuts are made once per text however often they are referred to."""
     window, step = _sizes(target, overlap, cpt)
+    content = F.col("content")
     cuts = (_byte_windows if byte else _char_windows)(content, window, step)
 
     def newlines(piece: Column) -> Column:
         as_text = piece.cast("string") if byte else piece
         return text.newline_count(as_text)
 
-    def head_lines(piece: Column) -> Column:
-        """Newlines of the part that the next window does not repeat."""
-        return newlines(F.substr(piece, F.lit(1), F.lit(step)))
-
-    starts = running_total(F.transform(cuts, head_lines if true_lines else newlines))
+    def counts(piece: Column) -> Column:
+        """Newlines, and those of the part that the next window does not repeat."""
+        whole = newlines(piece)
+        head = newlines(F.substr(piece, F.lit(1), F.lit(step))) if true_lines else whole
+        return F.struct(whole.alias("whole"), head.alias("head"))
 
-    def item(piece: Column, start: Column) -> Column:
+    def item(piece: Column, place: Column) -> Column:
         return F.struct(
-            start.alias("start_line"),
-            (start + newlines(piece)).cast("int").alias("end_line"),
+            place["start"].alias("start_line"),
+            (place["start"] + place["whole"]).cast("int").alias("end_line"),
             (F.make_valid_utf8(piece.cast("string")) if byte else piece).alias("content"),
             (piece if byte else F.lit(None).cast("binary")).alias("raw"),
         )
 
-    return F.when(F.length(content) > 0, F.zip_with(cuts, starts, item))
+    def place(count: Column, start: Column) -> Column:
+        return F.struct(start.alias("start"), count["whole"].alias("whole"))
+
+    return (
+        files.withColumn("__cuts", F.when(wanted & (F.length(content) > 0), cuts))
+        .withColumn("__counts", F.transform("__cuts", counts))
+        .withColumn("__heads", F.transform("__counts", lambda c: c["head"]))
+        .withColumn("__starts", running_total(F.col("__heads")))
+        .withColumn("__windows", F.zip_with("__cuts", F.zip_with("__counts", "__starts", place), item))
+        .drop("__cuts", "__counts", "__heads", "__starts")
+    )
 
 
 def window_chunks(
@@ -95,11 +110,10 @@ def window_chunks(
     needed. `unit='byte'` cuts UTF-8 bytes, keeps them in `raw` for hashing, and repairs cut code points in `content`.
     """
     byte = unit == "byte"
-    pieces = _window_pieces(F.col("content"), target, overlap, cpt, byte, true_lines)
     rest = [c for c in files.columns if c != "content"]
+    cut = _with_windows(files.filter(F.length("content") > 0), F.lit(True), target, overlap, cpt, byte, true_lines)
     out = (
-        files.filter(F.length("content") > 0)
-        .select(*rest, F.posexplode(pieces).alias("chunk_index", "p"))
+        cut.select(*rest, F.posexplode("__windows").alias("chunk_index", "p"))
         .select(*rest, "chunk_index", "p.*")
     )
     size = F.octet_length("raw") if byte else F.length("content")
@@ -324,6 +338,7 @@ def hybrid_chunks(
         "fallback_reason", F.when(~parser, "no_parser").when(F.col("__symbols").isNull(), "no_symbols")
     )
     rest = [c for c in files.columns if c != "content"] + ["fallback_reason"]
-    windows = _window_pieces(F.col("content"), target, overlap, cpt, unit == "byte")
+    joined = _with_windows(joined, F.col("__symbols").isNull(), target, overlap, cpt, unit == "byte")
+    windows = F.col("__windows")
     cut = _cut_joined(joined, rest, target, cpt, fixed.SPLIT_OVERLAP_LINES, fixed.SIGNIFICANT_KINDS, unit, windows)
     return cut if unit == "byte" else cut.drop("raw")
