@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekspan.llm.common import id_and_text, mix64, stored, text_slices, words
@@ -187,10 +187,15 @@ def star_pairs(unsettled: DataFrame, turn: int) -> DataFrame:
 def block_links(unsettled: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): all further links within the unsettled buckets, members against members in blocks of BLOCK.
 
-    Members are ordered by component, so that two blocks of one component need no comparison. Only links come out, and a
-    pair that shares several bands is compared in the first of them only."""
-    order = Window.partitionBy("key").orderBy("component", "rep")
-    placed = unsettled.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
+    Blocks are dealt out by a hash, from counts alone: those of a large component have no other members, and two blocks of
+    one component need no comparison; members of small components share blocks. Only links come out, and a pair that
+    shares several bands is compared in the first of them only."""
+    counts = unsettled.groupBy("key", "component").agg(F.count("*").alias("n"))
+    few = counts.filter(F.col("n") < BLOCK).groupBy("key").agg(F.sum("n").alias("few"))
+    sized = unsettled.join(counts.join(few, "key", "left").hint("merge"), ["key", "component"])
+    large = F.col("n") >= BLOCK
+    share = F.pmod(F.xxhash64("rep"), F.ceil(F.when(large, F.col("n")).otherwise(F.col("few")) / BLOCK))
+    placed = sized.withColumn("block", F.xxhash64(F.when(large, F.col("component")), share)).drop("n", "few")
     shape = placed.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     other = shape.select("key", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     same = (F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2"))
