@@ -13,18 +13,23 @@ from seekspan.schemas import CHUNKS, FILES
 from seekspan.sources.tables import read_chunks, write_chunks
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, on whatever file system it names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def apply_changes(batch: DataFrame, table: str, now: Moment, **options) -> None:
     """D5 for one micro-batch of `(files columns, change)` rows: only collections named in the batch are rewritten.
 
     Chunk ids are stable, so running a batch twice gives the same table.
     """
     spark = batch.sparkSession
-    touched = batch.select("repo_id").distinct()
-    try:
-        stored = read_chunks(spark, table).join(touched, "repo_id", "left_semi").select(*CHUNKS.names)
-    except Exception as error:  # the first batch creates the table
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    # the collections of one micro-batch, which the source's rate limit bounds, prune the partitions of the table
+    touched = [r["repo_id"] for r in batch.select("repo_id").distinct().collect()]
+    if path_exists(spark, table):
+        stored = read_chunks(spark, table, touched).select(*CHUNKS.names)
+    else:  # the first batch creates the table
         stored = spark.createDataFrame([], CHUNKS)
     changes = batch.select("repo_id", "file_path", "change", F.lit(None).cast("string").alias("new_path"))
     files = batch.filter(F.col("change").isin(ADDED, MODIFIED)).select(*FILES.names)

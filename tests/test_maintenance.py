@@ -200,3 +200,13 @@ def test_gate_across_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert [got[i] for i in range(len(times))] == plain.admitted([round(t * 1e6) for t in times], 5, 60_000_000)
+
+
+def test_a_change_batch_reads_only_its_collections(spark, tmp_path):
+    from seekspan.schemas import CHUNKS, conform
+    from seekspan.sources.tables import read_chunks, write_chunks
+
+    rows = spark.createDataFrame([("a", "1"), ("b", "2")], "repo_id string, chunk_id string")
+    write_chunks(conform(rows, CHUNKS), str(tmp_path / "t"))
+    plan = read_chunks(spark, str(tmp_path / "t"), ["a"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(repo_id" in plan or "repo_id#" in plan.split("PartitionFilters: [")[1].split("]")[0]
