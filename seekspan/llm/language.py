@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 from seekspan.llm.common import id_and_text, row_type, text_slices, words
 
 UNKNOWN = "und"
-# at most so many labelled rows of each language are learned from
+# about so many labelled rows of each language are learned from, chosen by a hash (all of them if there are fewer)
 SAMPLE_PER_LANGUAGE = 1500
 SWITCH_PENALTY = 12.0
 # a script counts as used by a language from this share of its letters
 SCRIPT_SHARE = 0.01
 IMPOSSIBLE = -1e4
-SLICE_BYTES = 4 << 20
+SLICE_BYTES, TRAINING_SLICE_BYTES = 4 << 20, 1 << 20
 
 # Letter ranges of scripts (first and last code point)
 SCRIPTS = {
@@ -113,23 +113,23 @@ class LanguageModel:
 
 
 def labelled(docs: DataFrame, training: Column) -> DataFrame:
-    """(text, lang) of at most SAMPLE_PER_LANGUAGE training rows of each language, chosen by a hash of the row."""
+    """(text, lang) of about SAMPLE_PER_LANGUAGE training rows of each language, chosen by a hash of the row where they lie."""
     rows = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return rows.select("text", "lang").limit(0)
+        return rows.select("text", "lang")
     shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, float(SAMPLE_PER_LANGUAGE) / n * (1 << 20))])
-    return rows.filter(pick < shares[F.col("lang")]).select("text", "lang").limit(2 * SAMPLE_PER_LANGUAGE * len(counts))
+    return rows.filter(pick < shares[F.col("lang")]).select("text", "lang")
 
 
 def fit(docs: DataFrame, training: Column) -> LanguageModel:
     """Learn from the text and lang of the rows of `docs` (doc_id, text, lang) where `training` holds."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = np.array(batch.column("lang").to_pylist())
-            flat, rows = words(batch.column("text"))
+        for part in (p for batch in batches for p in text_slices(batch, TRAINING_SLICE_BYTES)):
+            langs = np.array(part.column("lang").to_pylist())
+            flat, rows = words(part.column("text"))
             f = features(flat.to_pylist())
             for lang in np.unique(langs):
                 own = (langs == lang)[rows]
