@@ -28,8 +28,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts boilerplate lines of each source out of the texts."""
-    out = line_dedup.drop_boilerplate(docs)
+    """Cuts boilerplate lines of each source out of the texts. Copies count once, so that they go to the next stage whole."""
+    out = line_dedup.drop_boilerplate(docs, copies_once=True)
     changed = {"n_chars": F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))}
     return out.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
