@@ -3,7 +3,7 @@
 The lexicon holds the terms whose inverse document frequency lies in a band. A text's distinct lexicon terms are sorted and
 hashed, once for the whole lexicon and once for each of several random subsets of it. The subsets are of several sizes, so
 that for long and short texts alike some hold only a few of their terms; the share of subsets on which two texts agree is
-then a graded likeness.
+then a graded likeness. For a text without any lexicon term, all of its own terms stand in for them.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ MIN_SHARE, MAX_SHARE = 0.001, 0.15
 # random subsets of the lexicon: each family looks at bits of its own in a term's key, and takes a term into its subset of
 # 1 / 2^level of the lexicon if that many of the bits are zero
 FAMILIES, LEVELS = 6, (2, 5, 7, 9)
-# texts with at most so many terms fall back on all of them if none is in the lexicon
-FEW_TERMS = 64
 
 # the masks of each family, the widest subset first; the others of a family are parts of it
 MASKS = [[((1 << level) - 1) << (10 * family) for level in LEVELS] for family in range(FAMILIES)]
@@ -39,8 +37,14 @@ def lexicon(texts: DataFrame) -> DataFrame:
     return stored(band.select("term", F.xxhash64("term").alias("key")), "lexicon")
 
 
-def hashes(keys: Column, fallback: Column) -> Column:
-    """One hash for each lexicon subset, over the sorted keys of the terms in it; null where it holds none of them."""
+def chosen(found: str, text: str) -> Column:
+    """Sorted keys that stand for a text: those `found` in the lexicon, or of all its own terms if that is null."""
+    own = F.array_sort(F.transform(terms(F.col(text)), lambda t: F.xxhash64(t)))
+    return F.when(F.col(found).isNotNull(), F.array_distinct(found)).otherwise(own)
+
+
+def hashes(keys: Column) -> Column:
+    """One hash for each subset, over the sorted keys in it; null where it holds none of them."""
     def within(chosen: Column, mask: Column) -> Column:
         return F.filter(chosen, lambda k: k.bitwiseAND(mask) == 0)
 
@@ -51,8 +55,7 @@ def hashes(keys: Column, fallback: Column) -> Column:
     # the smaller subsets of a family are looked for in its widest one only
     widest = F.transform(families, lambda masks: F.struct(masks.alias("masks"), within(keys, masks[0]).alias("chosen")))
     found = F.transform(widest, lambda f: F.transform(f["masks"], lambda m: one(within(f["chosen"], m))))
-    none = F.array_repeat(F.lit(None).cast("long"), FAMILIES * len(LEVELS))
-    return F.when(F.size(keys) > 0, F.concat(F.array(one(keys)), F.flatten(found))).otherwise(F.concat(F.array(fallback), none))
+    return F.concat(F.array(one(keys)), F.flatten(found))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -80,19 +83,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = id_and_text(docs, id_col, text_col)
     lex = lexicon(rows)
     base = rows.select("doc_id", F.xxhash64("text").alias("version"), terms(F.col("text")).alias("words"))
-    found = fingerprint_terms(base, lex, ["doc_id", "version"]).withColumn("terms", F.array_distinct("terms"))
-    plain = base.select("doc_id", "version", few("words").alias("few")).distinct()
-    joined = plain.join(found, ["doc_id", "version"], "left")
-    return joined.select("doc_id", as_text(hashes(F.coalesce("terms", no_keys()), F.col("few"))).alias("fingerprint"))
-
-
-def few(words: str | Column) -> Column:
-    words = F.col(words) if isinstance(words, str) else words
-    return F.when(F.size(words).between(1, FEW_TERMS), F.xxhash64(F.array_sort(words)))
-
-
-def no_keys() -> Column:
-    return F.array().cast("array<long>")
+    found = fingerprint_terms(base, lex, ["doc_id", "version"])
+    plain = rows.select("doc_id", F.xxhash64("text").alias("version"), "text").dropDuplicates(["doc_id", "version"])
+    joined = plain.join(found, ["doc_id", "version"], "left").select("doc_id", chosen("terms", "text").alias("keys"))
+    return joined.select("doc_id", as_text(hashes(F.col("keys"))).alias("fingerprint"))
 
 
 def successors(rows: DataFrame) -> DataFrame:
@@ -150,14 +144,14 @@ def edit_test(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.first(F.when(~F.col("is_edited"), F.col("terms")), True).alias("terms"),
         F.first(F.when(F.col("is_edited"), F.col("terms")), True).alias("edited_terms"),
     )
-    facts = both.select(
+    # the texts are still at hand where it is known which of them have no lexicon term
+    facts = both.dropDuplicates(key).join(plain, key, "left").select(
         *key, F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        few(terms(F.when(F.length("text") < 4000, F.col("text")))).alias("few"), few(terms(F.when(F.length("edited") < 4000, F.col("edited")))).alias("edited_few"),
-    ).dropDuplicates(key)
-    made = facts.join(plain, key, "left").join(links.select(*key, "next_id", "next_version"), key).select(
+        chosen("terms", "text").alias("keys"), chosen("edited_terms", "edited").alias("edited_keys"),
+    )
+    made = facts.join(links.select(*key, "next_id", "next_version"), key).select(
         *key, "n_chars", "edited_sha256", "next_id", "next_version",
-        hashes(F.array_distinct(F.coalesce("terms", no_keys())), F.col("few")).alias("fingerprint"),
-        hashes(F.array_distinct(F.coalesce("edited_terms", no_keys())), F.col("edited_few")).alias("edited_fingerprint"),
+        hashes(F.col("keys")).alias("fingerprint"), hashes(F.col("edited_keys")).alias("edited_fingerprint"),
     )
     made = stored(made, "fingerprints")
     following = made.select(F.col("doc_id").alias("next_id"), F.col("version").alias("next_version"), F.col("fingerprint").alias("next_fingerprint"))

@@ -385,6 +385,22 @@ def test_fingerprints(docs, rows):
     assert single == {k: r["fingerprint"] for k, r in found.items()}
 
 
+def test_fingerprints_without_lexicon_terms(spark):
+    """Long texts whose terms are all too rare for the lexicon are like their copies only; the operator and the query agree."""
+    own = [" ".join(f"{a}{n}" for n in range(1500)) for a in ("alpha", "beta", "gamma")]
+    rows = [(i, "common words stand here") for i in range(2100)] + [(3000 + i, t) for i, t in enumerate([own[0], own[1], own[1], own[2]])]
+    rows += [(4000, " ".join(f"delta{n}" for n in range(100))), (4001, "日本語の文章。別の文章"), (5000, "?!"), (5001, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in imatch.edit_test(table).collect() if r["doc_id"] >= 3000}
+    prints = {k: r["fingerprint"] for k, r in found.items()}
+    assert prints[3001] == prints[3002] and prints[5000] == prints[5001] == "-" * (imatch.FAMILIES * len(imatch.LEVELS))
+    assert len({prints[k] for k in (3000, 3001, 3003, 4000, 4001, 5000)}) == 6
+    assert found[3002]["near_next"] == found[5001]["near_next"] == 1.0
+    assert all(found[k]["near_next"] < 0.5 for k in (3001, 3003, 4000, 4001, 5000)) and found[3001]["near_edited"] < 1
+    single = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprints(table).filter("doc_id >= 3000").collect()}
+    assert single == prints
+
+
 def test_pipeline(spark, docs, rows):
     plain_docs = docs.select("doc_id", "text", "lang", "source", "n_chars").filter("doc_id < 106 OR doc_id > 107")
     state, results = plain_docs, {}
@@ -407,6 +423,18 @@ def test_pipeline(spark, docs, rows):
     assert set(results["packing"]) == set(results["personal_data"]) and rows_
 
 
+def test_copies_are_not_boilerplate(spark):
+    """A text whose copies are a third of a source goes through line removal; a line of many different pages does not."""
+    rows = [(i, f"distinct page number {i} about nothing\nAll rights reserved.", "en", "s") for i in range(20)]
+    rows += [(100 + i, "one text that stands here again and again\nand its second line", "en", "s") for i in range(10)]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    lines = corpus_pipeline.stored(corpus_pipeline.drop_lines(spark, docs, ""), "t")
+    texts = {r["doc_id"]: r["text"] for r in lines.collect()}
+    assert all(texts[k] == t for k, t, *_ in rows[20:]) and not any("rights" in t for t in texts.values())
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_near_duplicates(spark, lines, "").collect()}
+    assert [(k, t) for k, t in kept.items() if k >= 100] == [(100, rows[20][1])]
+
+
 def test_all_queries_are_registered():
     import __spark_entry__
 
