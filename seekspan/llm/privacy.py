@@ -2,7 +2,7 @@
 
 A term discloses an entity (an address, a number) when the corpus shows that who reads the term can infer the entity: it
 stands near the entity in several different contexts, most documents with the term hold the entity, and knowing the term
-makes the entity far likelier than it is in the corpus at large. Such terms are generalised in the documents that hold
+tells most of what there is to learn about the entity, which is the less the more documents hold it. Such terms are generalised in the documents that hold
 the entity.
 """
 
@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seekspan.llm.common import id_and_text, row_type, stored, text_slices, words
@@ -26,9 +26,14 @@ TERM = "term"
 CONTEXT = 10
 # different contexts in which a term must stand with the entity
 MIN_CONTEXTS = 3
-# share of a term's documents that hold the entity, and the gain of information in bits
+# share of a term's documents that hold the entity
 MIN_POSTERIOR = 0.5
-MIN_BITS = 5.0
+# gain of information, as a share of what is to be learned: -log2 of the share of all documents that hold the entity. For an
+# entity in one of 32 documents or fewer, the posterior is the stricter condition
+MIN_GAIN = 0.8
+# bits by which all documents with the term together speak against chance (Chernoff's bound: a chance of 1 in 16). A term
+# whose documents all hold an entity that a third of all documents hold has them with three documents
+MIN_EVIDENCE = 4.0
 MIN_TERM_LETTERS = 4
 SLICE_BYTES = 4 << 20
 
@@ -151,12 +156,20 @@ def disclosures(docs: DataFrame) -> DataFrame:
     total = F.lit(docs.count())
     judged = together.join(corpus, "term").join(holding, "entity")
     posterior = F.col("together") / F.col("docs_with_term")
-    bits = F.log2(posterior / (F.col("docs_with_entity") / total))
-    telling = stored(judged.filter((posterior >= MIN_POSTERIOR) & (bits >= MIN_BITS)).select("entity", "term"), "disclosing-terms")
+    telling = stored(judged.filter(discloses(posterior, F.col("docs_with_entity") / total)).select("entity", "term"), "disclosing-terms")
     held = found.select("entity", "doc_id").distinct().join(telling.hint("merge"), "entity")
     return held.groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
 
 
+def discloses(posterior: Column, prior: Column) -> Column:
+    """Whether a term tells of an entity that a share of `prior` of all documents holds. Where all of them hold it, there is
+    nothing to tell."""
+    gain = F.log2(posterior / prior)
+    others = F.when(posterior < 1, (1 - posterior) * F.log2((1 - posterior) / (1 - prior))).otherwise(0.0)
+    against_chance = F.col("docs_with_term") * (posterior * gain + others)
+    return (prior < 1) & (posterior >= MIN_POSTERIOR) & (gain >= -MIN_GAIN * F.log2(prior)) & (against_chance >= MIN_EVIDENCE)
+
+
 def holders(docs: DataFrame) -> DataFrame:
     """Documents that can hold a value at all: each kind has a digit or an at sign."""
     return docs.filter(F.col("text").rlike("[0-9@]"))

@@ -305,6 +305,20 @@ def test_disclosing_terms(spark):
     assert all([s["kind"] for s in found[300 + i]["spans"]] == ["email"] for i in range(10))
 
 
+def test_disclosing_terms_of_hot_entities(spark):
+    """An address in a third of all documents has its name masked too; a word that is as frequent elsewhere stays."""
+    rng = random.Random(7)
+    filler = [f"{a}{b}word" for a in "abcdefgh" for b in "klmnop"]
+    some = lambda n: " ".join(rng.choices(filler, k=n))
+    rows = [(i, f"{some(8)} Everyword {some(20)}") for i in range(200)]
+    rows += [(200 + i, f"{some(8)} Everyword Quillfeather jan@example.org {some(8)}") for i in range(100)]
+    found = {r["doc_id"]: r for r in privacy.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("Everyword <TERM> <EMAIL>" in found[i]["masked"] for i in range(200, 300))
+    assert sum(len(r["spans"]) for r in found.values()) == 200
+    everywhere = spark.createDataFrame([(i, f"{some(8)} Name jan@example.org") for i in range(40)], "doc_id long, text string")
+    assert all(len(r["spans"]) == 1 for r in privacy.find(everywhere).collect())
+
+
 def test_language(docs, rows):
     model = language.fit(docs.filter("doc_id < 60"), fold(9))
     found = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
