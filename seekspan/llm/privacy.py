@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,7 +35,6 @@ MIN_GAIN = 0.8
 # bits by which all documents with the term together speak against chance (Chernoff's bound: a chance of 1 in 16). A term
 # whose documents all hold an entity that a third of all documents hold has them with three documents
 MIN_EVIDENCE = 4.0
-MIN_TERM_LETTERS = 4
 SLICE_BYTES = 4 << 20
 
 _local = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -43,6 +43,7 @@ _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _other = re.compile(r"[^0-9]+")
+_word = re.compile(r"[^\x20\x09-\x0D]+")
 # what a term loses at its ends
 EDGES = "\"'.,;:!?()[]{}<>|*_-+=/\\#"
 
@@ -94,29 +95,35 @@ def entity(text: str, span: Span) -> str:
 
 
 def term_of(word: str) -> str:
-    """The form in which terms are counted; empty for words that are no terms."""
+    """The form in which terms are counted: any word with a letter or a digit, without what surrounds it. Empty for words
+    that are no terms, addresses among them."""
     bare = word.strip(EDGES)
-    return bare.lower() if len(bare) >= MIN_TERM_LETTERS and bare.isalpha() else ""
+    return bare.lower() if "@" not in bare and any(map(str.isalnum, bare)) else ""
 
 
-def context(text: str, span: Span) -> tuple[list[str], list[str]]:
-    """Words just before and after a value, from a stretch of text that is surely long enough or ends sooner."""
-    before = text[max(0, span.start - 400) : span.start].split()[-CONTEXT:]
-    return before, text[span.end : span.end + 400].split()[:CONTEXT]
+def contexts(text: str, spans: list[Span]) -> Iterator[tuple[list[str], list[str]]]:
+    """For each value, the whole words just before and just after it."""
+    places = [m.span() for m in _word.finditer(text)] if spans else []
+    starts, ends = [a for a, _ in places], [b for _, b in places]
+    for span in spans:
+        before, after = bisect_right(ends, span.start), bisect_left(starts, span.end)
+        yield [text[a:b] for a, b in places[max(0, before - CONTEXT) : before]], [text[a:b] for a, b in places[after : after + CONTEXT]]
 
 
 def evidence(docs: DataFrame) -> DataFrame:
-    """(entity, doc_id, context, terms) for every value in `docs` (doc_id, text)."""
+    """(entity, doc_id, context, terms): a row for every value in `docs` (doc_id, text), with the terms next to it, and for
+    every document with values a row with all of its terms, of which entity and context are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in text_slices(b, SLICE_BYTES)):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 spans = base_spans(text)
-                for span in spans:
-                    before, after = context(text, span)
+                for span, (before, after) in zip(spans, contexts(text, spans)):
                     terms = sorted({t for w in before + after if (t := term_of(w))})
                     rows.append((entity(text, span), doc_id, hashlib.sha256(" ".join(before + ["@"] + after).encode("utf-8")).hexdigest()[:32], terms))
+                if spans:
+                    rows.append((None, doc_id, None, sorted({t for w in set(_word.findall(text)) if (t := term_of(w))})))
             columns = zip(*rows) if rows else [[]] * 4
             kinds = pa.string(), pa.int64(), pa.string(), pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["entity", "doc_id", "context", "terms"])
@@ -143,22 +150,31 @@ def term_counts(docs: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame) -> DataFrame:
     """(doc_id, terms): for every document with values, the terms that disclose one of them.
 
-    A context that occurs again and again, as in copies, is one context. `docs` are (doc_id, text)."""
-    found = stored(evidence(holders(docs)), "evidence")
+    A context that occurs again and again, as in copies, is one context. What stands near an entity is a candidate only;
+    the documents that hold both are counted wherever the term stands in them. `docs` are (doc_id, text)."""
+    seen = stored(evidence(holders(docs)), "evidence")
+    found = seen.filter(F.col("entity").isNotNull())
     # salted by context through the first grouping, so that a value that a third of all documents hold is spread
-    pairs = found.select("entity", "doc_id", "context", F.explode("terms").alias("term"))
-    per_context = pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-    contexts = per_context.groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= MIN_CONTEXTS)
-    shared = pairs.join(contexts.hint("merge"), ["entity", "term"]).select("entity", "term", "doc_id").distinct()
-    together = stored(shared.groupBy("entity", "term").agg(F.count("*").alias("together")), "disclosure-pairs")
-    corpus = term_counts(docs).join(together.select("term").distinct().hint("merge"), "term", "left_semi")
+    near = found.select("entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
+    several = near.groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= MIN_CONTEXTS)
+    candidates = stored(several.select("entity", "term"), "disclosure-candidates")
+    corpus = term_counts(docs).join(candidates.select("term").distinct().hint("merge"), "term", "left_semi")
     holding = found.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("docs_with_entity"))
-    total = F.lit(docs.count())
-    judged = together.join(corpus, "term").join(holding, "entity")
+    # not more documents can hold both than hold the entity
+    possible = F.col("docs_with_entity") >= MIN_POSTERIOR * F.col("docs_with_term")
+    judged = stored(candidates.join(corpus, "term").join(holding, "entity").filter(possible), "disclosure-pairs")
+    wanted = judged.select("term").distinct().hint("merge")
+    words_of = seen.filter(F.col("entity").isNull()).select("doc_id", F.explode("terms").alias("term"))
+    # by document from here on, which spreads entities and terms however many documents hold them
+    present = words_of.join(wanted, "term", "left_semi").repartition("doc_id").distinct()
+    held = found.select("entity", "doc_id").distinct()
+    open_ = held.join(judged.select("entity").distinct().hint("merge"), "entity", "left_semi")
+    together = present.join(open_.hint("merge"), "doc_id").groupBy("entity", "term").agg(F.count("*").alias("together"))
     posterior = F.col("together") / F.col("docs_with_term")
-    telling = stored(judged.filter(discloses(posterior, F.col("docs_with_entity") / total)).select("entity", "term"), "disclosing-terms")
-    held = found.select("entity", "doc_id").distinct().join(telling.hint("merge"), "entity")
-    return held.groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
+    judged = judged.join(together.hint("merge"), ["entity", "term"])
+    telling = stored(judged.filter(discloses(posterior, F.col("docs_with_entity") / F.lit(docs.count()))).select("entity", "term"), "disclosing-terms")
+    told = held.join(telling.hint("merge"), "entity")
+    return told.groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
 
 
 def discloses(posterior: Column, prior: Column) -> Column:
@@ -181,7 +197,7 @@ def term_spans(text: str, terms: list[str], base: list[Span]) -> list[Span]:
         return []
     wanted, taken, found = set(terms), sorted((s.start, s.end) for s in base), []
     at = 0
-    for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
+    for m in _word.finditer(text):
         if term_of(m[0]) not in wanted:
             continue
         start = m.start() + len(m[0]) - len(m[0].lstrip(EDGES))

@@ -319,6 +319,25 @@ def test_disclosing_terms_of_hot_entities(spark):
     assert all(len(r["spans"]) == 1 for r in privacy.find(everywhere).collect())
 
 
+@pytest.mark.parametrize("name", ["Quillfeather", "Li", "O'Brien", "Jean-Luc", "jdoe42", "AC-77/3", "48213377"])
+def test_disclosing_terms_away_from_the_value(spark, name):
+    """Ten documents hold a name and an address, only four of them side by side; the ten words may be long."""
+    rng = random.Random(8)
+    some = lambda n: " ".join(rng.choices([f"{a}{b}word" for a in "abcdefgh" for b in "klmnop"], k=n))
+    rows = [(i, some(30)) for i in range(100)]
+    for i in range(100, 104):
+        rows.append((i, f"{some(8)} {name} {'long' * 120}{i} jan@example.org {some(8)}"))
+    rows += [(i, f"{name} {some(30)} jan@example.org {some(8)}") for i in range(104, 110)]
+    found = {r["doc_id"]: r for r in privacy.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(name not in found[i]["masked"] and "<TERM>" in found[i]["masked"] for i in range(100, 110))
+
+
+def test_contexts_are_whole_words():
+    text = "one two, mail:a.b@c.org; three 10.0.0.1 four"
+    spans = privacy.base_spans(text)
+    assert list(privacy.contexts(text, spans)) == [(["one", "two,"], ["three", "10.0.0.1", "four"]), (["one", "two,", "mail:a.b@c.org;", "three"], ["four"])]
+
+
 def test_language(docs, rows):
     model = language.fit(docs.filter("doc_id < 60"), fold(9))
     found = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
