@@ -3,22 +3,18 @@
 import hashlib
 import math
 import random
-import sys
 import zlib
 from collections import Counter, defaultdict
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import restated
 from pyspark.sql import functions as F
 
-sys.path.insert(0, str(Path(__file__).parent))
-import plain  # noqa: E402
-
-import corpus_pipeline  # noqa: E402
-from seekspan.llm import bpe, exact_dedup, imatch, katz, language, line_dedup, near_dedup, packing, privacy, secrets  # noqa: E402
-from seekspan.llm.queries import QUERIES, VOCABULARY  # noqa: E402
+import corpus_pipeline
+from seekspan.llm import bpe, exact_dedup, imatch, katz, language, line_dedup, near_dedup, packing, privacy, secrets
+from seekspan.llm.queries import QUERIES, VOCABULARY
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, key int, terms double, _row string"
 
@@ -93,7 +89,7 @@ def test_empty_tables(nothing):
 def test_katz(docs, rows):
     found = katz.train_and_score(docs, fold(1)).collect()
     assert len(found) == len(rows)
-    texts = [(k, [*plain.words(t), "\n"]) for k, t, *_ in rows]
+    texts = [(k, [*restated.words(t), "\n"]) for k, t, *_ in rows]
     single, pairs = Counter(), Counter()
     for k, tokens in texts:
         if zlib.crc32(str(k).encode()) % 5 != 1:
@@ -139,7 +135,7 @@ def test_katz_discounts_fall_back():
 
 def test_near_groups(docs, rows):
     found = {r["doc_id"]: r for r in near_dedup.groups(docs).collect()}
-    component, size = plain.near_groups({k: t for k, t, *_ in rows}.items())
+    component, size = restated.near_groups({k: t for k, t, *_ in rows}.items())
     assert {k: r["component_id"] for k, r in found.items()} == component
     assert {k: r["n_shingles"] for k, r in found.items()} == size
     assert all(r["kept"] == (k == component[k]) for k, r in found.items())
@@ -150,7 +146,7 @@ def test_near_groups_without_centres(docs, rows, monkeypatch):
     monkeypatch.setattr(near_dedup, "ROUNDS", 0)
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     found = {r["doc_id"]: r["component_id"] for r in near_dedup.groups(docs).collect()}
-    assert found == plain.near_groups({k: t for k, t, *_ in rows}.items())[0]
+    assert found == restated.near_groups({k: t for k, t, *_ in rows}.items())[0]
 
 
 def test_superminhash_estimates_similarity():
@@ -170,7 +166,7 @@ def test_secrets(docs, rows):
     for r in secrets.find(docs).collect():
         found[r["doc_id"]].append([(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] != secrets.RANDOM])
     for k, t, *_ in rows:
-        assert found[k][0] == plain.secrets(t), k
+        assert found[k][0] == restated.secrets(t), k
     assert sum(map(len, found.values())) == len(rows)
 
 
@@ -278,7 +274,7 @@ def test_personal_data(docs, rows):
     found = {r["doc_id"]: r for r in privacy.find(docs, whole=True).collect()}
     for k, t, *_ in rows:
         spans = [(s["kind"], s["start"], s["end"]) for s in found[k]["spans"] if s["kind"] != privacy.TERM]
-        assert spans == plain.pii(t), k
+        assert spans == restated.pii(t), k
         assert found[k]["_row"]["text"] == t
     assert "<EMAIL>" in found[109]["masked"] and "<PHONE>" in found[109]["masked"]
 
@@ -287,7 +283,7 @@ def test_email_scan_is_the_leftmost_one():
     rng = random.Random(4)
     for _ in range(3000):
         text = "".join(rng.choices("ab@.-_%1 ", k=rng.randint(0, 25)))
-        assert [(s.start, s.end) for s in privacy.emails(text)] == [x[1:] for x in plain.pii(text) if x[0] == "email"], text
+        assert [(s.start, s.end) for s in privacy.emails(text)] == [x[1:] for x in restated.pii(text) if x[0] == "email"], text
 
 
 def test_disclosing_terms(spark):
@@ -368,7 +364,7 @@ def test_viterbi_is_optimal():
 
 def test_lines(docs, rows):
     found = sorted(line_dedup.drop_boilerplate(docs).select("doc_id", "text", "spans", "key").collect(), key=lambda r: r["doc_id"])
-    expected = plain.boilerplate([(s, t) for _, t, _, s in rows], line_dedup.RATIO, line_dedup.MIN_PAGES)
+    expected = restated.boilerplate([(s, t) for _, t, _, s in rows], line_dedup.RATIO, line_dedup.MIN_PAGES)
     assert [(r["doc_id"], r["text"]) for r in found] == sorted(((r[0], t) for r, t in zip(rows, expected)), key=lambda r: r[0])
     assert any("All rights" in (r[1] or "") for r in rows) and not any("All rights" in (r["text"] or "") for r in found)
     clash = docs.withColumn("n_lines", F.lit(1)).withColumn("_host", F.lit(2)).withColumn("_keys", F.lit(3))
@@ -378,7 +374,7 @@ def test_lines(docs, rows):
 def test_exact(spark, docs, rows, tmp_path):
     groups = defaultdict(list)
     for k, t, *_ in rows:
-        groups[plain.BLANK.sub(" ", t or "")].append(k)
+        groups[restated.BLANK.sub(" ", t or "")].append(k)
     found = exact_dedup.dedupe(docs).collect()
     assert len(found) == len(rows)
     by_text = {hashlib.sha256(t.encode()).hexdigest(): ids for t, ids in groups.items()}
@@ -448,11 +444,11 @@ def test_pipeline(spark, docs, rows):
     assert all(labelled[k] == before[k] for k in labelled)
     rows_ = corpus_pipeline.stored(spark.createDataFrame(list(labelled.values()), plain_docs.schema), "t").collect()
     assert {k: r["text"] for k, r in results["lines"].items()}.keys() == labelled.keys()
-    component, _ = plain.near_groups({k: r["text"] for k, r in results["lines"].items()}.items())
+    component, _ = restated.near_groups({k: r["text"] for k, r in results["lines"].items()}.items())
     assert set(results["near_duplicates"]) == {k for k in component if component[k] == k}
     for k, r in results["personal_data"].items():
         text = results["near_duplicates"][k]["text"]
-        assert bool(plain.pii(text)) == (r["text"] != text) and not plain.pii(r["text"])
+        assert bool(restated.pii(text)) == (r["text"] != text) and not restated.pii(r["text"])
     assert set(results["packing"]) == set(results["personal_data"]) and rows_
 
 
