@@ -57,7 +57,7 @@ def running_total(counts: Column, size: int = 256) -> Column:
 def _with_windows(
     files: DataFrame, wanted: Column, target: int, overlap: int, cpt: float, byte: bool, true_lines: bool = False
 ) -> DataFrame:
-    """`files` with `__windows`, the windows of each text where `wanted` holds, as an array of _PIECE.
+    """`files` with the columns that `_windows` puts together to the windows of each text where `wanted` holds.
 
     Each step is a column of its own, so that the cuts are made once per text however often they are referred to."""
     window, step = _sizes(target, overlap, cpt)
@@ -74,6 +74,21 @@ def _with_windows(
         head = newlines(F.substr(piece, F.lit(1), F.lit(step))) if true_lines else whole
         return F.struct(whole.alias("whole"), head.alias("head"))
 
+    return (
+        files.withColumn("__cuts", F.when(wanted & (F.length(content) > 0), cuts))
+        .withColumn("__counts", F.transform("__cuts", counts))
+        .withColumn("__heads", F.transform("__counts", lambda c: c["head"]))
+        .withColumn("__starts", running_total(F.col("__heads")))
+        .drop("__heads")
+    )
+
+
+def _windows(byte: bool) -> Column:
+    """The windows as an array of _PIECE.
+
+    Explode this expression, not a column that holds it: of a bare column the optimizer asks first whether it is empty, and
+    that filter takes all the steps above along, below the scan's repartition."""
+
     def item(piece: Column, place: Column) -> Column:
         return F.struct(
             place["start"].alias("start_line"),
@@ -85,14 +100,7 @@ def _with_windows(
     def place(count: Column, start: Column) -> Column:
         return F.struct(start.alias("start"), count["whole"].alias("whole"))
 
-    return (
-        files.withColumn("__cuts", F.when(wanted & (F.length(content) > 0), cuts))
-        .withColumn("__counts", F.transform("__cuts", counts))
-        .withColumn("__heads", F.transform("__counts", lambda c: c["head"]))
-        .withColumn("__starts", running_total(F.col("__heads")))
-        .withColumn("__windows", F.zip_with("__cuts", F.zip_with("__counts", "__starts", place), item))
-        .drop("__cuts", "__counts", "__heads", "__starts")
-    )
+    return F.zip_with("__cuts", F.zip_with("__counts", "__starts", place), item)
 
 
 def window_chunks(
@@ -113,7 +121,7 @@ def window_chunks(
     rest = [c for c in files.columns if c != "content"]
     cut = _with_windows(files.filter(F.length("content") > 0), F.lit(True), target, overlap, cpt, byte, true_lines)
     out = (
-        cut.select(*rest, F.posexplode("__windows").alias("chunk_index", "p"))
+        cut.select(*rest, F.posexplode(_windows(byte)).alias("chunk_index", "p"))
         .select(*rest, "chunk_index", "p.*")
     )
     size = F.octet_length("raw") if byte else F.length("content")
@@ -339,6 +347,7 @@ def hybrid_chunks(
     )
     rest = [c for c in files.columns if c != "content"] + ["fallback_reason"]
     joined = _with_windows(joined, F.col("__symbols").isNull(), target, overlap, cpt, unit == "byte")
+    joined = joined.withColumn("__windows", _windows(unit == "byte"))
     windows = F.col("__windows")
     cut = _cut_joined(joined, rest, target, cpt, fixed.SPLIT_OVERLAP_LINES, fixed.SIGNIFICANT_KINDS, unit, windows)
     return cut if unit == "byte" else cut.drop("raw")

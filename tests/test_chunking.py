@@ -1,3 +1,5 @@
+import datetime as dt
+
 import numpy as np
 import plain
 import pytest
@@ -6,8 +8,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seekspan.operators.chunking import hybrid_chunks, pack_lines, symbol_chunks, window_chunks
+from seekspan.operators.lifecycle import upsert
 from seekspan.operators.tokens import count_tokens, fit_tokens, pattern_counter, resplit
 from seekspan.plans.indexing import build_chunks
+from seekspan.schemas import CHUNKS, conform
 from seekspan.sources.symbols import DUMPS, flatten_symbols
 
 TEXTS = [
@@ -172,3 +176,17 @@ def test_count_tokens_plugin_is_batched(spark):
     df = files(spark, ["a b", "c"])
     counted = count_tokens(df, lambda texts: [len(t) for t in texts]).orderBy("file_path").collect()
     assert [r.tokens for r in counted] == [3, 1]
+
+
+def test_text_is_cut_once(spark):
+    """The cut stands once in the optimized plan, however often its pieces are referred to."""
+    some = files(spark, TEXTS)
+    now = dt.datetime(2024, 3, 10)
+    for cut in (window_chunks(some), build_chunks(some, now)):
+        plan = cut._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1, plan
+    plan = window_chunks(some, unit="byte")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sequence(0") <= 3, plan  # the cuts, and the two references of the running line numbers
+    stored = conform(build_chunks(some, now), CHUNKS)
+    plan = upsert(stored, stored)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 3, plan  # one for each of the three references to the computed table
