@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekspan.llm import bpe, exact_dedup, imatch, katz, language, line_dedup, near_dedup, packing, privacy, secrets
+from seekspan.llm import bpe, exact_dedup, imatch, katz, language, line_dedup, near_dedup, packing, pieces, privacy, secrets
 from seekspan.llm.common import documents, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(name: str, oracle: str | None = None):
@@ -43,6 +44,12 @@ def op5_bpe(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir), VOCABULARY)
 
 
+@query("op12_pieces")
+def op12_pieces(spark, sf_dir):
+    """Encoding of every text in pieces, with begin and end ids, and decoding of the ids."""
+    return pieces.round_trip(documents(spark, sf_dir), PIECES)
+
+
 @query(
     "op8_line_dedup",
     rf"""WITH pages AS (SELECT doc_id, source, text, coalesce(source, '') AS host, source IS NULL AS nohost,
