@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekspan.llm import bpe, exact_dedup, imatch, katz, language, line_dedup, near_dedup, packing, pieces, privacy, secrets
+from seekspan.llm import bpe, exact_dedup, imatch, katz, language, line_dedup, near_dedup, packing, phrases, pieces, privacy, secrets
 from seekspan.llm.common import documents, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,32 @@ def op5_bpe(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir), VOCABULARY)
 
 
+@query(
+    "op13_phrases",
+    rf"""WITH parts AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS part FROM documents),
+    worded AS (SELECT lang, list_filter(regexp_split_to_array(part, '[ 	]+'), lambda x: x <> '') AS w FROM parts),
+    totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+    placed AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM worded, range(1, {phrases.MAX_WORDS + 1}) AS r(m)),
+    often AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS a FROM placed GROUP BY ALL
+      HAVING count(*) >= {phrases.MIN_COUNT}),
+    free AS (SELECT * FROM often c WHERE m > 1 AND NOT EXISTS (SELECT 1 FROM often b WHERE b.lang = c.lang AND b.m > c.m
+      AND contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * b.a >= 100 * c.a)),
+    cuts AS (SELECT *, unnest(range(1, m)) AS k FROM free),
+    sides AS (SELECT c.*, x.a AS l, y.a AS r, (1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a) AS score FROM cuts c
+      JOIN totals USING (lang)
+      JOIN often x ON x.lang = c.lang AND x.phrase = array_to_string(string_split(c.phrase, ' ')[1:k], ' ')
+      JOIN often y ON y.lang = c.lang AND y.phrase = array_to_string(string_split(c.phrase, ' ')[k + 1:], ' ')),
+    least AS (SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least)
+    SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= {phrases.TOP}""",
+)
+def op13_phrases(spark, sf_dir):
+    """The best collocations of every language."""
+    return phrases.phrases(documents(spark, sf_dir))
+
+
 @query("op12_pieces")
 def op12_pieces(spark, sf_dir):
     """Encoding of every text in pieces, with begin and end ids, and decoding of the ids."""

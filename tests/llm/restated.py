@@ -77,3 +77,32 @@ def boilerplate(rows, ratio, least):
                 contain[host, line] += 1
     gone = {k for k, n in contain.items() if n >= least and n > ratio * pages[k[0]]}
     return [t if t is None else "\n".join(x for x in t.split("\n") if (h, x.strip("\x20\t\n\x0b\x0c\r")) not in gone) for h, t in rows]
+
+
+def collocations(rows, least, longest, top):
+    """(lang, rank, phrase, a, l, r, n, score) from (lang, text), by counting every phrase."""
+    counts, total = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n-\r]", lower(text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            for i in range(len(w)):
+                for m in range(1, longest + 1):
+                    if i + m <= len(w):
+                        counts[lang][tuple(w[i : i + m])] += 1
+    out = []
+    for lang, found in counts.items():
+        often = {p: a for p, a in found.items() if a >= least}
+        best = []
+        for p, a in often.items():
+            if len(p) < 2:
+                continue
+            inside = lambda q: any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1))
+            if any(len(q) > len(p) and b >= a and inside(q) for q, b in often.items()):
+                continue
+            score, k = min((1000 * a * total[lang] // (often[p[:k]] * often[p[k:]]), k) for k in range(1, len(p)))
+            best.append((-score, -a, " ".join(p).encode(), often[p[:k]], often[p[k:]]))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(best)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, total[lang], -score))
+    return out
