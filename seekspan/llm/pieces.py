@@ -29,7 +29,7 @@ SLICE_BYTES = 4 << 20
 # the mark that stands for a space, at the start of a word
 SPACE = "▁"
 # remembered words, their longest length, and remembered pairs of tokens, for each worker process
-KNOWN_WORDS, LONGEST_KNOWN, KNOWN_PAIRS = 1 << 18, 64, 1 << 20
+KNOWN_WORDS, LONGEST_KNOWN, KNOWN_PAIRS = 1 << 20, 64, 1 << 20
 
 # every byte that is no UTF-8 becomes a replacement mark of its own
 codecs.register_error("mark_each_byte", lambda e: ("�" * (e.end - e.start), e.end))
@@ -42,7 +42,7 @@ class _Words(dict):
         self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word), dtype="<u4").tobytes()
+        ids = self.encode(word)
         if len(word) <= LONGEST_KNOWN:
             self[word] = ids
         return ids
@@ -73,13 +73,21 @@ class PieceCoder:
         self.names = {i: piece for piece, i in self.ids.items()}
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
-            self.automaton.add_word(piece, piece)
+            if self.merge(piece) == [piece]:  # no other is ever a token
+                self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         # a text falls into words before each run of marks, unless some piece reaches over such a place
         across = any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece in self.ids)
         self.word = re.compile("(?s).+" if across else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        # and into parts where letters and other characters meet, but at pairs of them that some piece holds
+        letters, others = f"[^\\W_{SPACE}]", f"(?:(?!{SPACE})[\\W_])"
+        borders = re.compile(f"(?={letters}{others}|{others}{letters})(?s:..)")
+        self.part = re.compile(f"{SPACE}*(?:{letters}+|{others}+)|{SPACE}+")
+        mixed = {m for piece in self.ids for m in borders.findall(piece)}
+        self.mixed = re.compile("|".join(map(re.escape, sorted(mixed))) or "(?!)")
+        self.whole = across
         surface = model.trainer_spec.unk_surface
         self.spoken = [
             self.names[i].replace(SPACE, " ") if i in self.names else surface if p.type == kinds.UNKNOWN else ""
@@ -89,6 +97,10 @@ class PieceCoder:
         for i, b in self.byte_of.items():
             self.shown[i] = bytes([b])
         self.control = {i for i, p in enumerate(model.pieces) if p.type == kinds.CONTROL}
+        pack = lambda i: int(i).to_bytes(4, "little")
+        self.packed = {piece: pack(i) for piece, i in self.ids.items()}
+        self.packed_bytes = {b: pack(i) for b, i in self.bytes.items()}
+        self.packed_unknown = pack(self.unknown)
         self.known, self.pairs = _Words(self.encode_word), {}
 
     def merge(self, text: str) -> list[str]:
@@ -114,48 +126,50 @@ class PieceCoder:
 
     def split(self, word: str) -> list[str]:
         """The tokens of a word, as text; a character without a piece is a token of its own."""
-        n = len(word)
-        starting: list[list[str]] = [[] for _ in range(n)]
+        # what starts at each place, shorter ones first; the longest is taken from the end and not tried there again
+        starting: list[list[str]] = [[] for _ in word]
         for last, piece in self.automaton.iter(word):
-            starting[last - len(piece) + 1].append(piece)  # shorter ones first
+            starting[last - len(piece) + 1].append(piece)
         for at, char in enumerate(word):
-            if char not in self.ids:
+            if not starting[at] or len(starting[at][0]) > 1:
                 starting[at].insert(0, char)
-        failed = np.zeros(n + 1, dtype=bool)
+        n, failed = len(word), bytearray(len(word) + 1)
         tokens: list[str] = []
-        open_at = [0]  # where each token starts, and where the next one will
-        choice = [len(starting[0]) - 1] if n else [-1]
-        while open_at[-1] < n:
-            at, k = open_at[-1], choice[-1]
-            while k >= 0:
-                token = starting[at][k]
-                if not failed[at + len(token)] and (not tokens or self.compatible(tokens[-1], token)):
+        at, left, known = 0, "", self.pairs.get
+        while at < n:
+            choice = starting[at]
+            while choice:
+                token = choice.pop()
+                if failed[at + len(token)]:
+                    continue
+                fits = known((left, token)) if left else True
+                if fits or (fits is None and self.compatible(left, token)):
+                    tokens.append(token)
+                    at += len(token)
+                    left = token
                     break
-                k -= 1
-            choice[-1] = k - 1
-            if k >= 0:
-                tokens.append(token)
-                open_at.append(at + len(token))
-                choice.append(len(starting[open_at[-1]]) - 1 if open_at[-1] < n else -1)
             else:
-                failed[at] = True
-                tokens.pop()
-                open_at.pop()
-                choice.pop()
+                failed[at] = 1
+                at -= len(tokens.pop())
+                left = tokens[-1] if tokens else ""
         return tokens
 
-    def encode_word(self, word: str) -> list[int]:
-        out: list[int] = []
-        for token in self.split(word):
-            i = self.ids.get(token)
-            if i is not None:
-                out.append(i)
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in token.encode())
-            elif not out or out[-1] != self.unknown:  # adjacent unknown characters are one unknown token
-                out.append(self.unknown)
+    def encode_word(self, word: str) -> bytes:
+        """Ids of the tokens of a word as little-endian unsigned 32-bit integers."""
+        parts = [] if self.whole or self.mixed.search(word) else self.part.findall(word)
+        if len(parts) > 1:
+            out = b"".join(map(self.known.__getitem__, parts))
+        else:
+            out = b"".join([self.packed[t] if t in self.packed else self.spelled(t) for t in self.split(word)])
+        unknown = self.packed_unknown
+        while not self.bytes and unknown * 2 in out:  # adjacent unknown characters are one unknown token
+            out = out.replace(unknown * 2, unknown)
         return out
 
+    def spelled(self, char: str) -> bytes:
+        """A character without a piece: its bytes, or the unknown token."""
+        return b"".join(self.packed_bytes[b] for b in char.encode()) if self.bytes else self.packed_unknown
+
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a whole text, without begin and end, as little-endian unsigned 32-bit integers."""
         if not text:
