@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekspan.llm import bpe, exact_dedup, imatch, katz, language, line_dedup, near_dedup, packing, phrases, pieces, privacy, secrets
+from seekspan.llm import bpe, conversations, exact_dedup, imatch, katz, language, line_dedup, near_dedup, packing, phrases, pieces, privacy, secrets
 from seekspan.llm.common import documents, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,11 +44,77 @@ def op5_bpe(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir), VOCABULARY)
 
 
+def _repair_sql() -> str:
+    """The repair in SQL: rows in order, and for each state the cheapest audit so far as its cost in ten digits before the
+    letters, so that the least string is the best one."""
+
+    def plus(state: str, cost: str, letter: str) -> str:
+        return f"printf('%010d', substr({state}, 1, 10)::BIGINT + {cost}) || substr({state}, 11) || '{letter}'"
+
+    never = "'9000000000'"
+    far = lambda s: f"CASE WHEN {s} >= {never} THEN {never} ELSE {s} END"
+    # insertions: to u from all others, to a from u, then to u once more
+    g_u = f"least(u, {plus('z', '2', 'I')}, {plus('s', '2', 'I')}, {plus('a', '2', 'I')})"
+    g_a = f"least(a, {plus('u', '2', 'I')}, {plus('z', '4', 'II')}, {plus('s', '4', 'II')})"
+    moves = {"z": [("D", "z", "3", "true")], "s": [("D", "s", "3", "true"), ("K", "z", "late", "free AND letter = 's'")], "u": [("D", "gu", "3", "true")], "a": [("D", "ga", "3", "true")]}
+    for start in ("z", "s", "ga"):
+        moves["u"] += [("K", start, "late", "free AND letter = 'u'"), ("R", start, "2 + late", "free")]
+    moves["a"] += [("K", "gu", "late", "free AND letter = 'a'"), ("R", "gu", "2 + late", "free")]
+    best = {
+        x: far("least(" + ", ".join(f"CASE WHEN {test} THEN {plus(s, c, e)} ELSE {never} END" for e, s, c, test in some) + ")") for x, some in moves.items()
+    }
+    return rf"""WITH RECURSIVE bits AS (SELECT i, 0 AS k, i AS v FROM range(256) AS r(i) UNION ALL
+      SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END FROM bits WHERE k < 8),
+    crcs AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+    named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+      coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+    coded AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 20 AS kind FROM named, crcs),
+    hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+      CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+      unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM coded WHERE kind > 0),
+    placed AS (SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again,
+      CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE ' ' END AS letter,
+      lag(CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE ' ' END) OVER w AS earlier
+      FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy)),
+    faulty AS (SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank,
+      NOT regexp_matches(text, '[.!?][ 	-]*$') AS open FROM placed),
+    facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+      count(*) FILTER (NOT blank AND again > 1) AS duplicate, count(*) FILTER (NOT blank AND again = 1 AND open) AS truncated,
+      count(*) FILTER (earlier IS NOT NULL AND earlier || letter NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faulty GROUP BY conv_id),
+    walk AS (SELECT conv_id, 0::BIGINT AS i, '0000000000' AS z, {never} AS s, {never} AS u, {never} AS a FROM facts UNION ALL
+      SELECT conv_id, i, {best['z']}, {best['s']}, {best['u']}, {best['a']} FROM (
+      SELECT w.conv_id, f.i, z, s, {g_u} AS gu, {g_a} AS ga, f.letter, NOT f.blank AND f.again = 1 AS free, f.open::INT AS late
+      FROM walk w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1)),
+    ends AS (SELECT conv_id, least(z, a, {plus('u', '2', 'I')}, {plus('s', '4', 'II')}) AS e, n
+      FROM walk w JOIN facts f USING (conv_id) WHERE w.i = f.n),
+    told AS (SELECT conv_id, substr(e, 1, 10)::BIGINT AS cost, substr(e, 11) AS audit FROM ends),
+    edits AS (SELECT conv_id, audit[j] AS edit, j, (SELECT count(*) FROM range(1, j + 1) AS q(x) WHERE audit[x] <> 'I') AS i
+      FROM told, unnest(range(1, len(audit) + 1)) AS r(j)),
+    lines AS (SELECT e.conv_id, edit, j, f.role, f.text, f.letter,
+      count(*) FILTER (edit <> 'D' AND NOT (edit = 'K' AND letter = 's')) OVER (PARTITION BY e.conv_id ORDER BY j) AS nth
+      FROM edits e LEFT JOIN faulty f ON f.conv_id = e.conv_id AND f.i = e.i AND e.edit <> 'I'),
+    mended AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role ELSE CASE nth % 2 WHEN 1 THEN 'user' ELSE 'assistant' END END
+      || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS whole FROM lines WHERE edit <> 'D' GROUP BY conv_id)
+    SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+      coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+      sha256(coalesce(whole, '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations)
+      LEFT JOIN facts USING (conv_id) LEFT JOIN told USING (conv_id) LEFT JOIN mended USING (conv_id)"""
+
+
+@query("op11_conversations", _repair_sql())
+def op11_conversations(spark, sf_dir):
+    """Faults and cheapest repairs of all conversations after the test damage."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.repair(conversations.damaged(rows), rows.select("conv_id")).drop("n_rows")
+
+
 @query(
     "op13_phrases",
     rf"""WITH parts AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS part FROM documents),
+-
+]')) AS part FROM documents),
     worded AS (SELECT lang, list_filter(regexp_split_to_array(part, '[ 	]+'), lambda x: x <> '') AS w FROM parts),
     totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
     placed AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM worded, range(1, {phrases.MAX_WORDS + 1}) AS r(m)),
