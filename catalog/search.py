@@ -11,6 +11,7 @@ from catalog.derive import DISTANCE, relative_sql
 from seekspan.functions import scoring
 from seekspan.operators import reports
 from seekspan.operators.embedding import embed
+from seekspan.operators.cells import fit_cells, knn_cells, knn_join, probes_for, read_index, write_index
 from seekspan.operators.search import LSH_BITS, LSH_TABLES, knn, knn_batch, knn_lsh, knn_per_collection, lsh_index
 from seekspan.operators.topk import global_top_k, paginate
 from seekspan.plans.request import SearchRequest
@@ -221,6 +222,61 @@ def e5(spark, d):
     return rows.select("chunk_id", "repo_id", *scores())
 
 
+def _index(spark, d):
+    """An inverted-file index of all vectors, stored and read again."""
+    path = scratch_dir(spark, "cells")
+    vectors = corpus.vectors(spark, d)
+    write_index(vectors, fit_cells(vectors, 64), path)
+    return read_index(spark, path)
+
+
+def _twentieth(spark, d, rest=0):
+    rows = corpus.table(spark, d, "embeddings").filter(F.col("vec_id") % 20 == rest)
+    return rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query_vec"))
+
+
+@query(
+    "e4_nearest_join",
+    sql(
+        """SELECT q.vec_id AS query_id, v.repo_id, v.chunk_id, round(list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance
+    FROM vectors v, embeddings q WHERE q.vec_id % 20 = 0
+    QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), v.chunk_id) <= 10""",
+        "vectors",
+    ),
+)
+def e4_join(spark, d):
+    """Ten exact neighbours of every twentieth vector, through the index: cells and rings too far off are never looked at."""
+    found = knn_join(*_index(spark, d), _twentieth(spark, d), 10)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query("e5_inverted_file")
+def e5_inverted_file(spark, d):
+    """Ten approximate neighbours of every twentieth vector, with as many probes as a sample of other vectors needs."""
+    cells, rings = _index(spark, d)
+    probes = probes_for(cells, rings, _twentieth(spark, d, rest=7).limit(100), 10)
+    found = knn_cells(cells, rings, _twentieth(spark, d), 10, probes)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    "e5_recall",
+    "SELECT count(*) AS queries, 10 * count(*) AS neighbours, true AS nine_of_ten FROM embeddings WHERE vec_id % 20 = 0",
+)
+def e5_recall(spark, d):
+    """Whether the approximate search finds nine of ten true neighbours, measured against the exact join over all vectors."""
+    cells, rings = _index(spark, d)
+    queries = _twentieth(spark, d)
+    true = knn_join(cells, rings, queries, 10).select("query_id", "chunk_id")
+    probes = probes_for(cells, rings, _twentieth(spark, d, rest=7).limit(100), 10)
+    found = knn_cells(cells, rings, queries, 10, probes).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    return true.join(found, ["query_id", "chunk_id"], "left").agg(
+        F.count_distinct("query_id").alias("queries"),
+        F.count(F.lit(1)).alias("neighbours"),
+        (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("nine_of_ten"),
+    )
+
+
 @query("e6_search", search_sql("status = 'active'"))
 def e6(spark, d):
     rows = search(corpus.vectors(spark, d), SearchRequest(), corpus.mean_vector(spark, d))
