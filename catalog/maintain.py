@@ -17,6 +17,7 @@ from seekspan.session import scratch_dir
 from seekspan.sources import tables
 from seekspan.sources.name_status import read_name_status
 from seekspan.sources.symbols import read_symbols
+from seekspan.sources.versions import VersionedChunks
 from seekspan.streaming import index as live
 
 NOW_SQL = f"TIMESTAMP '{corpus.NOW}'"
@@ -319,6 +320,22 @@ def d5(spark, d):
     return index.select(*STATE, letter_e())
 
 
+def versioned(spark, chunks):
+    """The chunks as a table of versions with few buckets."""
+    return VersionedChunks.create(spark, scratch_dir(spark, "versions"), chunks, buckets=8)
+
+
+@query("d5_versions", sql(INCREMENTAL_SQL, "stored", "changes", "windows"))
+def d5_versions(spark, d):
+    """The refresh as one more version of a stored table, applied twice under the same batch number."""
+    f = corpus.files(spark, d)
+    found = changes.diff_snapshot(f, corpus.manifest(spark, d))
+    table = versioned(spark, stored(spark, d))
+    for _ in range(2):
+        table.refresh(found, f, corpus.stamp(corpus.NOW), "abc1234", embedder=letter_profile, max_tokens=2000, batch=("refresh", 1))
+    return table.read().select(*STATE, letter_e())
+
+
 @query(
     "m1_manifest",
     sql(
@@ -391,6 +408,23 @@ def l1(spark, d):
     return lifecycle.upsert(corpus.states(spark, d), batch(spark, d)).select(*STATE)
 
 
+@query(
+    "l1_versions",
+    sql(
+        f"""SELECT {STATE_SQL} FROM states WHERE chunk_id NOT IN (SELECT chunk_id FROM batch)
+  UNION ALL SELECT DISTINCT {STATE_SQL} FROM batch""",
+        "states",
+        "batch",
+    ),
+)
+def l1_versions(spark, d):
+    """The upsert as a delta of a stored table, folded into its base afterwards."""
+    table = versioned(spark, corpus.states(spark, d))
+    table.upsert(batch(spark, d))
+    table.compact(deltas=1)
+    return table.read().select(*STATE)
+
+
 @query(
     "l1_upsert_counts",
     sql(
@@ -432,6 +466,22 @@ def l2(spark, d):
     return rows.select(*MARKED, shown("deleted_at"))
 
 
+@query(
+    "l2_versions",
+    sql(
+        f"""SELECT chunk_id, file_path, CASE WHEN {HIT_SQL} THEN 'deleted' ELSE status END AS status,
+  CASE WHEN {HIT_SQL} THEN 'c0ffee1' ELSE deleted_in_commit END AS deleted_in_commit,
+  CASE WHEN {HIT_SQL} THEN '{corpus.NOW}' ELSE strftime(deleted_at, '%Y-%m-%d %H:%M:%S') END AS deleted_at FROM states""",
+        "states",
+    ),
+)
+def l2_versions(spark, d):
+    """Tombstones as a delta of a stored table."""
+    table = versioned(spark, corpus.states(spark, d))
+    table.tombstone(changed_files(spark, d), corpus.stamp(corpus.NOW), "c0ffee1")
+    return table.read().select(*MARKED, shown("deleted_at"))
+
+
 @query(
     "l3_restore",
     sql(
@@ -472,6 +522,17 @@ def l5(spark, d):
     return kept.select("chunk_id", "file_path", "status")
 
 
+@query(
+    "l5_versions",
+    sql(f"SELECT chunk_id, file_path, status FROM states WHERE NOT coalesce({OLD_SQL}, false)", "states"),
+)
+def l5_versions(spark, d):
+    """The purge of a stored table, from ids and stamps alone."""
+    table = versioned(spark, corpus.states(spark, d))
+    table.purge(corpus.stamp(corpus.CUTOFF))
+    return table.read().select("chunk_id", "file_path", "status")
+
+
 @query(
     "l5_purge_dry_run",
     sql(
@@ -652,6 +713,23 @@ def r1(spark, d):
     return tables.read_chunks(spark, table).select(*STATE, letter_e())
 
 
+@query("r1_stream_versions", sql(INCREMENTAL_SQL, "stored", "changes", "windows"))
+def r1_versions(spark, d):
+    """The same on a table of versions: each micro-batch is one more version."""
+    inbox = scratch_dir(spark, "inbox")
+    table = versioned(spark, stored(spark, d))
+    f = corpus.files(spark, d)
+    found = changes.diff_snapshot(f, corpus.manifest(spark, d)).drop("new_path")
+    rows = found.join(f, KEY, "left").select(*FILES.names, "change")
+    rows.write.parquet(inbox)
+    stream = live.file_stream(spark, inbox, rows, "*.parquet", files_per_trigger=2)
+    live.stream_versions(
+        stream, table, scratch_dir(spark, "progress"), corpus.stamp(corpus.NOW), commit="abc1234", embedder=letter_profile,
+        max_tokens=2000,
+    ).awaitTermination()
+    return table.read().select(*STATE, letter_e())
+
+
 @query("r4_stream_dedupe", sql("SELECT DISTINCT chunk_id, content_hash FROM windows", "windows"))
 def r4(spark, d):
     """All windows arrive twice, in many files; each id leaves once."""

@@ -11,6 +11,7 @@ from seekspan.operators.changes import ADDED, MODIFIED
 from seekspan.plans.indexing import incremental_index
 from seekspan.schemas import CHUNKS, FILES
 from seekspan.sources.tables import read_chunks, write_chunks
+from seekspan.sources.versions import VersionedChunks
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -56,6 +57,25 @@ def stream_index(changes: DataFrame, table: str, checkpoint: str, now: Moment |
     )
 
 
+def stream_versions(
+    changes: DataFrame, table: VersionedChunks, checkpoint: str, now: Moment | None = None, source: str = "changes", **options
+) -> StreamingQuery:
+    """R1 on a table of versions: each micro-batch of `(files columns, change)` rows becomes one more version, in which only the
+    buckets of its files have new files. A batch that is delivered again after a failure is known by its number."""
+    stamp = F.current_timestamp() if now is None else now
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()
+        try:
+            listed = kept.select("repo_id", "file_path", "change", F.lit(None).cast("string").alias("new_path"))
+            files = kept.filter(F.col("change").isin(ADDED, MODIFIED)).select(*FILES.names)
+            table.refresh(listed, files, stamp, batch=(source, batch_id), **options)
+        finally:
+            kept.unpersist()
+
+    return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_dedupe(chunks: DataFrame, ts: str = "indexed_at", delay: str = "1 hour", key: str = "chunk_id") -> DataFrame:
     """Drop repeated chunk ids that arrive within `delay`; the state of older ids is dropped by the watermark."""
     return chunks.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
