@@ -6,9 +6,11 @@ A phrase is a pair of intervals of equal size, one in either transform, and its
 phrases by a word on the left reads the one transform, on the right the other, and keeps both intervals in step. Counts of all
 shards are summed, and only phrases that are frequent in the whole language are grown further.
 
-Shards learn what is frequent from a Bloom filter of bounded size, so nothing that grows with the corpus is broadcast or joined
-to the shards. Its false positives cost rows that the sum then discards, never a wrong count. Where a corpus has more frequent
-phrases than `FILTER_BITS` can tell apart, shards send more rows; results stay the same.
+Shards learn what is frequent from Bloom filters of bounded size, so nothing that grows with the corpus is broadcast or joined
+to the shards. For each length the shards first sum up counts by a hash of 40 bits, which makes the filter; when all filters are
+there, the phrases that pass them are counted once more by their words. Hashes and filters only decide what is looked at: a
+false positive costs some bytes, never a wrong count. Where a corpus has more frequent phrases than `FILTER_BITS` can tell
+apart, shards send more; results stay the same. Counts travel in packed blocks, one for each shard and bucket of hashes.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seekspan.llm.common import mix64, prepare, stored, text_slices
+from seekspan.llm.common import buckets, mix64, prepare, stored, text_slices
 from seekspan.operators.topk import top_k_per_group
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
@@ -30,7 +32,10 @@ MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 SHARD_WORDS, SLICE_BYTES = 600_000, 2 << 20
 # the filter has sixteen bits for each frequent phrase, and 2^28 (32 MB) at most
 FILTER_BITS = 28
-HASHES = 4
+PLACES = 4
+HASH_BITS = 40
+# counts of one bucket of hashes, which one task sums up at a time
+BUCKET_ENTRIES = 1 << 20
 UNKNOWN_LANGUAGE = "und"
 
 _SHARD = "lang string, words array<string>, keys array<bigint>, counts array<bigint>, text binary"
@@ -144,11 +149,11 @@ class Phrases:
     """Phrases of equal length in one shard: where their interval starts in either transform, how often they occur, the
     letters they consist of, and a hash of these."""
 
-    def __init__(self, starts: list[np.ndarray], size: np.ndarray, letters: np.ndarray, hashes: list[np.ndarray]):
+    def __init__(self, starts: list[np.ndarray], size: np.ndarray, letters: np.ndarray, hashes: np.ndarray):
         self.starts, self.size, self.letters, self.hashes = starts, size, letters, hashes
 
     def take(self, which: np.ndarray) -> Phrases:
-        return Phrases([s[which] for s in self.starts], self.size[which], self.letters[which], [h[which] for h in self.hashes])
+        return Phrases([s[which] for s in self.starts], self.size[which], self.letters[which], self.hashes[which])
 
 
 class Index:
@@ -203,20 +208,17 @@ class Index:
         return Phrases(starts, size, letters, hashed(*[self.keys[letters[:, i] - 1] for i in range(letters.shape[1])]))
 
 
-def hashed(*words: np.ndarray) -> list[np.ndarray]:
-    """Two hashes of phrases, given as their words' keys in order."""
-    one, two = (np.full(len(words[0]), x, np.uint64) for x in (7, 11))
+def hashed(*words: np.ndarray) -> np.ndarray:
+    """Hashes of HASH_BITS bits of phrases, given as their words' keys in order."""
+    out = np.full(len(words[0]), 7, np.uint64)
     for word in words:
-        key = word.view(np.uint64)
-        one = mix64(one * np.uint64(0x9E3779B97F4A7C15) + key)
-        two = mix64((two + key) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return [one, two]
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64))
+    return out >> np.uint64(64 - HASH_BITS)
 
 
-def _places(hashes: list[np.ndarray], bits: int) -> list[np.ndarray]:
+def _places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     """Places in a filter of 2^bits bits."""
-    one, two = hashes
-    return [(one + np.uint64(i) * (two | np.uint64(1))) >> np.uint64(64 - bits) for i in range(HASHES)]
+    return [mix64(hashes + np.uint64(i << HASH_BITS)) >> np.uint64(64 - bits) for i in range(1, PLACES + 1)]
 
 
 class Filter:
@@ -225,34 +227,109 @@ class Filter:
     def __init__(self, bits: int, table: np.ndarray):
         self.bits, self.table = bits, table
 
-    def has(self, hashes: list[np.ndarray]) -> np.ndarray:
-        found = np.ones(len(hashes[0]), bool)
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        found = np.ones(len(hashes), bool)
         for place in _places(hashes, self.bits):
             found &= (self.table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
         return found
 
 
-def build_filter(frequent: DataFrame, columns: list[str], most_bits: int) -> Filter:
-    """The filter is put together on the executors; what comes to the driver is the filter itself, at most 2^most_bits bits."""
-    bits = min(max(int(np.ceil(np.log2(16 * max(frequent.count(), 1)))), 10), most_bits)
+def build_filter(hashes: DataFrame, most_bits: int) -> Filter:
+    """The filter of a table (h) of hashes. It is put together on the executors; what comes to the driver is the filter itself,
+    2^most_bits bits at most."""
+    bits = min(max(int(np.ceil(np.log2(16 * max(hashes.count(), 1)))), 10), most_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = hashed(*[batch.column(c).to_numpy() for c in columns])
-            place = np.unique(np.concatenate(_places(hashes, bits)))
+            place = np.unique(np.concatenate(_places(batch.column("h").to_numpy().astype(np.uint64), bits)))
             cell = place >> np.uint64(6)
             cells, at = np.unique(cell, return_index=True)
             if len(cells):
                 value = np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), at)
                 yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int64)), pa.array(value.view(np.int64))], names=["cell", "value"])
 
-    cells = frequent.select(*columns).mapInArrow(run, "cell bigint, value bigint").groupBy("cell").agg(F.bit_or("value").alias("value"))
+    cells = hashes.mapInArrow(run, "cell bigint, value bigint").groupBy("cell").agg(F.bit_or("value").alias("value"))
     got = cells.toArrow()
     table = np.zeros(1 << (bits - 6), np.uint64)
     table[got.column("cell").to_numpy()] = got.column("value").to_numpy().astype(np.int64).view(np.uint64)
     return Filter(bits, table)
 
 
+# packed counts
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of numbers, byte by byte, so that their empty high bytes cost nothing; the first one ascends."""
+    first = np.diff(columns[0], prepend=columns[0][:1] * 0)
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in (first, *columns[1:])]
+    return pa.compress(b"".join(planes), "zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, n: int, width: int) -> list[np.ndarray]:
+    flat = np.frombuffer(pa.decompress(raw, n * width * 8, "zstd", asbytes=True), np.uint8).reshape(width, 8, n)
+    columns = [np.ascontiguousarray(c.T).view(np.int64).ravel() for c in flat]
+    return [np.cumsum(columns[0]), *columns[1:]]
+
+
+_BLOCK = "bucket bigint, length int, n int, counts binary"
+
+
+def _blocks(hashes: np.ndarray, columns: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """Counts of one shard in blocks, by the highest `bits` bits of the hash; the hash itself is the first column."""
+    order = np.argsort(hashes)
+    hashes = hashes[order].astype(np.int64)
+    columns = [hashes, *[c[order] for c in columns]]
+    bucket = hashes >> (HASH_BITS - bits)
+    cuts = np.concatenate([np.flatnonzero(np.diff(bucket, prepend=-1)), [len(bucket)]]).tolist()
+    packed = [_packed([c[a:b] for c in columns]) for a, b in zip(cuts, cuts[1:])]
+    sizes = np.diff(cuts)
+    lengths = np.full(len(sizes), len(columns) - 2)
+    rows = [pa.array(bucket[cuts[:-1]]), pa.array(lengths, pa.int32()), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())]
+    return pa.RecordBatch.from_arrays(rows, names=["bucket", "length", "n", "counts"])
+
+
+def _summed(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows of equal values in all columns but the last, which is summed."""
+    order = np.lexsort(columns[-2::-1])
+    columns = [c[order] for c in columns]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns[:-1]:
+        new[1:] |= c[1:] != c[:-1]
+    at = np.flatnonzero(new)
+    return [*[c[at] for c in columns[:-1]], np.add.reduceat(columns[-1], at) if len(at) else columns[-1]]
+
+
+def _totals(blocks: DataFrame, least: int, width: int, finish: Callable[[int, list[np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
+    """Counts of all shards, bucket by bucket; those of `least` or more go on. `width` columns of words follow the hash."""
+    tasks = buckets(blocks.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, weight = None, [], 0
+
+        def done():
+            columns = _summed([np.concatenate(c) for c in zip(*held)])
+            return finish(now[1], [c[columns[-1] >= least] for c in columns])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bucket, length, n, raw = (batch.column(c)[i] for c in ("bucket", "length", "n", "counts"))
+                key = bucket.as_py(), length.as_py()
+                if held and key != now:
+                    yield done()
+                    held, weight = [], 0
+                now = key
+                held.append(_unpacked(raw.as_py(), n.as_py(), key[1] + 2))
+                weight += n.as_py()
+                if weight > 4 * BUCKET_ENTRIES:
+                    held = [_summed([np.concatenate(c) for c in zip(*held)])]
+                    weight = len(held[0][0])
+        if held:
+            yield done()
+
+    return blocks.repartition(tasks, "bucket", "length").sortWithinPartitions("bucket", "length").mapInArrow(run, schema)
+
+
 def index_shards(packed: DataFrame, known: Callable[[], Filter]) -> DataFrame:
     """The index of every shard, over the words that may be frequent; all others become gaps between pieces."""
 
@@ -273,25 +350,56 @@ def index_shards(packed: DataFrame, known: Callable[[], Filter]) -> DataFrame:
     return packed.select("keys", "text").mapInArrow(run, _INDEX)
 
 
-def grown(indexed: DataFrame, known: list[Callable[[], Filter]]) -> DataFrame:
-    """(k1, ..., kn, a): phrases of one word more than the longest filter knows, counted in each shard.
+def _indexes(batch: pa.RecordBatch) -> Iterator[Index]:
+    for row in zip(*(batch.column(c) for c in ("keys", "forward", "backward"))):
+        yield Index(*(np.frombuffer(v.as_buffer(), t) for v, t in zip(row, (np.int64, np.int32, np.int32))))
+
+
+def grow(index: Index, known: list[Callable[[], Filter]]) -> Iterator[Phrases]:
+    """Phrases of 2, 3, ... words in one shard: those that the filter of their length knows are grown by a word, on the right
+    and on the left in turn."""
+    phrases = index.words()
+    for length, filter_ in enumerate(known, 1):
+        phrases = index.extend(phrases.take(filter_().has(phrases.hashes)), side=length % 2)
+        yield phrases
+
+
+def frequent_hashes(indexed: DataFrame, known: list[Callable[[], Filter]], least: int, bits: int) -> DataFrame:
+    """(h): hashes that phrases of one word more than the last filter's have, if their counts come to `least` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for index in _indexes(batch):
+                *_, phrases = grow(index, known)
+                if len(phrases.size):
+                    yield _blocks(phrases.hashes, [phrases.size.astype(np.int64)], bits)
+
+    def finish(_: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[0])], names=["h"])
+
+    return _totals(indexed.mapInArrow(run, _BLOCK), least, 0, finish, "h bigint")
+
 
-    Phrases grow on the right and on the left in turn; those that no filter knows are not grown."""
-    n = len(known) + 1
-    columns = [f"k{i + 1}" for i in range(n)]
+def frequent_phrases(indexed: DataFrame, known: list[Callable[[], Filter]], longest: int, least: int, bits: int) -> DataFrame:
+    """(length, k1, ..., a): all phrases of 2 to `longest` words that stand `least` times or more, counted by their words."""
+    names = [f"k{i + 1}" for i in range(longest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(batch.column(c) for c in ("keys", "forward", "backward"))):
-                keys, forward, backward = (np.frombuffer(v.as_buffer(), t) for v, t in zip(row, (np.int64, np.int32, np.int32)))
-                index = Index(keys, forward, backward)
-                phrases = index.words()
-                for length, filter_ in enumerate(known):
-                    phrases = index.extend(phrases.take(filter_().has(phrases.hashes)), side=(length + 1) % 2)
-                words = [pa.array(keys[phrases.letters[:, i] - 1]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([*words, pa.array(phrases.size.astype(np.int64))], names=[*columns, "a"])
+            for index in _indexes(batch):
+                for phrases, filter_ in zip(grow(index, known[:-1]), known[1:]):
+                    phrases = phrases.take(filter_().has(phrases.hashes))
+                    words = [index.keys[phrases.letters[:, i] - 1] for i in range(phrases.letters.shape[1])]
+                    if len(phrases.size):
+                        yield _blocks(phrases.hashes, [*words, phrases.size.astype(np.int64)], bits)
+
+    def finish(length: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+        n = len(columns[0])
+        words = [pa.array(c) for c in columns[1:-1]] + [pa.nulls(n, pa.int64())] * (longest - length)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, length), pa.int32()), *words, pa.array(columns[-1])], names=["length", *names, "a"])
 
-    return indexed.mapInArrow(run, ", ".join(f"{c} bigint" for c in [*columns, "a"]))
+    schema = "length int, " + ", ".join(f"{c} bigint" for c in [*names, "a"])
+    return _totals(indexed.mapInArrow(run, _BLOCK), least, longest, finish, schema)
 
 
 # counts of the whole corpus
@@ -325,17 +433,28 @@ def counted(docs: DataFrame, text_col: str, lang_col: str, least: int, longest:
     packed, words = _keyed(docs, text_col, lang_col, size)
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
     levels = [stored(words.filter(F.col("a") >= least), "phrases-1")]
-    known = [_shared(spark, build_filter(levels[0], ["k1"], most_bits))]
+    # so many bits of the hash make the bucket that each holds about BUCKET_ENTRIES counts
+    amount = words.agg(F.sum("a")).first()[0] or 0
+    bits = min(max(int(np.ceil(np.log2(max(amount / BUCKET_ENTRIES, buckets(spark), 1)))), 0), HASH_BITS - 1)
+    known = [_shared(spark, build_filter(_word_hashes(levels[0]), most_bits))]
     indexed = stored(index_shards(packed, known[0]), "phrase-index")
     for n in range(2, longest + 1):
-        columns = [f"k{i + 1}" for i in range(n)]
-        sums = grown(indexed, known).groupBy(*columns).agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
-        levels.append(stored(sums, f"phrases-{n}"))
-        if n < longest:
-            known.append(_shared(spark, build_filter(levels[-1], columns, most_bits)))
+        found = stored(frequent_hashes(indexed, known, least, bits), f"phrase-hashes-{n}")
+        known.append(_shared(spark, build_filter(found, most_bits)))
+    found = stored(frequent_phrases(indexed, known, longest, least, bits), "phrases-counted")
+    for n in range(2, longest + 1):
+        levels.append(found.filter(F.col("length") == n).select(*[f"k{i + 1}" for i in range(n)], "a"))
     return totals, levels
 
 
+def _word_hashes(words: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(hashed(batch.column("k1").to_numpy()).astype(np.int64))], names=["h"])
+
+    return words.select("k1").mapInArrow(run, "h bigint")
+
+
 def _scored(levels: list[DataFrame]) -> Iterator[DataFrame]:
     """Phrases of each length from 2: (lang, phrase, a, heads, tails, within).
 

@@ -92,10 +92,21 @@ def test_index(letters, sides):
 
 def test_filter_forgets_nothing(spark):
     rng = np.random.default_rng(1)
-    keys = rng.integers(-(2**63), 2**63 - 1, (3000, 2))
-    frequent = spark.createDataFrame(keys.tolist(), "k1 long, k2 long")
-    known = phrases.build_filter(frequent, ["k1", "k2"], 28)
-    assert known.has(phrases.hashed(keys[:, 0], keys[:, 1])).all()
-    other = rng.integers(-(2**63), 2**63 - 1, (20000, 2))
-    assert known.has(phrases.hashed(other[:, 0], other[:, 1])).mean() < 0.01
-    assert phrases.build_filter(frequent, ["k1", "k2"], 10).bits == 10
+    draw = lambda n: phrases.hashed(*(rng.integers(-(2**63), 2**63 - 1, n) for _ in range(2)))
+    mine, other = draw(3000), draw(20000)
+    frequent = spark.createDataFrame([(int(h),) for h in mine], "h long")
+    known = phrases.build_filter(frequent, 28)
+    assert known.has(mine).all() and known.has(other).mean() < 0.01
+    assert phrases.build_filter(frequent, 10).bits == 10
+
+
+def test_packed_counts():
+    rng = np.random.default_rng(2)
+    hashes = rng.integers(0, 2**phrases.HASH_BITS, 5000).astype(np.uint64)
+    words, counts = rng.integers(-(2**63), 2**63 - 1, 5000), rng.integers(1, 10**12, 5000)
+    batch = phrases._blocks(hashes, [words, counts], 4)
+    assert batch.num_rows == 16 and set(batch.column("length").to_pylist()) == {1}
+    got = []
+    for n, raw in zip(batch.column("n").to_pylist(), batch.column("counts").to_pylist()):
+        got += list(zip(*(c.tolist() for c in phrases._unpacked(raw, n, 3))))
+    assert sorted(got) == sorted(zip(hashes.astype(np.int64).tolist(), words.tolist(), counts.tolist()))
