@@ -16,7 +16,9 @@ from seekspan.schemas import CHUNKS, FILES
 from seekspan.session import scratch_dir
 from seekspan.sources import tables
 from seekspan.sources.name_status import read_name_status
+from seekspan.sources.files import scan_repos
 from seekspan.sources.symbols import read_symbols
+from seekspan.sources.trees import write_file
 from seekspan.sources.versions import VersionedChunks
 from seekspan.streaming import index as live
 
@@ -45,10 +47,6 @@ def shown_sql(column: str, alias: str | None = None) -> str:
 )
 def s1(spark, d):
     """The corpus written out as one file tree per project and scanned again."""
-    from pathlib import Path
-
-    from seekspan.sources.files import scan_repos
-
     root = scratch_dir(spark, "trees")
 
     def spill(batches):
@@ -56,9 +54,7 @@ def s1(spark, d):
 
         for batch in batches:
             for rid, path, content in zip(batch["repo_id"], batch["file_path"], batch["content"]):
-                target = Path(root, rid, path)
-                target.parent.mkdir(parents=True, exist_ok=True)
-                target.write_bytes(content.encode())
+                write_file(f"{root}/{rid}/{path}", content.encode())
             yield pd.DataFrame({"n": [len(batch)]})
 
     f = corpus.files(spark, d)

@@ -3,136 +3,27 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import os
-from collections import deque
-from collections.abc import Iterable, Iterator, Mapping
-from dataclasses import dataclass
-from datetime import datetime, timezone
+from collections.abc import Iterable, Mapping
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from seekspan.functions import fixed, paths, text
 from seekspan.schemas import FILES
+from seekspan.sources import trees
 
-_TREE = "repo_id string, project_name string, file_path string, mtime timestamp, size bigint, raw binary"
-# directories listed by the driver per repository before the rest of the walk is left to the tasks
-_DRIVER_DIRS = 64
-# files of one listed directory per input partition, and bytes per batch handed to Spark
-_FILES_PER_SPLIT = 256
-_BATCH_BYTES = 8 << 20
 
-
-@dataclass
-class _Split(InputPartition):
-    """Part of one repository: whole directories below `dirs`, or the single files in `names`."""
-
-    repo_id: str
-    project: str
-    root: str
-    dirs: list[str]
-    names: list[str]
-
-
-class _TreeReader(DataSourceReader):
-    def __init__(self, repos: list[list[str]], extensions: tuple[str, ...], skipped: frozenset[str]):
-        self.repos, self.extensions, self.skipped = repos, extensions, skipped
-
-    def _list(self, folder: str) -> tuple[list[str], list[str]]:
-        """Subdirectories and files of a directory; skipped directories are pruned, so their content is never listed."""
-        dirs, names = [], []
-        with os.scandir(folder) as entries:
-            for e in sorted(entries, key=lambda e: e.name):
-                if e.is_dir(follow_symlinks=False):
-                    if e.name not in self.skipped and not e.name.startswith("."):
-                        dirs.append(e.path)
-                elif e.name.endswith(self.extensions):
-                    names.append(e.path)
-        return dirs, names
-
-    def partitions(self) -> list[_Split]:
-        splits = []
-        for repo_id, project, root in self.repos:
-            todo, names, seen = deque([root]), [], 0
-            while todo and seen < _DRIVER_DIRS:
-                dirs, found = self._list(todo.popleft())
-                todo.extend(dirs)
-                names.extend(found)
-                seen += 1
-            splits += [_Split(repo_id, project, root, [d], []) for d in todo]
-            for i in range(0, len(names), _FILES_PER_SPLIT):
-                splits.append(_Split(repo_id, project, root, [], names[i : i + _FILES_PER_SPLIT]))
-        return splits or [_Split("", "", "", [], [])]
-
-    def _walk(self, split: _Split) -> Iterator[str]:
-        yield from split.names
-        todo = list(split.dirs)
-        while todo:
-            dirs, names = self._list(todo.pop())
-            yield from names
-            todo.extend(dirs)
-
-    def read(self, split: _Split) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(
-            [
-                ("repo_id", pa.string()),
-                ("project_name", pa.string()),
-                ("file_path", pa.string()),
-                ("mtime", pa.timestamp("us", tz="UTC")),
-                ("size", pa.int64()),
-                ("raw", pa.binary()),
-            ]
-        )
-        rows: list[dict] = []
-        held = 0
-        for name in self._walk(split):
-            try:
-                with open(name, "rb") as f:
-                    raw = f.read()
-                    stamp = os.fstat(f.fileno()).st_mtime
-            except OSError:
-                continue  # unreadable files are left out
-            rows.append(
-                {
-                    "repo_id": split.repo_id,
-                    "project_name": split.project,
-                    "file_path": os.path.relpath(name, split.root).replace(os.sep, "/"),
-                    "mtime": datetime.fromtimestamp(stamp, tz=timezone.utc),
-                    "size": len(raw),
-                    "raw": raw,
-                }
-            )
-            held += len(raw)
-            if held >= _BATCH_BYTES:
-                yield pa.RecordBatch.from_pylist(rows, schema)
-                rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-
-class SourceTree(DataSource):
-    """File trees on a file system that is mounted on driver and executors.
-
-    Unlike the built-in file sources it does not hide names starting with '_'. The driver lists only the first
-    directories of each repository; the tasks list and read what lies below them.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "source_tree"
-
-    def schema(self) -> str:
-        return _TREE
-
-    def reader(self, schema) -> _TreeReader:
-        return _TreeReader(
-            json.loads(self.options["repos"]),
-            tuple(self.options["extensions"].split(",")),
-            frozenset(self.options["skipped"].split(",")),
-        )
+def scan_trees(
+    spark: SparkSession,
+    repos: Iterable[tuple[str, str, str]],
+    extensions: Iterable[str] = tuple(fixed.INDEX_LANGUAGES),
+    skipped: Iterable[str] = fixed.SKIP_DIRS,
+) -> DataFrame:
+    """Raw files of several source trees, given as (repo_id, project_name, root), with what could not be read as rows with an
+    `error`. Roots are folders that all machines see, or URIs of a store."""
+    roots = [(rid, name, root if "://" in root else os.path.abspath(root)) for rid, name, root in repos]
+    return trees.read_files(trees.list_trees(spark, roots, tuple(extensions), frozenset(skipped)))
 
 
 def scan_repos(
@@ -143,16 +34,9 @@ def scan_repos(
 ) -> DataFrame:
     """`files` rows of several source trees, given as (repo_id, project_name, root), in one scan.
 
-    Content that is not valid UTF-8 is repaired.
+    Content that is not valid UTF-8 is repaired. Unreadable files are left out; `scan_trees` reports them.
     """
-    spark.dataSource.register(SourceTree)
-    tree = (
-        spark.read.format("source_tree")
-        .option("repos", json.dumps([[rid, name, os.path.abspath(root)] for rid, name, root in repos]))
-        .option("extensions", ",".join(extensions))
-        .option("skipped", ",".join(skipped))
-        .load()
-    )
+    tree = scan_trees(spark, repos, extensions, skipped).filter(F.col("error").isNull())
     content = F.make_valid_utf8(F.col("raw").cast("string"))
     return tree.select(
         "repo_id",

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from seekspan.operators import audit, changes, lifecycle, ratelimit, reports
 from seekspan.plans.indexing import full_index, incremental_index
 from seekspan.schemas import CHUNKS, conform
-from seekspan.sources import tables
-from seekspan.sources.files import scan_repo
+from seekspan.sources import tables, trees
+from seekspan.sources.files import scan_repo, scan_trees
 from seekspan.sources.name_status import read_name_status
 
 NOW = dt.datetime(2024, 3, 10, 12)
@@ -144,6 +144,33 @@ def test_scan_repo(spark, tmp_path):
     assert abs(rows["src/main.go"].mtime.timestamp() - os.stat(tmp_path / "src/main.go").st_mtime) < 1
 
 
+def test_trees_are_listed_by_levels(spark, tmp_path, monkeypatch):
+    """A deep branch and a wide folder are found whole; what cannot be read is reported; the driver lists nothing."""
+    deep = tmp_path / "/".join(f"d{i}" for i in range(9))
+    deep.mkdir(parents=True)
+    (deep / "end.go").write_text("package end\n")
+    for i in range(700):
+        (tmp_path / f"wide{i}.py").write_text(f"x = {i}\n")
+    (tmp_path / "d0" / "loop").symlink_to(tmp_path, target_is_directory=True)
+    monkeypatch.setattr(os, "scandir", lambda *_: pytest.fail("listed on the driver"))
+    roots = [("r", "p", str(tmp_path)), ("q", "p", str(tmp_path / "missing")), ("s", "p", f"file://{tmp_path}/d0")]
+    rows = scan_trees(spark, roots).select("repo_id", "file_path", "size", "error").collect()
+    good = {(r.repo_id, r.file_path) for r in rows if r.error is None}
+    assert good == {("r", f"wide{i}.py") for i in range(700)} | {("r", "/".join(f"d{i}" for i in range(9)) + "/end.go"), ("s", "/".join(f"d{i}" for i in range(1, 9)) + "/end.go")}
+    (bad,) = [r for r in rows if r.error]
+    assert bad.repo_id == "q" and "FileNotFoundError" in bad.error and bad.size is None
+
+
+def test_unreadable_file_is_reported(spark, tmp_path):
+    (tmp_path / "a.py").write_text("a")
+    (tmp_path / "b.py").write_text("b")
+    listed = trees.list_trees(spark, [("r", "p", str(tmp_path))], (".py",), frozenset())
+    (tmp_path / "b.py").unlink()
+    rows = {r.file_path: r for r in trees.read_files(listed).collect()}
+    assert rows["a.py"].error is None and bytes(rows["a.py"].raw) == b"a"
+    assert rows["b.py"].raw is None and "FileNotFoundError" in rows["b.py"].error
+
+
 def test_chunk_table_replaces_only_its_collections(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = conform(spark.createDataFrame([("1", "a", "x"), ("2", "b", "x")], "chunk_id string, repo_id string, file_path string"), CHUNKS)
