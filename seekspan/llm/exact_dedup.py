@@ -59,18 +59,25 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", inde
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per input row; the smallest doc_id of equal texts stays.
 
     The rows are loaded in two batches, smaller doc_ids first, as a growing corpus would be: the second one meets the
-    first in the index. Without `index` a new one is made. A null text counts as empty. Rows that repeat a doc_id
+    first in the index. Without `index` a new one is made, whose name in the catalog goes when the result is there. Rows without
+    a doc_id come last; where no row of a group has one, keep_id is null and all its rows are kept. A null text counts as empty. Rows that repeat a doc_id
     count in the group each, and all of those with the smallest doc_id are kept. An empty table gives none.
     """
     spark = docs.sparkSession
     rows = stored(digests(docs, id_col, text_col), "digests")
-    index = index or DigestIndex(spark, scratch_dir(spark, "digest-index"), buckets(spark))
-    middle = rows.agg(F.percentile_approx("doc_id", 0.5, 100)).first()[0]
-    if middle is not None:
-        index.append(rows.filter(F.col("doc_id") <= middle))
-        index.append(rows.filter((F.col("doc_id") > middle) | F.col("doc_id").isNull()))
-    sizes = rows.groupBy("digest").agg(F.count("*").alias("group_size"))
-    groups = sizes.join(index.read().hint("merge"), "digest")
+    own = None if index else DigestIndex(spark, scratch_dir(spark, "digest-index"), buckets(spark))
+    index = index or own
+    try:
+        middle = rows.agg(F.percentile_approx("doc_id", 0.5, 100)).first()[0]
+        first = F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(False))
+        index.append(rows.filter(first))
+        index.append(rows.filter(~first))
+        sizes = rows.groupBy("digest").agg(F.count("*").alias("group_size"))
+        groups = sizes.join(index.read().hint("merge"), "digest")
+        groups = stored(groups, "digest-groups") if own else groups
+    finally:
+        if own:
+            own.drop()
     joined = rows.join(groups.hint("merge"), "digest")
     return joined.select(
         "doc_id",

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seekspan.llm.common import id_and_text, mix64, stored, text_slices, words
@@ -30,6 +30,8 @@ BLOCK = 256
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 STEPS = np.arange(1, SLOTS + 1, dtype=np.uint64) * GOLD
 CHUNK = 150_000
+# keys of documents without an id begin here
+NO_ID = 1 << 62
 
 
 def shingle_sets(text: pa.Array) -> list[np.ndarray]:
@@ -223,15 +225,30 @@ def block_links(unsettled: DataFrame, sets: DataFrame) -> DataFrame:
     return members.groupBy("key", "block", "block2").applyInArrow(run, "a long, b long")
 
 
+def key(doc_id: Column, text: Column) -> Column:
+    """A key for each document: its doc_id, or without one a number beyond all ids (2^62 and more) drawn from its text, so that
+    equal texts without ids are one document."""
+    drawn = F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)
+    return F.coalesce(doc_id.cast("long"), drawn)
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row.
 
     Documents are linked when 100 x intersection >= LEVEL x union of their shingle sets; `component_id` is the smallest
     doc_id that can be reached over links, and that document is kept. A null text, or one without words, has no shingles,
-    is linked with nothing and kept. A doc_id names one document: rows that repeat it are in one group. An empty table gives
-    none.
+    is linked with nothing and kept. A doc_id names one document: rows that repeat it are in one group. Rows without a
+    doc_id are linked like all others; a group in which no row has one has no component_id, and its first text is kept. Ids
+    are less than 2^62. An empty table gives none.
     """
     rows = id_and_text(docs, id_col, text_col)
+    found = grouped(rows.withColumn("doc_id", key(F.col("doc_id"), F.col("text"))))
+    known = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
+    return found.select(known("doc_id"), "n_shingles", known("component_id"), "kept")
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """`groups` of rows (doc_id, text) without nulls, by their keys."""
     signed = stored(sign(rows), "signatures")
     own = ["n_shingles", "low", "high"]
     classes = signed.filter("n_shingles > 0").groupBy(*own).agg(F.min(F.struct("doc_id", "bands")).alias("first"))

@@ -415,7 +415,7 @@ def test_all_queries_are_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert set(QUERIES) | {"pipeline"} <= names and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert set(QUERIES) | {"pipeline"} <= names and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_katz_scores_other_texts(spark, docs):
