@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seekspan.llm import language, line_dedup, near_dedup, packing, privacy
@@ -35,10 +35,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group."""
+    """Keeps the document with the smallest doc_id of each group, one row of it if the row is repeated. Without any doc_id in a
+    group one of its rows stays; rows without words or text are in no group, and stay. An empty table gives none."""
     prepare(spark)
-    kept = near_dedup.groups(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    name = near_dedup.key(F.col("doc_id"), F.col("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), name.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = near_dedup.grouped(rows.select("doc_id", "text")).filter("kept")
+    kept = found.groupBy("doc_id").agg(F.max("n_shingles").alias("_words"))
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    left = rows.join(kept.hint("merge"), "doc_id").withColumn("_again", again)
+    return left.filter((F.col("_again") == 1) | ((F.col("doc_id") >= near_dedup.NO_ID) & (F.col("_words") == 0))).select("_row.*")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
