@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -37,7 +38,7 @@ MIN_GAIN = 0.8
 MIN_EVIDENCE = 4.0
 SLICE_BYTES = 4 << 20
 
-_local = re.compile(r"[A-Za-z0-9._%+-]+")
+LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 _domain = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
@@ -64,10 +65,12 @@ def emails(text: str) -> Iterator[Span]:
     right for name, sign and domain, but linear in texts with long runs of letters."""
     done, at = 0, text.find("@")
     while at >= 0:
-        name = _local.match(text[done:at][::-1])
-        domain = _domain.match(text, at + 1) if name else None
+        first = at
+        while first > done and text[first - 1] in LOCAL:
+            first -= 1
+        domain = _domain.match(text, at + 1) if first < at else None
         if domain:
-            yield Span("email", at - name.end(), domain.end())
+            yield Span("email", first, domain.end())
             done = domain.end()
         at = text.find("@", max(at + 1, done))
 

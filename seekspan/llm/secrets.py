@@ -48,13 +48,16 @@ def matches(text: Column, kind: str) -> Column:
     safe = F.when(text.rlike("[\x01\x02]"), F.translate(text, "\x01\x02", "\x03\x03")).otherwise(text)
     pieces = F.split(F.regexp_replace(safe, "".join(PATTERNS[kind]), "\x01$1\x02$2\x02"), "\x01", -1)
 
-    def match(i: Column) -> Column:
+    # every step looks at its own piece only: an array named inside a lambda would be made again for each match
+    parts = F.transform(pieces, lambda p: F.split(p, "\x02", -1))
+    rests = F.transform(pieces, lambda p: F.length(F.element_at(F.split(p, "\x02", -1), -1)))
+
+    def match(part: Column, before: Column) -> Column:
         # the rest of the piece before is the gap; the first piece is all gap
-        before = F.when(i == 1, F.length(pieces[0])).otherwise(F.length(F.split(pieces[i - 1], "\x02", -1)[2]))
-        parts = F.split(pieces[i], "\x02", -1)
-        return F.struct(F.lit(kind).alias("kind"), before.alias("gap"), F.length(parts[0]).alias("prefix"), parts[1].alias("value"))
+        return F.struct(F.lit(kind).alias("kind"), before.alias("gap"), F.length(part[0]).alias("prefix"), part[1].alias("value"))
 
-    found = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), match)
+    # the last rest has no match after it
+    found = F.filter(F.zip_with(F.slice(parts, F.lit(2), F.lit(1 << 30)), rests, match), lambda m: m["value"].isNotNull())
     return F.when(safe.rlike("".join(PATTERNS[kind])), found)
 
 
@@ -176,7 +179,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     both = base.withColumn("known", F.lit(True)).unionByName(random.withColumn("known", F.lit(False)))
     by_start = Window.partitionBy("row").orderBy("start", F.col("known").desc())
     reach = F.max(F.when(F.col("known"), F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.min(F.when(F.col("known"), F.col("start"))).over(by_start.rowsBetween(0, Window.unboundedFollowing))
+    # looked at from the end: a frame that reaches ahead is summed up anew for each row
+    by_end = Window.partitionBy("row").orderBy(F.col("start").desc(), "known")
+    ahead = F.min(F.when(F.col("known"), F.col("start"))).over(by_end.rowsBetween(Window.unboundedPreceding, 0))
     free = (F.coalesce(reach, F.lit(0)) <= F.col("start")) & (F.coalesce(ahead, F.lit((1 << 31) - 1)) >= F.col("end"))
     kept = both.withColumn("free", free).filter("known OR free")
     rank = F.array_position(F.array(*[F.lit(k) for k in [*KINDS, RANDOM]]), F.col("kind"))

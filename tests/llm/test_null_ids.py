@@ -73,4 +73,5 @@ def test_stages_on_odd_tables(spark, stage):
     out = run(spark, docs, "")
     if stage != "packing":
         assert out.columns == docs.columns
+        assert {(r._row, r._key, r.component_id, r.n_dropped, r.kept) for r in out.collect()} == {("r", 1, 2, 3, "k")}
     assert {20} <= {r.doc_id for r in out.select("doc_id").collect()}
