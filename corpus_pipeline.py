@@ -28,10 +28,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts boilerplate lines of each source out of the texts. Copies count once, so that they go to the next stage whole."""
-    out = line_dedup.drop_boilerplate(docs, copies_once=True)
-    changed = {"n_chars": F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))}
-    return out.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    """Cuts boilerplate lines of each source out of the texts. Copies count once, so that they go to the next stage whole. All
+    rows stay, a null text as it is, a null source as a source of its own; an empty table gives none."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    out = line_dedup.drop_boilerplate(docs.select(row.alias("_row"), "source", "text"), copies_once=True)
+    shorter = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("_row.n_chars"))
+    changed = {"text": F.col("text"), "n_chars": shorter}
+    return out.select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +51,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data and disclosing terms by their kind."""
+    """Replaces personal data and disclosing terms by their kind. All rows stay; a null text becomes an empty one, equal rows are
+    masked alike, texts of any length are masked whole; an empty table gives none."""
     prepare(spark)
     return with_text(privacy.find(docs, whole=True), "_row", docs.columns, F.col("masked"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 1024 tokens; one row per piece."""
+    """Packs what is left into sequences of 1024 tokens; one row per piece. An empty or null text is its end token; longer texts
+    than a sequence are cut; repeated rows are packed one by one; an empty table gives none."""
     prepare(spark)
     return packing.pack_documents(docs, VOCABULARY)
 
