@@ -361,6 +361,33 @@ block(
                     FROM (SELECT *, {SIZE_SQL.format(limit=LIMIT)} AS size FROM fit_levels WHERE tokens > {LIMIT}))))""",
     "windows",
 )
+# the same for symbol-aligned chunks and the usual limit
+block(
+    "hybrid_levels",
+    f"""SELECT row_number() OVER () AS root, repo_id, file_path, method, '' AS spot, start_line, end_line, content,
+    {TOKENS_SQL.format(c="content")} AS tokens FROM hybrid
+  UNION ALL
+  SELECT root, repo_id, file_path, method, spot || '.' || lpad(k::VARCHAR, 4, '0'),
+    (start_line + coalesce(sum(nl) OVER (PARTITION BY root, spot ORDER BY k
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT,
+    (start_line + sum(nl) OVER (PARTITION BY root, spot ORDER BY k))::INT, content,
+    {TOKENS_SQL.format(c="content")}
+  FROM (SELECT root, repo_id, file_path, method, spot, start_line, k, piece AS content,
+          {NEWLINES.format(c="piece")} AS nl
+        FROM (SELECT root, repo_id, file_path, method, spot, start_line, k,
+                substring(content, k * (size - size // 10) + 1, size) AS piece
+              FROM (SELECT *, unnest(range(greatest(1, ceil((length(content) - size // 10)
+                      / (size - size // 10)::DOUBLE))::BIGINT)) AS k
+                    FROM (SELECT *, {SIZE_SQL.format(limit=fixed.MAX_TOKENS)} AS size FROM hybrid_levels
+                      WHERE tokens > {fixed.MAX_TOKENS}))))""",
+    "hybrid",
+)
+block(
+    "hybrid_fitted",
+    f"""SELECT *, substr(sha256(repo_id || ':' || file_path || ':' || start_line || '-' || end_line || ':' || content), 1, 16) AS chunk_id
+  FROM hybrid_levels WHERE tokens <= {fixed.MAX_TOKENS}""",
+    "hybrid_levels",
+)
 block("fitted", f"SELECT * FROM fit_levels WHERE tokens <= {LIMIT}", "fit_levels")
 
 

@@ -316,6 +316,38 @@ def d5(spark, d):
     return index.select(*STATE, letter_e())
 
 
+@query(
+    "d4_symbol_index",
+    sql(
+        """SELECT DISTINCT chunk_id, sha256(content) AS content_hash, method, tokens AS chunk_tokens, 'active' AS status,
+    (length(content) - length(replace(content, 'e', '')))::DOUBLE AS e FROM hybrid_fitted""",
+        "hybrid_fitted",
+    ),
+)
+def d4_symbols(spark, d):
+    """The index as users build it: symbols where a file has them, the usual token limit, vectors of a plug-in model."""
+    index = full_index(corpus.files(spark, d), corpus.stamp(corpus.NOW), symbols(spark, d), embedder=letter_profile)
+    return index.select("chunk_id", "content_hash", "method", "chunk_tokens", "status", letter_e())
+
+
+SYMBOL_REFRESH_SQL = f"""SELECT s.chunk_id, s.repo_id, s.file_path, NULL::VARCHAR AS method,
+    CASE WHEN c.change IN ('deleted', 'modified') THEN 'deleted' ELSE 'active' END AS status, NULL::DOUBLE AS e
+  FROM stored s LEFT JOIN changes c USING (repo_id, file_path)
+  UNION ALL SELECT DISTINCT w.chunk_id, w.repo_id, w.file_path, w.method, 'active',
+    (length(w.content) - length(replace(w.content, 'e', '')))::DOUBLE FROM hybrid_fitted w
+    JOIN changes c USING (repo_id, file_path) WHERE c.change IN ('added', 'modified')"""
+
+
+@query("d5_symbol_index", sql(SYMBOL_REFRESH_SQL, "stored", "changes", "hybrid_fitted"))
+def d5_symbols(spark, d):
+    """The refresh as users run it, with symbols and the usual token limit, on a table of versions."""
+    f = corpus.files(spark, d)
+    found = changes.diff_snapshot(f, corpus.manifest(spark, d))
+    table = versioned(spark, stored(spark, d))
+    table.refresh(found, f, corpus.stamp(corpus.NOW), symbols=symbols(spark, d), embedder=letter_profile)
+    return table.read().select("chunk_id", "repo_id", "file_path", "method", "status", letter_e())
+
+
 def versioned(spark, chunks):
     """The chunks as a table of versions with few buckets."""
     return VersionedChunks.create(spark, scratch_dir(spark, "versions"), chunks, buckets=8)
