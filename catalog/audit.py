@@ -89,6 +89,23 @@ def s8(spark, d):
     return tables.retain(tables.read_audit_lines(spark, path), F.lit(newest), RETAINED_DAYS).select("day", "line")
 
 
+@query(
+    "s8_expire",
+    sql(
+        f"""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS lines FROM audit_full
+  WHERE ts::DATE >= (SELECT max(ts)::DATE FROM audit_full) - {RETAINED_DAYS} GROUP BY 1""",
+        "audit_full",
+    ),
+)
+def s8_expire(spark, d):
+    """The days that are left in storage after expired ones have been deleted."""
+    path = scratch_dir(spark, "audit")
+    lines = audit.format_audit(corpus.audit_events(spark, d), ["repo", "files", "user"])
+    tables.write_audit(lines, path)
+    tables.expire(spark, path, lines.agg(F.max("ts").alias("now")).first()["now"], RETAINED_DAYS)
+    return tables.read_audit_lines(spark, path).groupBy("day").agg(F.count(F.lit(1)).alias("lines"))
+
+
 block(
     "failures",
     f"""SELECT a.ip, a.ts, a.event_id, count(*)::INT AS failures FROM attempts a

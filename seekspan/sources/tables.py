@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from seekspan.functions import fixed
 from seekspan.functions.times import Moment, moment
 from seekspan.schemas import CHUNKS, MANIFEST_FILES, struct_of
+from seekspan.sources.storage import Storage
 
 RESULT_COLUMNS = ("id", "repo_id", "file_path", "start_line", "end_line", "content", "language")
 
@@ -152,3 +154,14 @@ def retain(audit: DataFrame, now: Moment, days: int = fixed.AUDIT_RETENTION_DAYS
     """Lines of the last `days` days; the filter on `day` prunes partitions."""
     first = F.date_format(F.date_sub(moment(now).cast("date"), days), "yyyy-MM-dd")
     return audit.filter(F.col("day") >= first)
+
+
+def expire(spark: SparkSession, path: str, now: dt.datetime, days: int = fixed.AUDIT_RETENTION_DAYS) -> list[str]:
+    """Delete the days of stored audit lines that are older than the retention; returns them. A day is a folder, so nothing is
+    read or written, and the folders of other days are not touched. Days that `retain` keeps stay."""
+    storage = Storage(spark, path)
+    first = (now.date() - dt.timedelta(days=days)).isoformat()
+    old = [n for n in storage.names() if n.startswith("day=") and n.removeprefix("day=") < first]
+    for name in old:
+        storage.delete(name)
+    return [n.removeprefix("day=") for n in old]

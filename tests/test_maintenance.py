@@ -144,6 +144,17 @@ def test_scan_repo(spark, tmp_path):
     assert abs(rows["src/main.go"].mtime.timestamp() - os.stat(tmp_path / "src/main.go").st_mtime) < 1
 
 
+def test_expired_days_leave_storage(spark, tmp_path):
+    path = tmp_path / "audit"
+    rows = [(dt.datetime(2024, 1, day, 3), f"line {day}") for day in (1, 2, 9, 10)]
+    tables.write_audit(spark.createDataFrame(rows, "ts timestamp, line string"), str(path))
+    kept = {f: f.stat().st_mtime_ns for f in path.glob("day=*/*.gz") if f.parent.name >= "day=2024-01-09"}
+    assert tables.expire(spark, str(path), dt.datetime(2024, 1, 10, 23), days=1) == ["2024-01-01", "2024-01-02"]
+    assert {f: f.stat().st_mtime_ns for f in path.glob("day=*/*.gz")} == kept
+    assert {r.line for r in tables.read_audit_lines(spark, str(path)).collect()} == {"line 9", "line 10"}
+    assert tables.expire(spark, str(path), dt.datetime(2024, 1, 10), days=1) == []
+
+
 def test_trees_are_listed_by_levels(spark, tmp_path, monkeypatch):
     """A deep branch and a wide folder are found whole; what cannot be read is reported; the driver lists nothing."""
     deep = tmp_path / "/".join(f"d{i}" for i in range(9))
