@@ -11,8 +11,9 @@ from seekspan.functions import fixed, text
 from seekspan.operators import embedding, reports, tokens
 from seekspan.operators.chunking import hybrid_chunks, symbol_chunks, window_chunks
 from seekspan.plans.indexing import build_chunks, dedupe_chunks, with_identifiers
-from seekspan.session import materialize
+from seekspan.session import materialize, scratch_dir
 from seekspan.sources.symbols import flatten_symbols
+from seekspan.sources.vectors import VectorCache
 
 NEWLINES = corpus.NEWLINES_SQL
 PART = ["repo_id", "file_path", "start_line", "end_line", "symbol_name", "symbol_kind", "parent_name", "chunk_tokens"]
@@ -538,6 +539,25 @@ def e8(spark, d):
     return rows.select("chunk_id", "content_hash", *values)
 
 
+@query(
+    "e8_embed_cached",
+    sql(
+        "SELECT chunk_id, content_hash, "
+        + ", ".join(f"{PROFILE_SQL.format(c='content', v=v)} AS {v}" for v in "aeiou")
+        + " FROM windows",
+        "windows",
+    ),
+)
+def e8_cached(spark, d):
+    """Two runs with a stored cache of vectors: every other chunk first, then all of them."""
+    stored = materialize(corpus.windows(spark, d).select("chunk_id", "content", "content_hash"), "windows")
+    cache = VectorCache(spark, scratch_dir(spark, "vectors"), "letters")
+    cache.embed(stored.filter(F.crc32("chunk_id") % 2 == 0), letter_profile)
+    rows = cache.embed(stored, letter_profile)
+    values = [F.col("embedding")[i].cast("double").alias(v) for i, v in enumerate("aeiou")]
+    return rows.select("chunk_id", "content_hash", *values)
+
+
 @query(
     "j4_attach_embeddings",
     """SELECT d.doc_id, e.vec_id, round(e.embedding[1]::DOUBLE, 6) AS first

@@ -18,6 +18,7 @@ from seekspan.operators.tokens import Counter, fit_tokens
 from seekspan.operators.topk import first_per_key
 from seekspan.schemas import CHUNKS, conform
 from seekspan.session import materialize
+from seekspan.sources.vectors import VectorCache
 
 FILE = ["repo_id", "file_path"]
 
@@ -75,8 +76,11 @@ def build_chunks(
     return conform(dedupe_chunks(with_metadata(with_identifiers(fitted), model_id, now)), CHUNKS)
 
 
-def embedded(built: DataFrame, embedder: Embedder | None) -> DataFrame:
-    """Vectors for new chunks: the built-in model runs in place, a plug-in model sees each distinct content once."""
+def embedded(built: DataFrame, embedder: Embedder | None, cache: VectorCache | None = None) -> DataFrame:
+    """Vectors for new chunks: the built-in model runs in place, a plug-in model sees each distinct content once, and with a
+    `cache` only contents that no earlier run has seen, such as those of files that did not just move."""
+    if cache is not None:
+        return conform(cache.embed(built, embedder), CHUNKS)
     if embedder is None:
         return conform(embed(built.drop("embedding")), CHUNKS)
     return conform(embed_distinct(built, embedder), CHUNKS)
@@ -91,6 +95,7 @@ def full_index(
     repos: DataFrame | None = None,
     embedder: Embedder | None = None,
     model_id: str = DEFAULT_MODEL,
+    cache: VectorCache | None = None,
     **options,
 ) -> DataFrame:
     """All files chunked, embedded and upserted. `prune=True` tombstones stored chunks that were not rebuilt, of the
@@ -100,7 +105,7 @@ def full_index(
     the shared scratch area and read back column by column.
     """
     built = materialize(build_chunks(files, now, symbols, model_id, **options), "chunks")
-    batch = embedded(built, embedder)
+    batch = embedded(built, embedder, cache)
     if existing is None:
         return batch
     if prune:
@@ -123,6 +128,7 @@ def incremental_index(
     renames: str = "split",
     embedder: Embedder | None = None,
     model_id: str = DEFAULT_MODEL,
+    cache: VectorCache | None = None,
     **options,
 ) -> DataFrame:
     """Tombstone chunks of deleted and modified files, then index added and modified ones; a rebuilt chunk with the
@@ -137,7 +143,7 @@ def incremental_index(
     if symbols is not None:
         symbols = symbols.join(ch.files_to_index(flat), FILE, "left_semi")
     built = materialize(build_chunks(todo, now, symbols, model_id, **options), "chunks")
-    return lifecycle.upsert(retired, embedded(built, embedder), built, FILE)
+    return lifecycle.upsert(retired, embedded(built, embedder, cache), built, FILE)
 
 
 def build_manifest(files: DataFrame, chunks: DataFrame) -> DataFrame:
