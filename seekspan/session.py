@@ -22,6 +22,8 @@ SETTINGS = {
     # no call-site capture for every column expression: plans with many columns are built several times faster
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.parquet.filterPushdown": "true",
+    # the ids of a page of results reach the row groups
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -191,6 +191,25 @@ def test_chunk_table_replaces_only_its_collections(spark, tmp_path):
     assert tables.read_chunks(spark, path, ["b"], ["chunk_id"]).collect()[0].chunk_id == "2"
 
 
+def test_page_reads_few_rows(spark, tmp_path, monkeypatch):
+    """The rows of a few ids are read from few row groups, not from all texts of their collection."""
+    monkeypatch.setattr(tables, "ROW_GROUP_BYTES", 64 << 10)
+    ids = spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("chunk_id"), F.lit("r").alias("repo_id"), F.lit("f").alias("file_path"))
+    texts = F.concat(*[F.sha2(F.concat("chunk_id", F.lit(i)), 256) for i in "abc"])
+    path = str(tmp_path / "t")
+    tables.write_chunks(conform(ids.withColumn("content", texts), CHUNKS), path)
+    wanted = [r.chunk_id for r in ids.filter("hash(chunk_id) % 5000 = 0").collect()][:3]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        page = tables.read_chunks(spark, path, ["r"]).filter(F.col("chunk_id").isin(wanted)).select("chunk_id", "content")
+        assert {r.chunk_id for r in page.collect()} == set(wanted)
+        (scan,) = [n for n in [page._jdf.queryExecution().executedPlan().collectLeaves().apply(0)]]
+        read = scan.metrics().get("numOutputRows").get().value()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert 0 < read < 2_000
+
+
 def test_audit_round_trip(spark):
     rows = [(dt.datetime(2024, 1, 2, 3, 4, 5), "QUERY", "r", 'say "hi" now', None, 3)]
     df = spark.createDataFrame(rows, "ts timestamp, op string, collection string, query string, user string, results int")
