@@ -102,7 +102,8 @@ class VersionedChunks:
             return out
         base = self._files([(b, s[0]) for b, s in sets.items() if len(s) > 1]).filter(F.col("op") == PUT)
         deltas = self._files([(b, s) for b, all_ in sets.items() for s in all_[1:]])
-        newest = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col("set").desc()))
+        # all rows of the newest set, which has copies of a row where the base has them
+        newest = F.rank().over(Window.partitionBy(*KEY).orderBy(F.col("set").desc()))
         images = deltas.withColumn("__n", newest).filter(F.col("__n") == 1)
         # only the ids of changed rows meet the base
         old = base.join(deltas.select(*KEY).distinct(), KEY, "left_anti").select(*CHUNKS.names)

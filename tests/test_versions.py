@@ -76,6 +76,19 @@ def test_same_rows_as_whole_tables(spark, start, tmp_path):
     assert state(table.read()) == state(expected) and state(table.read(before + 1)) != state(expected)
 
 
+def test_copies_of_a_row_stay(spark, start, tmp_path):
+    """Two windows of a file can be equal and share their id; a tombstone keeps both."""
+    base, chunks = start
+    twice = chunks.unionByName(chunks.filter("file_path = 'src/f3.go'"))
+    table = VersionedChunks.create(spark, str(tmp_path / "t"), twice, buckets=4)
+    some = base.filter("file_path IN ('src/f3.go', 'src/f8.go')")
+    expected = lifecycle.tombstone(twice, some, NOW, "abc")
+    table.tombstone(some, NOW, "abc")
+    assert state(table.read()) == state(expected)
+    table.restore(some)
+    assert state(table.read()) == state(lifecycle.restore(expected, some))
+
+
 def test_only_touched_buckets_are_read_and_written(spark, start, tmp_path):
     base, chunks = start
     table = VersionedChunks.create(spark, str(tmp_path / "t"), chunks, buckets=16)
