@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from seekspan.operators.filters import same_dim
 from seekspan.operators.search import _candidates
 from seekspan.operators.topk import top_k_per_group
-from seekspan.session import materialize
+from seekspan.session import materialize, small_batches
 
 # Centres are fitted on about SAMPLE_PER_CELL vectors for each, chosen by a hash of the id; there are at most MAX_CELLS of them,
 # so the sample and the centres have a fixed bound whatever the table.
@@ -261,6 +261,8 @@ def _ranked(pairs_: DataFrame, kind: T.DataType, k: int, cells: Cells) -> DataFr
         [T.StructField("query_id", kind), T.StructField("repo_id", T.StringType()), T.StructField("chunk_id", T.StringType()), T.StructField("distance", T.DoubleType())]
     )
     dim, metric = cells.dim, cells.metric
+    # a row is up to 2048 vectors and 256 queries, so ten thousand rows are no batch
+    small_batches(pairs_.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,10 +311,14 @@ def knn_join(cells: Cells, rings_: DataFrame, queries: DataFrame, k: int, probes
 
 def probes_for(cells: Cells, rings_: DataFrame, queries: DataFrame, k: int, recall: float = 0.95) -> int:
     """The least number of probes that finds `recall` of the true neighbours of some sample queries, at most a few hundred: their
-    true neighbours come from the exact join, and what counts is how near the cells are that these lie in."""
+    true neighbours come from the exact join, and what counts is how near the cells are that these lie in. The sample is stored
+    first: one that was taken with a limit could be other rows each time it is computed."""
+    queries = materialize(queries, "sample")
     true = knn_join(cells, rings_, queries, k).select("query_id", "repo_id", "chunk_id")
     each = rings_.select("cell", F.explode(F.arrays_zip("repo_ids", "chunk_ids")).alias("x"))
-    lies = true.join(each.select("cell", F.col("x.repo_ids").alias("repo_id"), F.col("x.chunk_ids").alias("chunk_id")), ["repo_id", "chunk_id"])
+    # k rows for each sample query go to the ids of all rows, which stay where they are
+    every = each.select("cell", F.col("x.repo_ids").alias("repo_id"), F.col("x.chunk_ids").alias("chunk_id"))
+    lies = every.join(F.broadcast(true), ["repo_id", "chunk_id"])
     asked = {r["query_id"]: r["query_vec"] for r in queries.collect()}
     found = lies.select("query_id", "cell").collect()
     if not found:

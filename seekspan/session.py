@@ -28,6 +28,10 @@ SETTINGS = {
 }
 
 
+# Bytes of an Arrow batch that goes to a Python task.
+ARROW_BYTES = "8m"
+
+
 def build_session(app: str = "seekspan", **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     for key, value in {**SETTINGS, **extra}.items():
@@ -62,6 +66,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches for Python tasks are bounded by bytes, not only by rows, so what a task holds does not grow with its rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def ship_packages(spark: SparkSession, *packages: ModuleType) -> None:
     """Make packages importable on the executors, once per Spark context and package."""
     context = spark.sparkContext

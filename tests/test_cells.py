@@ -1,5 +1,7 @@
 """The inverted-file index: recall of the approximate search, and rows of the exact join, against comparing everything."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +98,11 @@ def test_recall(spark, name):
     recall = len(true & found) / len(true)
     print(name, len(cells.centres), "cells,", probes, "probes, recall", recall)
     assert recall >= 0.9 and probes < len(cells.centres)
+
+
+def test_sample_that_changes(spark, tmp_path):
+    """A sample of queries that would be other rows when computed again is computed once."""
+    chunks = vectors(spark)
+    ivf.write_index(chunks, ivf.fit_cells(chunks, 16, 24), str(tmp_path))
+    coin = F.udf(lambda q: hash((q, time.time())) % 2 == 0, "boolean").asNondeterministic()
+    assert 1 <= ivf.probes_for(*ivf.read_index(spark, str(tmp_path)), asked(spark, chunks, 40).filter(coin("query_id")), 5) <= 24
