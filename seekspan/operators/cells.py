@@ -252,7 +252,8 @@ def pairs(rings_: DataFrame, asked: DataFrame) -> DataFrame:
     """Groups of queries with the rings that can hold neighbours of theirs. The ring's range is part of the join condition, so
     other pairs are never formed."""
     near = (F.col("cell") == F.col("q_cell")) & (F.col("hi") >= F.col("low")) & (F.col("lo") <= F.col("high"))
-    return rings_.join(asked, near)
+    # a merge join by cell: the packed columns look small to the planner, and neither side may pass through the driver
+    return rings_.join(asked.hint("merge"), near)
 
 
 def _ranked(pairs_: DataFrame, kind: T.DataType, k: int, cells: Cells) -> DataFrame:

@@ -106,3 +106,13 @@ def test_sample_that_changes(spark, tmp_path):
     ivf.write_index(chunks, ivf.fit_cells(chunks, 16, 24), str(tmp_path))
     coin = F.udf(lambda q: hash((q, time.time())) % 2 == 0, "boolean").asNondeterministic()
     assert 1 <= ivf.probes_for(*ivf.read_index(spark, str(tmp_path)), asked(spark, chunks, 40).filter(coin("query_id")), 5) <= 24
+
+
+def test_vectors_stay_off_the_driver(spark, tmp_path):
+    """Groups of queries look small to the planner, because repeated vectors are stored once; they are not broadcast."""
+    chunks = vectors(spark)
+    ivf.write_index(chunks, ivf.fit_cells(chunks, 16, 24), str(tmp_path))
+    cells, table = ivf.read_index(spark, str(tmp_path))
+    found = ivf.knn_cells(cells, table, asked(spark, chunks), 5, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
