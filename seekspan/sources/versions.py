@@ -13,7 +13,7 @@ import json
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,11 +74,22 @@ class VersionedChunks:
     def _bucket(self, buckets: int):
         return F.pmod(F.xxhash64(*FILE), F.lit(buckets)).cast("int")
 
-    def _write(self, rows: DataFrame, version: int, buckets: int) -> tuple[str, list[int]]:
-        """Rows as one more set of files, clustered by collection and id so that row groups can be skipped; its name and buckets."""
+    def _newest(self, rows: DataFrame, buckets: int, order: Column | None = None) -> DataFrame:
+        """Of the rows of one key those of the newest set, or any one without `order`; laid out by bucket, so that one shuffle does
+        for both. A bucket is several parts where there are more tasks than buckets."""
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")) // buckets, 1) * buckets
+        laid = rows.withColumn("__part", F.pmod(F.xxhash64(*FILE), F.lit(parts))).repartition("__part")
+        keys = Window.partitionBy("__part", *KEY)
+        place = F.row_number().over(keys.orderBy("chunk_id")) if order is None else F.rank().over(keys.orderBy(order))
+        return laid.withColumn("__n", place).filter(F.col("__n") == 1).drop("__n", "__part")
+
+    def _write(self, rows: DataFrame, version: int, buckets: int, laid: bool = False) -> tuple[str, list[int]]:
+        """Rows as one more set of files, clustered by collection and id so that row groups can be skipped; its name and buckets.
+        Rows that are `laid` out by bucket already are not shuffled again."""
         name = f"{version:012d}-{uuid.uuid4().hex[:12]}"
-        laid = rows.withColumn("bucket", self._bucket(buckets)).hint("rebalance", F.col("bucket"))
-        writer = laid.sortWithinPartitions("bucket", "repo_id", "chunk_id").write.partitionBy("bucket")
+        rows = rows.withColumn("bucket", self._bucket(buckets))
+        rows = rows if laid else rows.hint("rebalance", F.col("bucket"))
+        writer = rows.sortWithinPartitions("bucket", "repo_id", "chunk_id").write.partitionBy("bucket").option("compression", "zstd")
         writer.option("parquet.bloom.filter.enabled#chunk_id", "true").option("parquet.block.size", 16 << 20).parquet(f"{self.path}/data/set={name}")
         found = [n.removeprefix("bucket=") for n in self.storage.names(f"data/set={name}")]
         return name, [int(b) for b in found if b.isdigit()]
@@ -90,21 +101,29 @@ class VersionedChunks:
         reader = self.spark.read.schema(_STORED).option("basePath", f"{self.path}/data")
         return reader.parquet(*paths) if paths else self.spark.createDataFrame([], _STORED)
 
-    def read(self, version: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
-        """One version as a chunk table; `buckets` leaves out the files of all others."""
+    def read(self, version: int | None = None, buckets: Sequence[int] | None = None, files: DataFrame | None = None) -> DataFrame:
+        """One version as a chunk table; `buckets` leaves out the files of all others, `files` the rows of all other files of the
+        chunks, before anything is compared or shuffled."""
+
+        def stored(folders: list[tuple[str, str]]) -> DataFrame:
+            rows = self._files(folders)
+            return rows if files is None else rows.join(files, FILE, "left_semi")
+
         sets = self.manifest(version)["sets"]
         if buckets is not None:
             wanted = {str(b) for b in buckets}
             sets = {b: s for b, s in sets.items() if b in wanted}
-        still = self._files([(b, s[0]) for b, s in sets.items() if len(s) == 1]).filter(F.col("op") == PUT)
+        still = stored([(b, s[0]) for b, s in sets.items() if len(s) == 1]).filter(F.col("op") == PUT)
         out = still.select(*CHUNKS.names)
         if all(len(s) == 1 for s in sets.values()):
             return out
-        base = self._files([(b, s[0]) for b, s in sets.items() if len(s) > 1]).filter(F.col("op") == PUT)
-        deltas = self._files([(b, s) for b, all_ in sets.items() for s in all_[1:]])
-        # all rows of the newest set, which has copies of a row where the base has them
-        newest = F.rank().over(Window.partitionBy(*KEY).orderBy(F.col("set").desc()))
-        images = deltas.withColumn("__n", newest).filter(F.col("__n") == 1)
+        base = stored([(b, s[0]) for b, s in sets.items() if len(s) > 1]).filter(F.col("op") == PUT)
+        deltas = stored([(b, s) for b, all_ in sets.items() for s in all_[1:]])
+        images = deltas
+        if any(len(s) > 2 for s in sets.values()):
+            # all rows of the newest set, which has copies of a row where the base has them
+            newest = F.rank().over(Window.partitionBy(*KEY).orderBy(F.col("set").desc()))
+            images = deltas.withColumn("__n", newest).filter(F.col("__n") == 1)
         # only the ids of changed rows meet the base
         old = base.join(deltas.select(*KEY).distinct(), KEY, "left_anti").select(*CHUNKS.names)
         return out.unionByName(old).unionByName(images.filter(F.col("op") == PUT).select(*CHUNKS.names))
@@ -117,18 +136,18 @@ class VersionedChunks:
     def rows_of(self, files: DataFrame) -> DataFrame:
         """Stored chunks of the listed files, from their buckets."""
         listed = files.select(*FILE).distinct()
-        return self.read(buckets=self.touched(listed)).join(listed, FILE, "left_semi").select(*CHUNKS.names)
+        return self.read(buckets=self.touched(listed), files=listed)
 
     # changing
 
-    def _apply(self, change: Callable[[], DataFrame], batch: tuple[str, int] | None) -> int:
+    def _apply(self, change: Callable[[], DataFrame], batch: tuple[str, int] | None, laid: bool = False) -> int:
         """Write the new images that `change` gives and switch to a version with them. A batch (source, number) that has been
         applied before changes nothing."""
         before = self.version()
         manifest = self.manifest(before)
         if batch and manifest["batches"].get(batch[0], -1) >= batch[1]:
             return before
-        name, touched = self._write(change(), before + 1, manifest["buckets"])
+        name, touched = self._write(change(), before + 1, manifest["buckets"], laid)
         for b in touched:
             manifest["sets"].setdefault(str(b), []).append(name)
         if batch:
@@ -141,7 +160,7 @@ class VersionedChunks:
 
     def upsert(self, chunks: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """L1: rows of `chunks` replace those of the same file and id; nothing stored is read."""
-        return self._apply(lambda: self._put(chunks.dropDuplicates(KEY)), batch)
+        return self._apply(lambda: self._newest(self._put(chunks), self.manifest()["buckets"]), batch, laid=True)
 
     def tombstone(self, files: DataFrame, now: Moment, commit: str | None = None, batch: tuple[str, int] | None = None) -> int:
         """L2."""
@@ -190,8 +209,10 @@ class VersionedChunks:
         due = [b for b, s in manifest["sets"].items() if len(s) > deltas]
         if not due:
             return before
-        rows = self.read(before, [int(b) for b in due])
-        name, written = self._write(self._put(rows), before + 1, manifest["buckets"])
+        # bases and deltas are shuffled once, by the parts that are written
+        images = self._newest(self._files([(b, s) for b in due for s in manifest["sets"][b]]), manifest["buckets"], F.col("set").desc())
+        rows = images.filter(F.col("op") == PUT).select(*CHUNKS.names, "op")
+        name, written = self._write(rows, before + 1, manifest["buckets"], laid=True)
         for b in due:
             manifest["sets"].pop(b)
         manifest["sets"] |= {str(b): [name] for b in written}

@@ -89,6 +89,25 @@ def test_copies_of_a_row_stay(spark, start, tmp_path):
     assert state(table.read()) == state(lifecycle.restore(expected, some))
 
 
+def test_one_shuffle_for_a_compaction(spark, start, tmp_path, monkeypatch):
+    """The rows of a compaction and of an upsert are compared and laid out for writing by the same shuffle."""
+    base, chunks = start
+    table = VersionedChunks.create(spark, str(tmp_path / "t"), chunks, buckets=4)
+    plans, write = [], VersionedChunks._write
+
+    def seen(self, rows, *args, **named):
+        plans.append((rows if named.get("laid") or args[-1] is True else rows.hint("rebalance"))._jdf.queryExecution().executedPlan().toString())
+        return write(self, rows, *args, **named)
+
+    monkeypatch.setattr(VersionedChunks, "_write", seen)
+    stored = spark.read.schema(CHUNKS).parquet(f"{tmp_path}/t/data")
+    table.upsert(stored)
+    before = state(table.read())
+    table.compact(deltas=1)
+    assert [p.count("Exchange ") for p in plans] == [1, 1]
+    assert state(table.read()) == before == state(chunks)
+
+
 def test_only_touched_buckets_are_read_and_written(spark, start, tmp_path):
     base, chunks = start
     table = VersionedChunks.create(spark, str(tmp_path / "t"), chunks, buckets=16)
