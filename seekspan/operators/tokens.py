@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekspan.functions import fixed, text
+from seekspan.session import small_batches
 
 # A counter takes texts and returns one token count per text; it runs on executors, a batch at a time.
 Counter = Callable[[Sequence[str]], Sequence[int]]
@@ -27,6 +28,7 @@ def count_tokens(df: DataFrame, counter: Counter | None = None, column: str = "c
     """Token count of each text."""
     if counter is None:
         return df.withColumn(out, text.count_tokens(column))
+    small_batches(df.sparkSession)
 
     @F.pandas_udf("int")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -92,6 +94,7 @@ def fit_tokens(
     One pass and no shuffle: only over-limit texts are handed to Python, where the whole refinement of a chunk happens
     in one call. Chunks with a `raw` column (byte windows) are cut by bytes.
     """
+    small_batches(chunks.sparkSession)
     byte = "raw" in chunks.columns
     counted = (count_tokens_once if cached else count_tokens)(chunks, counter, out="chunk_tokens")
     run = counter or pattern_counter
