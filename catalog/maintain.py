@@ -13,7 +13,7 @@ from seekspan.operators import changes, lifecycle, reports
 from seekspan.operators.chunking import hybrid_chunks
 from seekspan.plans.indexing import build_chunks, build_manifest, build_project, full_index, incremental_index
 from seekspan.schemas import CHUNKS, FILES
-from seekspan.session import scratch_dir
+from seekspan.session import scratch_dir, small_batches
 from seekspan.sources import tables
 from seekspan.sources.name_status import read_name_status
 from seekspan.sources.files import scan_repos
@@ -58,6 +58,7 @@ def s1(spark, d):
             yield pd.DataFrame({"n": [len(batch)]})
 
     f = corpus.files(spark, d)
+    small_batches(spark)
     f.select("repo_id", "file_path", "content").mapInPandas(spill, "n bigint").agg(F.sum("n")).collect()
     repos = [
         (r["repo_id"], r["project_name"], f"{root}/{r['repo_id']}")

@@ -13,10 +13,12 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekspan.session import materialize
+from seekspan.session import materialize, small_batches
 
 # Bytes of files that one task reads, and bytes of a batch handed to Spark.
 TASK_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
+# Entries of a folder that are handed to Spark together.
+LISTED_ROWS = 10_000
 
 _FOLDER = "repo_id string, project_name string, root string, folder string"
 _LISTED = "repo_id string, project_name string, root string, kind string, path string, size bigint, mtime timestamp, error string"
@@ -81,12 +83,17 @@ def list_trees(spark: SparkSession, repos: Iterable[tuple[str, str, str]], exten
     not entered.
     """
     schema = _schema(_LISTED)
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 head = [row["repo_id"], row["project_name"], row["root"]]
                 out = []
+
+                def listed() -> pa.RecordBatch:
+                    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)  # noqa: B023
+
                 try:
                     for kind, name, size, mtime in entries(row["folder"]):
                         path = f"{row['folder'].rstrip('/')}/{name}"
@@ -94,10 +101,13 @@ def list_trees(spark: SparkSession, repos: Iterable[tuple[str, str, str]], exten
                             out.append([*head, FOLDER, path, 0, None, None])
                         elif kind == FILE and name.endswith(extensions):
                             out.append([*head, FILE, path, size, mtime, None])
+                        if len(out) >= LISTED_ROWS:
+                            yield listed()
+                            out = []
                 except (OSError, pa.ArrowException) as e:
                     out.append([*head, ERROR, row["folder"], 0, None, f"{type(e).__name__}: {e}"])
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                    yield listed()
 
     tasks = spark.sparkContext.defaultParallelism
     folders = spark.createDataFrame([(r, p, root, root) for r, p, root in repos], _FOLDER)
@@ -143,6 +153,7 @@ def read_files(listed: DataFrame) -> DataFrame:
         if rows:
             yield batch_of()
 
+    small_batches(listed.sparkSession)
     total = listed.agg(F.sum("size")).first()[0] or 0
     tasks = max(listed.sparkSession.sparkContext.defaultParallelism, math.ceil(total / TASK_BYTES))
     return listed.repartition(tasks, "repo_id", "path").mapInArrow(run, _READ)
