@@ -305,7 +305,7 @@ def _totals(blocks: DataFrame, least: int, width: int, finish: Callable[[int, li
     tasks = buckets(blocks.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, weight = None, [], 0
+        now, held, weight, least_weight = None, [], 0, 0
 
         def done():
             columns = _summed([np.concatenate(c) for c in zip(*held)])
@@ -317,13 +317,14 @@ def _totals(blocks: DataFrame, least: int, width: int, finish: Callable[[int, li
                 key = bucket.as_py(), length.as_py()
                 if held and key != now:
                     yield done()
-                    held, weight = [], 0
+                    held, weight, least_weight = [], 0, 0
                 now = key
                 held.append(_unpacked(raw.as_py(), n.as_py(), key[1] + 2))
                 weight += n.as_py()
-                if weight > 4 * BUCKET_ENTRIES:
+                # what is held is at most twice what is distinct, or half a bucket more
+                if weight > 2 * least_weight + BUCKET_ENTRIES // 2:
                     held = [_summed([np.concatenate(c) for c in zip(*held)])]
-                    weight = len(held[0][0])
+                    weight = least_weight = len(held[0][0])
         if held:
             yield done()
 
