@@ -73,7 +73,7 @@ def shards(docs: DataFrame, text_col: str, lang_col: str, seed: int, size: int)
         text = np.zeros(len(number) + int(new.sum()), np.int32)
         text[np.arange(len(number)) + np.cumsum(new)] = number
         words = coded.dictionary.to_pylist()
-        columns = [[name], [words], [word_keys(name, words, seed)], [np.bincount(number)[1:]], [text.tobytes()]]
+        columns = [[name], [words], [word_keys(name, words, seed)], [np.bincount(number)[1:]], [squeezed(text)]]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,6 +109,20 @@ def shards(docs: DataFrame, text_col: str, lang_col: str, seed: int, size: int)
 # the index of one shard
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits in few bytes: a shard's arrays as they are would be objects of several MB, which fragment the heap of
+    every JVM that they pass through."""
+    planes = np.ascontiguousarray(numbers, np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unsqueezed(raw: pa.BinaryScalar) -> np.ndarray:
+    whole = raw.as_buffer()
+    n = int.from_bytes(whole.slice(0, 8).to_pybytes(), "little")
+    planes = np.frombuffer(pa.decompress(whole.slice(8), 4 * n, "zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
+
+
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """Starts of all rotations of the text in order; each 0 is a letter of its own, less than all others.
 
@@ -168,8 +182,8 @@ class Index:
 
     def _steps(self, letters: np.ndarray) -> np.ndarray:
         """For each place, the one of the rotation that starts a letter earlier: C[c] + occurrences of c before it."""
-        out = np.empty(len(letters), np.int64)
-        out[np.argsort(letters, kind="stable")] = np.arange(len(letters))
+        out = np.empty(len(letters), np.int32)
+        out[np.argsort(letters, kind="stable")] = np.arange(len(letters), dtype=np.int32)
         return out
 
     def words(self) -> Phrases:
@@ -340,20 +354,20 @@ def index_shards(packed: DataFrame, known: Callable[[], Filter]) -> DataFrame:
                 keys = keys.values.to_numpy()
                 kept = known().has(hashed(keys))
                 number = np.concatenate([[0], np.where(kept, np.cumsum(kept), 0)]).astype(np.int32)
-                text = number[np.frombuffer(raw.as_buffer(), np.int32)]
+                text = number[unsqueezed(raw)]
                 gap = text == 0
                 text = np.concatenate([text[~(gap & np.concatenate([[False], gap[:-1]]))[: len(text)]], np.zeros(1, np.int32)])
                 if len(text) < 3:
                     continue
-                columns = [keys[kept], transform(text), transform(text[::-1])]
-                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["keys", "forward", "backward"])
+                columns = [keys[kept].tobytes(), squeezed(transform(text)), squeezed(transform(text[::-1]))]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=["keys", "forward", "backward"])
 
     return packed.select("keys", "text").mapInArrow(run, _INDEX)
 
 
 def _indexes(batch: pa.RecordBatch) -> Iterator[Index]:
-    for row in zip(*(batch.column(c) for c in ("keys", "forward", "backward"))):
-        yield Index(*(np.frombuffer(v.as_buffer(), t) for v, t in zip(row, (np.int64, np.int32, np.int32))))
+    for keys, forward, backward in zip(*(batch.column(c) for c in ("keys", "forward", "backward"))):
+        yield Index(np.frombuffer(keys.as_buffer(), np.int64), unsqueezed(forward), unsqueezed(backward))
 
 
 def grow(index: Index, known: list[Callable[[], Filter]]) -> Iterator[Phrases]:

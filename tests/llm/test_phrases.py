@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import restated
 from hypothesis import given, settings
@@ -110,3 +111,18 @@ def test_packed_counts():
     for n, raw in zip(batch.column("n").to_pylist(), batch.column("counts").to_pylist()):
         got += list(zip(*(c.tolist() for c in phrases._unpacked(raw, n, 3))))
     assert sorted(got) == sorted(zip(hashes.astype(np.int64).tolist(), words.tolist(), counts.tolist()))
+
+
+def test_rows_of_shards_are_small(spark):
+    """Rows of shards and of their indexes pass through the JVM, where objects of several MB fragment the heap."""
+    text = " ".join(f"w{i * i % 97}" for i in range(20_000)) + ", "
+    docs = spark.createDataFrame([(text * 5, "en")], "text string, lang string")
+    packed = phrases.shards(docs, "text", "lang", 0, 100_000).cache()
+    every = phrases.Filter(10, np.full(16, -1, np.int64).view(np.uint64))
+    rows = packed.select("text").collect() + phrases.index_shards(packed, lambda: every).select("forward", "backward").collect()
+    assert len(rows) == 2 and all(0 < len(value) < 100_000 for row in rows for value in row)
+
+
+def test_squeezed_numbers_come_back():
+    for numbers in (np.zeros(0, np.int32), np.arange(70_000, dtype=np.int32), np.array([-1, 2**31 - 1, 0], np.int32)):
+        assert np.array_equal(phrases.unsqueezed(pa.scalar(phrases.squeezed(numbers), pa.binary())), numbers)
