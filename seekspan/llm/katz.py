@@ -1,10 +1,15 @@
-"""Katz backoff language model: Good-Turing discounted bigram counts with exactly normalised backoff weights.
+"""Katz backoff language model: Good-Turing discounted n-gram counts, evaluated recursively, with exactly normalised backoff weights.
 
-Words are known by 48-bit keys (of a billion words, a few thousand share one). A model is two tables, both partitioned by bucket of a key: `pairs` holds the counts of
+Words and histories are known by 64-bit keys. A bigram model is two tables, both partitioned by bucket of a key: `pairs` holds the counts of
 (context, word), bucketed by word, and `words` holds for every word its count, its denominator as a context and its
 backoff weight. Texts are cut into blocks; a block asks each bucket once for what its distinct words and pairs need, and
 then evaluates all its tokens. So what is shuffled are distinct keys of blocks, not tokens, and no table is held whole
 anywhere. Very frequent words are spread over all buckets by their contexts.
+
+Each further word of history is one more step of the recursion (`climb`). A block knows the probability of each of its tokens
+by the shorter history; it asks the buckets of histories for its distinct n-grams, and is answered with their counts and with
+what their histories leave to unseen words. The buckets are dealt with in rounds, so that only a part of the n-grams is
+shuffled at a time.
 """
 
 from __future__ import annotations
@@ -19,13 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekspan.llm.common import buckets, stored, text_slices, words, write_scratch
+from seekspan.llm.common import buckets, mix64, stored, text_slices, words, write_scratch
 
 # counts up to this one are discounted
 DISCOUNTED = 5
 BLOCK_BYTES = 12 << 20
 # no word contains a line break, so these are the keys of no word
-KEY_BYTES = 6
+KEY_BYTES = 8
+# words of an n-gram of the registered query; buckets of histories for each bucket of words, and in how many rounds they are asked
+ORDER, SPLIT, ROUNDS = 3, 2, 4
 
 
 def key_of(word: str | bytes) -> int:
@@ -92,6 +99,18 @@ class Block:
         before[np.cumsum(self.sizes) - self.sizes] = start
         return before
 
+    def histories(self, order: int) -> np.ndarray:
+        """A key of the `order` - 1 words before each token; start codes stand for words before the document."""
+        before = self.contexts()
+        first = np.cumsum(self.sizes) - self.sizes
+        start = before[first[0]] if len(first) else 0
+        key = self.keys[before]
+        for _ in range(order - 2):
+            before = np.concatenate([before[:1], before[:-1]])
+            before[first] = start
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + self.keys[before])
+        return key
+
     def pairs(self, count: int, hot: np.ndarray) -> Pairs:
         """Distinct (word, context) by bucket, and within a bucket by word."""
         width = len(self.keys)
@@ -370,12 +389,13 @@ NO_PAIRS = {"words": b"", "numbers": b"", "contexts": b""}
 SCORES = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(tokens: DataFrame, model: KatzModel, answered: bool = False) -> DataFrame:
+def score(tokens: DataFrame, model: KatzModel, answered: bool = False, order: int = 2) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, base_score, score) of every document in `tokens` (from `blocks`; `answered` if
     the model was trained on these very blocks and holds the counts of their pairs).
 
     The probability of a token is the discounted relative frequency of its pair if that was seen; if not, the backoff
-    weight of the context times the probability of the word alone; and that alone after a context never seen."""
+    weight of the context times the probability of the word alone; and that alone after a context never seen. With an
+    `order` above 2 the same holds for longer histories, whose counts are taken from the training documents of `tokens`."""
     count, hot, constants = model.buckets, model.hot, model.constants
     columns = ["kind", "bucket", "block", "keys", "counts", "denominators", "backoffs", "words", "numbers", "contexts", "totals"]
     types = {"kind": "string", "bucket": "int", "block": "long"}
@@ -453,6 +473,10 @@ def score(tokens: DataFrame, model: KatzModel, answered: bool = False) -> DataFr
         probability = np.where(paired > 0, seen, np.where(n[context] > 0, backoff[context] * single, single))
         base = np.log10((as_word + 0.5) / (constants.tokens + 0.5 * (constants.vocabulary + 1)))[block.codes]
         first = np.cumsum(block.sizes) - block.sizes
+        if order > 2:
+            known, base = (np.add.reduceat(x, first) for x in ((as_word > 0)[block.codes].astype(np.int64), base))
+            row = next(r for r in rows if r["bucket"] is None)
+            return state_of(row, known.tobytes(), base.tobytes(), paired, denominator[context], probability)
         sums = [np.add.reduceat(x, first) for x in ((as_word > 0)[block.codes].astype(np.int64), base, np.log10(probability))]
         arrays = [block.doc_ids, block.train, block.sizes.astype(np.int64), *sums]
         return pa.table([pa.array(a) for a in arrays], names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
@@ -464,17 +488,228 @@ def score(tokens: DataFrame, model: KatzModel, answered: bool = False) -> DataFr
         answers = answers.drop("totals").unionByName(known, allowMissingColumns=True)
     parts = answers.select("block", *[F.lit(None).cast("binary").alias(c) for c in ("doc_ids", "train", "sizes", "keys", "codes")],
                            "bucket", "counts", "denominators", "backoffs", "totals")
-    return whole.unionByName(parts).groupBy("block").applyInArrow(evaluate, SCORES)
+    by_block = whole.unionByName(parts).groupBy("block")
+    if order == 2:
+        return by_block.applyInArrow(evaluate, SCORES)
+    return climb(stored(by_block.applyInArrow(evaluate, STATE), "katz-state"), constants.pair_discounts, order)
+
+
+# longer histories
+
+_TOKENS = ("doc_ids", "train", "sizes", "keys", "codes")
+_FACTS = ("known", "base", "counts", "denominators", "backed")
+STATE = "block long, " + ", ".join(f"{c} binary" for c in (*_TOKENS, *_FACTS))
+_STATE = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in (*_TOKENS, *_FACTS))])
+_ASKS = ("histories", "numbers", "words", "counts", "lower", "denominators")
+_ANSWERS = ("totals", "seen", "shapes", "singles")
+
+
+def wide_planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_wide_planes(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def packed(raw: bytes) -> bytes:
+    """States pass through the JVM as a few rows, whose arrays would be objects of many MB as they are."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(row: dict) -> dict:
+    """A row of states as it was before it was packed."""
+    sizes = {c: int.from_bytes(row[c][:8], "little") for c in (*_TOKENS, *_FACTS)}
+    return {**row, **{c: pa.decompress(row[c][8:], n, "zstd", asbytes=True) if n else b"" for c, n in sizes.items()}}
+
+
+def state_of(row: dict, known: bytes, base: bytes, counts: np.ndarray, denominators: np.ndarray, probability: np.ndarray) -> pa.Table:
+    """What a block knows of its tokens by histories of one length: the counts of their n-grams and of their histories, and the
+    probabilities of those that were never seen there."""
+    # a history that was never seen has no denominator
+    facts = (known, base, planes(counts), wide_planes(np.asarray(denominators, np.int64)), wide_planes(probability[counts == 0]))
+    values = {**{c: row[c] for c in _TOKENS}, **dict(zip(_FACTS, facts))}
+    return pa.Table.from_pylist([{"block": row["block"], **{c: packed(v) for c, v in values.items()}}], schema=_STATE)
+
+
+def discounted(counts: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    return np.append(factors, 1.0)[np.minimum(counts, DISCOUNTED + 1)] * counts
+
+
+def read_state(row: dict, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, denominators and probabilities of a block's tokens."""
+    counts, denominators = from_planes(row["counts"]).astype(np.int64), from_wide_planes(row["denominators"], np.int64)
+    probability = np.empty(len(counts))
+    probability[counts == 0] = from_wide_planes(row["backed"], np.float64)
+    some = counts > 0
+    probability[some] = discounted(counts[some], factors) / denominators[some]
+    return counts, denominators, probability
+
+
+def equal_parts(raw: bytes, n: int) -> list[bytes]:
+    size = len(raw) // n
+    return [raw[i * size : (i + 1) * size] for i in range(n)]
+
+
+def bucket_of(histories: np.ndarray, count: int) -> np.ndarray:
+    """Buckets that ascend with the key."""
+    return (histories >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)
+
+
+@dataclass
+class Grams:
+    """Distinct n-grams of some tokens, by history and word, and the histories themselves."""
+
+    first: np.ndarray  # a token of each n-gram
+    of_token: np.ndarray
+    heads: np.ndarray  # the first n-gram of each history
+    history: np.ndarray  # the history of each n-gram, as a place in `heads`
+
+    @classmethod
+    def of(cls, histories: np.ndarray, codes: np.ndarray) -> Grams:
+        order = np.lexsort((codes, histories))
+        by, word = histories[order], codes[order]
+        newer = np.concatenate([[True], by[1:] != by[:-1]])[: len(by)]
+        new = newer | np.concatenate([[True], word[1:] != word[:-1]])[: len(by)]
+        of_token = np.empty(len(order), np.int64)
+        of_token[order] = np.cumsum(new) - 1
+        heads = np.flatnonzero(newer[new])
+        return cls(order[new], of_token, heads, np.cumsum(newer[new]) - 1)
+
+
+def climb(state: DataFrame, factors: np.ndarray, order: int) -> DataFrame:
+    """Scores by histories of `order` - 1 words, from the stored state of blocks by histories of one word."""
+    for length in range(3, order + 1):
+        answers, longer = answer_histories(state, factors, length)
+        next_state = evaluate_histories(state, answers, factors, longer, length)
+        state, factors = (next_state if length == order else stored(next_state, "katz-state")), longer
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in map(unpacked, rows_of(batches)):
+            *_, probability = read_state(row, factors)
+            sizes = np.frombuffer(row["sizes"], np.int32).astype(np.int64)
+            score = np.add.reduceat(np.log10(probability), np.cumsum(sizes) - sizes)
+            facts = [(row["doc_ids"], np.int64), (row["train"], bool), (sizes.tobytes(), np.int64), (row["known"], np.int64), (row["base"], float)]
+            arrays = [*(np.frombuffer(raw, kind) for raw, kind in facts), score]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
+
+    return state.mapInArrow(run, SCORES)
+
+
+def answer_histories(state: DataFrame, factors: np.ndarray, length: int) -> tuple[DataFrame, np.ndarray]:
+    """(bucket, block, ...): for the distinct n-grams of each block their counts in all training documents; for their histories the
+    count, the numbers of n-grams with counts 1 to DISCOUNTED, and what the shorter history gives to the words seen. And the
+    discounts of n-grams of this length."""
+    count = SPLIT * buckets(state.sparkSession)
+
+    def asker(low: int, high: int):
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in map(unpacked, rows_of(batches)):
+                block = Block.read(row)
+                histories = block.histories(length)
+                bucket = bucket_of(histories, count)
+                mine = np.flatnonzero((bucket >= low) & (bucket < high))
+                if not len(mine):
+                    continue
+                counts, denominators, _ = read_state(row, factors)
+                grams = Grams.of(histories[mine], block.codes[mine])
+                trained = np.bincount(grams.of_token[np.repeat(block.train, block.sizes)[mine]], minlength=len(grams.first))
+                at = mine[grams.first]
+                head = at[grams.heads]
+                word, lower = block.keys[block.codes[at]], counts[at]
+                numbers = np.diff(np.append(grams.heads, len(at)))
+                key, below = histories[head], denominators[head]
+                # heads of each bucket, and their n-grams
+                ends = np.searchsorted(bucket[head], np.arange(low, high + 1, dtype=np.uint64))
+                inner = np.append(grams.heads, len(at))[ends]
+                yield pa.RecordBatch.from_pylist([
+                    {"bucket": low + i, "block": row["block"], "histories": key[a:b].tobytes(), "numbers": planes(numbers[a:b]), "words": pack_keys(word[c:d]),
+                     "counts": planes(trained[c:d]), "lower": planes(lower[c:d]), "denominators": wide_planes(below[a:b])}
+                    for i, (a, b, c, d) in enumerate(zip(ends, ends[1:], inner, inner[1:])) if a < b
+                ], schema=pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in _ASKS)]))
+
+        return ask
+
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in _ANSWERS), ("statistics", pa.list_(pa.int64()))])
+
+    def merge(table: pa.Table) -> pa.Table:
+        asked = table.to_pylist()
+        numbers = [from_planes(r["numbers"]).astype(np.int64) for r in asked]
+        keys = np.concatenate([np.frombuffer(r["histories"], np.uint64) for r in asked])
+        each = np.concatenate(numbers)
+        word = np.concatenate([read_keys(r["words"]) for r in asked])
+        trained = np.concatenate([from_planes(r["counts"]) for r in asked])
+        grams = Grams.of(np.repeat(keys, each), word)
+        totals = np.bincount(grams.of_token, trained, len(grams.first)).astype(np.int64)
+        lower = np.concatenate([from_planes(r["lower"]) for r in asked])[grams.first].astype(np.int64)
+        below = np.repeat(np.concatenate([from_wide_planes(r["denominators"], np.int64) for r in asked]), each)[grams.first]
+        single = np.where(totals > 0, discounted(lower, factors) / np.maximum(below, 1), 0.0)
+        facts = [np.add.reduceat(x, grams.heads) for x in (totals, single, *((totals == r).astype(np.int64) for r in range(1, DISCOUNTED + 1)))]
+        statistics = np.bincount(np.minimum(totals, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2]
+        out, at, head = [], 0, np.cumsum(each) - each
+        near = 0
+        for r, some in zip(asked, numbers):
+            there = grams.history[grams.of_token[head[near : near + len(some)]]]
+            n = int(some.sum())
+            out.append({
+                "bucket": r["bucket"], "block": r["block"], "totals": planes(totals[grams.of_token[at : at + n]]), "seen": wide_planes(facts[0][there]),
+                "singles": wide_planes(facts[1][there]), "shapes": b"".join(planes(f[there]) for f in facts[2:]), "statistics": None,
+            })
+            at, near = at + n, near + len(some)
+        out[0]["statistics"] = statistics.tolist()
+        return pa.Table.from_pylist(out, schema=schema)
+
+    asks = "bucket int, block long, " + ", ".join(f"{c} binary" for c in _ASKS)
+    answers = "bucket int, block long, " + ", ".join(f"{c} binary" for c in _ANSWERS) + ", statistics array<long>"
+    cuts = [count * i // ROUNDS for i in range(ROUNDS + 1)]
+    rounds = [stored(state.mapInArrow(asker(low, high), asks).groupBy("bucket").applyInArrow(merge, answers), "katz-histories")
+              for low, high in zip(cuts, cuts[1:]) if low < high]
+    found = rounds[0]
+    for some in rounds[1:]:
+        found = found.unionByName(some)
+    sums = found.agg(*[F.sum(F.col("statistics")[i]).alias(str(i)) for i in range(DISCOUNTED + 2)]).first()
+    return found.drop("statistics"), discounts(np.array([x or 0 for x in sums], np.int64))
+
+
+def evaluate_histories(state: DataFrame, answers: DataFrame, factors: np.ndarray, longer: np.ndarray, length: int) -> DataFrame:
+    """The state of blocks by histories of `length` - 1 words."""
+
+    def evaluate(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        row = unpacked(next(r for r in rows if r["bucket"] is None))
+        every = sorted((r for r in rows if r["bucket"] is not None), key=lambda r: r["bucket"])
+        block = Block.read(row)
+        *_, lower = read_state(row, factors)
+        grams = Grams.of(block.histories(length), block.codes)
+        totals = np.concatenate([from_planes(r["totals"]) for r in every]).astype(np.int64)[grams.of_token]
+        n, single = (np.concatenate([from_wide_planes(r[c], t) for r in every]) for c, t in (("seen", np.int64), ("singles", np.float64)))
+        shapes = np.hstack([np.stack([from_planes(x) for x in equal_parts(r["shapes"], DISCOUNTED)]) for r in every]).astype(np.int64)
+        kept = n - sum((1 - longer[r]) * r * shapes[r - 1] for r in range(1, DISCOUNTED + 1))
+        # as for contexts of one word: a history whose counts are all too high to be discounted gets one more in its denominator
+        full = kept > n - 1e-9 * np.maximum(n, 1)
+        denominator = n + full
+        backoff = np.where(full, 1.0, n - kept) / denominator / np.maximum(1 - single, 1e-300)
+        history = grams.history[grams.of_token]
+        backed = np.where(n[history] > 0, backoff[history] * lower, lower)
+        return state_of(row, row["known"], row["base"], totals, denominator[history], backed)
+
+    missing = [c for c in (*_ANSWERS, "bucket") if c not in state.columns]
+    whole = state.select("block", *_TOKENS, *_FACTS, *[F.lit(None).cast("int" if c == "bucket" else "binary").alias(c) for c in missing])
+    parts = answers.select("block", *[F.lit(None).cast("binary").alias(c) for c in (*_TOKENS, *_FACTS)], *missing)
+    return whole.unionByName(parts).groupBy("block").applyInArrow(evaluate, STATE)
 
 
-def train_and_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Learn from the rows of `docs` where `training` holds and score all rows: the columns of `score` and `train_tokens`.
+def train_and_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
+    """Learn n-grams of up to `order` words from the rows of `docs` where `training` holds and score all rows: the columns of
+    `score` and `train_tokens`.
 
     A null text counts as empty: it is the end token alone. Repeated rows are counted and scored one by one; with no
     training rows every probability is 1; an empty table gives no rows; a null id stays null."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
+    if order < 2:
+        raise ValueError("an n-gram has two words at least")
     tokens = blocks(rows)
     model = train(tokens, answer=True)
-    scored = score(tokens, model, answered=True).withColumn("train_tokens", F.lit(model.constants.tokens).cast("long"))
+    scored = score(tokens, model, answered=True, order=order).withColumn("train_tokens", F.lit(model.constants.tokens).cast("long"))
     return scored.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

@@ -77,8 +77,10 @@ def _repair_sql() -> str:
       CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE ' ' END AS letter,
       lag(CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE ' ' END) OVER w AS earlier
       FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy)),
-    faulty AS (SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank,
-      NOT regexp_matches(text, '[.!?][ 	-]*$') AS open FROM placed),
+    faulty AS (SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
+      NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS open FROM placed),
     facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
       count(*) FILTER (NOT blank AND again > 1) AS duplicate, count(*) FILTER (NOT blank AND again = 1 AND open) AS truncated,
       count(*) FILTER (earlier IS NOT NULL AND earlier || letter NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faulty GROUP BY conv_id),
@@ -229,7 +231,7 @@ def op1_katz(spark, sf_dir):
     """Katz backoff scores of all documents, learned from those of four folds."""
     docs = documents(spark, sf_dir)
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
-    out = katz.train_and_score(docs, fold != 1)
+    out = katz.train_and_score(docs, fold != 1, order=katz.ORDER)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -73,6 +73,57 @@ def test_katz(docs, rows):
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_katz_longer_histories(docs, order):
+    """Histories of several words, each length backing off to the next shorter one, against a plain recursion."""
+    twice = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10_000).withColumn("text", F.concat(F.lit("the "), "text")))
+    texts = [(r["doc_id"], [*restated.words(r["text"]), "\n"]) for r in twice.select("doc_id", "text").collect()]
+    trained = [t for k, t in texts if zlib.crc32(str(k).encode()) % 5 != 1]
+    assert len(trained) < len(texts)
+    padded = lambda t, n: ["^"] * (n - 1) + t
+    counts = [Counter(tuple(p[i : i + n]) for t in trained for p in [padded(t, n)] for i in range(len(t))) for n in range(1, order + 1)]
+    factors = [katz.discounts(np.array([0] + [sum(x == r for x in c.values()) for r in range(1, katz.DISCOUNTED + 2)])) for c in counts]
+    less = lambda n, c: c * (factors[n - 1][c] if c <= katz.DISCOUNTED else 1.0)
+    size = sum(counts[0].values())
+    unknown = 1 - sum(less(1, c) for c in counts[0].values()) / size
+    after = defaultdict(dict)
+    for c in counts[1:]:
+        for gram, n in c.items():
+            after[gram[:-1]][gram[-1]] = n
+    weights = {}
+
+    def probability(history, word):
+        if not history:
+            return less(1, counts[0][word,]) / size if (word,) in counts[0] else unknown
+        seen, n = after.get(history), len(history) + 1
+        if not seen:
+            return probability(history[1:], word)
+        if history not in weights:
+            count, kept = sum(seen.values()), sum(less(n, c) for c in seen.values())
+            total = count + (kept > count - 1e-9)
+            free = (1.0 if total > count else count - kept) / total
+            weights[history] = total, free / (1 - sum(probability(history[1:], w) for w in seen))
+        total, weight = weights[history]
+        return less(n, seen[word]) / total if word in seen else weight * probability(history[1:], word)
+
+    expected = defaultdict(list)
+    for k, t in texts:
+        p = padded(t, order)
+        expected[k].append(sum(math.log10(probability(tuple(p[i : i + order - 1]), p[i + order - 1])) for i in range(len(t))))
+    for history in [h for h in after if len(h) == order - 1][:40]:  # exactly normalised
+        assert math.isclose(sum(probability(history, w) for w, in counts[0]) + probability(history, "\0"), 1, abs_tol=1e-9)
+    found = katz.train_and_score(twice, fold(1), order=order).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        assert any(math.isclose(r["score"], x, rel_tol=1e-9) for x in expected[r["doc_id"]])
+    plain = {(r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in katz.train_and_score(twice, fold(1)).collect()}
+    assert plain == {(r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in found}
+
+
+def test_katz_query_has_histories_of_two_words():
+    assert katz.ORDER >= 3
+
+
 def test_katz_discounts_fall_back():
     assert katz.discounts(np.array([0, 0, 0, 0, 0, 0, 0]))[1] == 0.5
     assert katz.discounts(np.array([0, 5, 50, 1, 0, 0, 9]))[1] == 0.5
