@@ -125,7 +125,7 @@ def incremental_index(
     now: Moment,
     commit: str | None = None,
     symbols: DataFrame | None = None,
-    renames: str = "split",
+    renames: str | None = "split",
     embedder: Embedder | None = None,
     model_id: str = DEFAULT_MODEL,
     cache: VectorCache | None = None,
@@ -134,10 +134,10 @@ def incremental_index(
     """Tombstone chunks of deleted and modified files, then index added and modified ones; a rebuilt chunk with the
     same id comes back active.
 
-    The change list and the new chunks are used several times and are therefore written once to the shared scratch area.
-    Stored chunks are shuffled by file at most once: both the tombstones and the replaced ids are joined on the file key.
+    The change list and the new chunks are used several times and are therefore written once to the shared scratch area; without
+    `renames`, the caller has expanded and stored the change list already. Stored chunks are shuffled by file at most once: both the tombstones and the replaced ids are joined on the file key.
     """
-    flat = materialize(ch.expand_renames(changes, renames), "changes")
+    flat = changes if renames is None else materialize(ch.expand_renames(changes, renames), "changes")
     retired = lifecycle.tombstone(chunks, ch.files_to_retire(flat), now, commit)
     todo = files.join(ch.files_to_index(flat), FILE, "left_semi")
     if symbols is not None:

@@ -113,6 +113,8 @@ class VersionedChunks:
         if buckets is not None:
             wanted = {str(b) for b in buckets}
             sets = {b: s for b, s in sets.items() if b in wanted}
+        if files is not None and any(len(s) > 1 for s in sets.values()):
+            sets = self._holding(sets, files)
         still = stored([(b, s[0]) for b, s in sets.items() if len(s) == 1]).filter(F.col("op") == PUT)
         out = still.select(*CHUNKS.names)
         if all(len(s) == 1 for s in sets.values()):
@@ -128,6 +130,15 @@ class VersionedChunks:
         old = base.join(deltas.select(*KEY).distinct(), KEY, "left_anti").select(*CHUNKS.names)
         return out.unionByName(old).unionByName(images.filter(F.col("op") == PUT).select(*CHUNKS.names))
 
+    def _holding(self, sets: dict[str, list[str]], files: DataFrame) -> dict[str, list[str]]:
+        """Of the sets of each bucket those with rows of the listed files, in the same order. Only names of files are read, so that a
+        change does not read the texts of all changes before it."""
+        names = self._files([(b, s) for b, all_ in sets.items() for s in all_]).select(*FILE, "set", "bucket")
+        # as many rows as there are folders at most
+        held = {(str(r["bucket"]), r["set"]) for r in names.join(files, FILE, "left_semi").select("set", "bucket").distinct().collect()}
+        kept = {b: [s for s in all_ if (b, s) in held] for b, all_ in sets.items()}
+        return {b: s for b, s in kept.items() if s}
+
     def touched(self, files: DataFrame) -> list[int]:
         """Buckets of the listed files, as many as the table has at most."""
         bucket = self._bucket(self.manifest()["buckets"])
@@ -184,7 +195,7 @@ class VersionedChunks:
 
         def change() -> DataFrame:
             flat = materialize(expand_renames(changes, renames), "changes").withColumn("new_path", F.lit(None).cast("string"))
-            return self._put(incremental_index(flat, files, self.rows_of(flat), now, commit, **options))
+            return self._put(incremental_index(flat, files, self.rows_of(flat), now, commit, renames=None, **options))
 
         return self._apply(change, batch)
 

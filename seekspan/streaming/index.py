@@ -37,13 +37,18 @@ def apply_changes(batch: DataFrame, table: str, now: Moment, **options) -> None:
     write_chunks(incremental_index(changes, files, stored, now, **options), table)
 
 
+def dealt(batch: DataFrame) -> DataFrame:
+    """The rows of a micro-batch over all cores: it arrives in as many tasks as it has files, few of them large."""
+    return batch.repartition(batch.sparkSession.sparkContext.defaultParallelism)
+
+
 def stream_index(changes: DataFrame, table: str, checkpoint: str, now: Moment | None = None, **options) -> StreamingQuery:
     """Keep the chunk table at `table` up to date from a stream of file changes."""
     stamp = F.current_timestamp() if now is None else now
 
     def run(batch: DataFrame, batch_id: int) -> None:
         # read once per use below; the rows of one micro-batch are bounded by the source's rate limit
-        kept = batch.persist()
+        kept = dealt(batch).persist()
         try:
             apply_changes(kept, table, stamp, **options)
         finally:
@@ -65,7 +70,7 @@ def stream_versions(
     stamp = F.current_timestamp() if now is None else now
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
+        kept = dealt(batch).persist()
         try:
             listed = kept.select("repo_id", "file_path", "change", F.lit(None).cast("string").alias("new_path"))
             files = kept.filter(F.col("change").isin(ADDED, MODIFIED)).select(*FILES.names)

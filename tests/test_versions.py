@@ -189,3 +189,27 @@ def test_empty_table(spark, tmp_path):
     assert table.read().count() == 0 and table.read().columns == CHUNKS.names
     table.purge()
     assert table.read().count() == 0
+
+
+def test_change_reads_only_sets_of_its_files(spark, start, tmp_path):
+    """What a change reads of the stored texts does not grow with the changes of other files before it."""
+    base, chunks = start
+    table = VersionedChunks.create(spark, str(tmp_path / "t"), chunks, buckets=1)
+    for i in (0, 1, 2):
+        table.tombstone(base.filter(f"file_path = 'src/f{i}.go'"), NOW)
+    sets = table.manifest()["sets"]["0"]
+    folders = lambda df: {s for s in sets for f in df.inputFiles() if f"set={s}/" in f}
+    assert folders(table.rows_of(base.filter("file_path = 'src/f1.go'"))) == {sets[0], sets[2]}
+    for i in (0, 1, 2, 3):
+        one = base.filter(f"file_path = 'src/f{i}.go'")
+        assert state(table.rows_of(one)) == state(table.read().join(one, versions.FILE, "left_semi"))
+    new = base.filter("file_path = 'src/f4.go'").withColumn("file_path", F.lit("src/new.go"))
+    assert table.rows_of(new).count() == 0
+
+
+def test_micro_batch_is_dealt_over_all_cores(spark, tmp_path):
+    rows = spark.range(100).selectExpr("CAST(id AS STRING) AS text")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    batch = spark.read.parquet(str(tmp_path / "in"))
+    cores = spark.sparkContext.defaultParallelism
+    assert live.dealt(batch).rdd.getNumPartitions() == cores and live.dealt(batch).count() == 100
