@@ -188,6 +188,11 @@ def symbols(spark, d):
     return flatten_symbols(corpus.symbol_dumps(spark, d))
 
 
+def symbols_of(spark, d):
+    """As a function of listed files: only their dumps are flattened."""
+    return lambda listed: flatten_symbols(corpus.symbol_dumps(spark, d).join(listed, KEY, "left_semi"))
+
+
 @query(
     "s7_symbols",
     sql(

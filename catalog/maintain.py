@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import corpus
 from catalog.base import block, query, settings, sql, state_partitions
-from catalog.chunks import letter_profile, symbols
+from catalog.chunks import letter_profile, symbols, symbols_of
 from catalog.derive import KEY
 from seekspan.functions import paths
 from seekspan.operators import changes, lifecycle, reports
@@ -345,7 +345,7 @@ def d5_symbols(spark, d):
     f = corpus.files(spark, d)
     found = changes.diff_snapshot(f, corpus.manifest(spark, d))
     table = versioned(spark, stored(spark, d))
-    table.refresh(found, f, corpus.stamp(corpus.NOW), symbols=symbols(spark, d), embedder=letter_profile)
+    table.refresh(found, f, corpus.stamp(corpus.NOW), symbols=symbols_of(spark, d), embedder=letter_profile)
     return table.read().select("chunk_id", "repo_id", "file_path", "method", "status", letter_e())
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,7 +126,7 @@ def incremental_index(
     chunks: DataFrame,
     now: Moment,
     commit: str | None = None,
-    symbols: DataFrame | None = None,
+    symbols: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     renames: str | None = "split",
     embedder: Embedder | None = None,
     model_id: str = DEFAULT_MODEL,
@@ -135,13 +137,18 @@ def incremental_index(
     same id comes back active.
 
     The change list and the new chunks are used several times and are therefore written once to the shared scratch area; without
-    `renames`, the caller has expanded and stored the change list already. Stored chunks are shuffled by file at most once: both the tombstones and the replaced ids are joined on the file key.
+    `renames`, the caller has expanded and stored the change list already.
+    `symbols` may be a function that gives the symbols of the listed files, so that those of all others need not be made.
+    Stored chunks are shuffled by file at most once: both the tombstones and the replaced ids are joined on the file key.
     """
     flat = changes if renames is None else materialize(ch.expand_renames(changes, renames), "changes")
     retired = lifecycle.tombstone(chunks, ch.files_to_retire(flat), now, commit)
-    todo = files.join(ch.files_to_index(flat), FILE, "left_semi")
-    if symbols is not None:
-        symbols = symbols.join(ch.files_to_index(flat), FILE, "left_semi")
+    listed = ch.files_to_index(flat)
+    todo = files.join(listed, FILE, "left_semi")
+    if callable(symbols):
+        symbols = symbols(listed)
+    elif symbols is not None:
+        symbols = symbols.join(listed, FILE, "left_semi")
     built = materialize(build_chunks(todo, now, symbols, model_id, **options), "chunks")
     return lifecycle.upsert(retired, embedded(built, embedder, cache), built, FILE)
 

@@ -9,6 +9,7 @@ from seekspan.operators import lifecycle
 from seekspan.plans.indexing import full_index, incremental_index
 from seekspan.schemas import CHUNKS, FILES
 from seekspan.sources import versions
+from seekspan.sources.symbols import flatten_symbols
 from seekspan.sources.versions import VersionedChunks
 from seekspan.streaming import index as live
 
@@ -213,3 +214,18 @@ def test_micro_batch_is_dealt_over_all_cores(spark, tmp_path):
     batch = spark.read.parquet(str(tmp_path / "in"))
     cores = spark.sparkContext.defaultParallelism
     assert live.dealt(batch).rdd.getNumPartitions() == cores and live.dealt(batch).count() == 100
+
+
+def test_symbols_are_made_for_listed_files_only(spark, start):
+    base, chunks = start
+    found = changed(spark, ("r0", "src/f2.go", "modified"), ("r1", "src/f3.go", "deleted"))
+    one = spark.createDataFrame([(f"r{i % 2}", f"src/f{i}.go", f'[{{"name": "f", "kind": 12, "range": {{"start": {{"line": 0, "character": 0}}, "end": {{"line": 3, "character": 0}}}}}}]') for i in range(40)], "repo_id string, file_path string, symbols string")
+    asked = []
+
+    def made(listed):
+        asked.append(sorted(r["file_path"] for r in listed.collect()))
+        return flatten_symbols(one.join(listed, versions.FILE, "left_semi"))
+
+    got = incremental_index(found, base, chunks, NOW, "abc", symbols=made)
+    assert asked == [["src/f2.go"]]
+    assert state(got) == state(incremental_index(found, base, chunks, NOW, "abc", symbols=flatten_symbols(one)))
