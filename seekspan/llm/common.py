@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import seekspan
 from seekspan.session import scratch_dir, ship_packages
+from seekspan.sources.storage import Storage
 
 # Python tasks see at most so many bytes of text at once (a longer single text comes alone and whole)
 BATCH_BYTES = 6 << 20
@@ -60,6 +61,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_scratch(df, name))
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables that no later step reads."""
+    for path in paths:
+        Storage(spark, path).delete("")
+
+
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str):
     before = spark.conf.get(key, None)
