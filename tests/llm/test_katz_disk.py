@@ -64,3 +64,14 @@ def test_thin(values):
     values = np.array(values, np.uint64)
     assert (katz.from_thin(katz.thin(values)) == values).all()
     assert katz.unpacked(katz.packed(values.tobytes())) == values.tobytes()
+
+
+def test_odd_tables(spark, nothing):
+    """No rows, no training rows, and rows without words, with histories of two words."""
+    assert katz.train_and_score(nothing, F.lit(True), order=3).count() == 0
+    frame = spark.createDataFrame([(None, "a b c"), (1, "a b"), (2, None), (3, "")], "doc_id long, text string")
+    untrained = katz.train_and_score(frame, F.lit(False), order=3).collect()
+    assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.score) for r in untrained) == [(1, 0, 0, 0.0), (1, 0, 0, 0.0), (3, 0, 0, 0.0), (4, 0, 0, 0.0)]
+    trained = katz.train_and_score(frame, F.col("doc_id").isNull(), order=3).collect()
+    assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in trained} == {(None, 4, 4, 4), (1, 3, 3, 4), (2, 1, 1, 4), (3, 1, 1, 4)}
+    assert all(r.score < 0 for r in trained)
