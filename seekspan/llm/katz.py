@@ -1,6 +1,6 @@
 """Katz backoff language model: Good-Turing discounted n-gram counts, evaluated recursively, with exactly normalised backoff weights.
 
-Words and histories are known by 64-bit keys. A bigram model is two tables, both partitioned by bucket of a key: `pairs` holds the counts of
+Words are known by 64-bit keys. A bigram model is two tables, both partitioned by bucket of a key: `pairs` holds the counts of
 (context, word), bucketed by word, and `words` holds for every word its count, its denominator as a context and its
 backoff weight. Texts are cut into blocks; a block asks each bucket once for what its distinct words and pairs need, and
 then evaluates all its tokens. So what is shuffled are distinct keys of blocks, not tokens, and no table is held whole
